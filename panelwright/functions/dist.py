@@ -4,8 +4,8 @@ A cross-section (all names of one date) grows with the data, so none of the
 helpers sorts a whole group in one task. A monotone function maps each value to
 one of a bounded number of bins; counts per bin (pre-aggregated before the
 shuffle) give the rank offset of every bin, and only the values inside a bin
-are sorted together. Equal values are collapsed to (value, count) first, so a
-value shared by a third of the rows costs one row. Results are exact.
+are sorted together. Results are exact. Rows are never joined back on a
+computed double: two evaluations of a sum may differ in the last digit.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def _bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _bin_offsets(counts: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
     """(keys, _bin, _cnt) -> adds _off = rows in lower bins and _n = rows of the group."""
     part = Window.partitionBy(*keys)
     before = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,49 +40,39 @@ def _bin_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         "_cnt",
         F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long")).alias("_off"),
         F.sum("_cnt").over(part).alias("_n"),
-    )
-
-
-def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per (keys, value): rows below, rows equal, rows of the group."""
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", value_bin(F.col(value)))
-    )
-    offsets = _bin_offsets(
-        distinct.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_cnt")), keys
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bin")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        distinct.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bin"])
-        .select(
-            *keys,
-            value,
-            (F.col("_off") + F.col("_in")).alias("_less"),
-            F.col("_c"),
-            F.col("_n"),
-        )
+        *more,
     )
 
 
 def with_average_rank(
     df: DataFrame, keys: Sequence[str], value: str, out: str, n_out: str | None = None
 ) -> DataFrame:
-    """Average rank (ties share the mean rank) of ``value`` in its group; null stays null."""
-    pos = value_positions(df, keys, value).select(
-        *keys,
-        value,
-        (F.col("_less") + (F.col("_c") + 1) / 2.0).alias(out),
-        *([F.col("_n").alias(n_out)] if n_out else []),
+    """Average rank (ties share the mean rank) of ``value`` in its group.
+
+    Rows with a null value are dropped. A bin that holds one single value needs no
+    sort at all, so its rows are spread over salted partitions: a value shared by a
+    third of the rows does not end up in one task.
+    """
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull()).withColumn("_bin", value_bin(x))
+    counts = rows.groupBy(*keys, "_bin").agg(
+        F.count(F.lit(1)).alias("_cnt"), (F.min(x) == F.max(x)).alias("_flat")
+    )
+    offsets = _bin_offsets(counts, keys, "_flat")
+    salt = F.when(F.col("_flat"), F.pmod(F.xxhash64(*df.columns), F.lit(64))).otherwise(0)
+    inside = Window.partitionBy(*keys, "_bin", "_salt").orderBy(value)
+    peers = inside.rangeBetween(Window.currentRow, Window.currentRow)
+    local = F.rank().over(inside) - 1 + (F.count(F.lit(1)).over(peers) + 1) / 2.0
+    return (
+        rows.join(offsets, [*keys, "_bin"])
+        .withColumn("_salt", salt)
+        .withColumn("_local", local)
+        .withColumn(out, F.col("_off") + F.when(F.col("_flat"), (F.col("_cnt") + 1) / 2.0).otherwise(F.col("_local")))
+        .withColumn("_total", F.col("_n"))
+        .drop("_bin", "_cnt", "_off", "_n", "_flat", "_salt", "_local")
+        .withColumnRenamed("_total", n_out or "_total")
+        .drop("_total")
     )
-    return df.join(pos, [*keys, value], "left")
 
 
 def with_row_number(

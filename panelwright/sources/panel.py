@@ -53,7 +53,7 @@ def date_axis(panel: DataFrame) -> DataFrame:
 
 def with_axis(panel: DataFrame) -> DataFrame:
     """Adds the date index and the number of panel dates."""
-    return panel.join(date_axis(panel), "date")
+    return panel.drop("idx", "n_dates").join(date_axis(panel), "date")
 
 
 def last_rows(panel: DataFrame, window: int) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelwright.session import cut
 from panelwright.sources import panel as P
 
 STATEMENT_ITEMS = {
@@ -65,12 +66,16 @@ class MarketTables:
 
     @cached_property
     def weekly_returns(self) -> DataFrame:
-        """Complete weekly return panel: dates on which every brand has a return."""
-        r = P.simple_returns(self.weekly).where(F.col("r").isNotNull())
+        """Complete weekly return panel: dates on which every brand has a return.
+
+        Small at any scale (brands by weeks) and read many times, so it is
+        materialized once instead of aggregating the fact table again.
+        """
+        r = P.simple_returns(cut(self.weekly)).where(F.col("r").isNotNull())
         names = r.agg(F.count_distinct("ticker").alias("n_names"))
         full = r.groupBy("date").agg(F.count(F.lit(1)).alias("n_here"))
         full = P.attach_one(full, names).where(F.col("n_here") == F.col("n_names"))
-        return r.join(full.select("date"), "date", "left_semi").select("date", "ticker", "r")
+        return cut(r.join(full.select("date"), "date", "left_semi").select("date", "ticker", "r"))
 
     @cached_property
     def listing(self) -> DataFrame:
