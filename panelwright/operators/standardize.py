@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.config import StandardizeConfig
 from panelwright.errors import ConfigurationError, DataError
@@ -44,6 +44,38 @@ def neutralize(df: DataFrame, keys: Sequence[str], labels: Sequence[str], x: str
     return rows.withColumn(x, F.when(labelled, F.col(x) - F.col("_g"))).drop("_g").select(*df.columns)
 
 
+def z_score_neutral(df: DataFrame, keys: Sequence[str], labels: Sequence[str], x: str = "x") -> DataFrame:
+    """``z_score`` followed by ``neutralize`` from one aggregate.
+
+    Counts, means and variances per (keys, labels) add up to the moments of the whole
+    group, and the neutral score is (x - label mean) / sd of the group.
+    """
+    per = df.groupBy(*keys, *labels).agg(
+        F.count(x).alias("_c"), F.avg(x).alias("_g"), F.var_pop(x).alias("_v")
+    )
+    whole = Window.partitionBy(*keys)
+    n = F.sum("_c").over(whole)
+    per = per.withColumn("_n", n).withColumn("_m", F.sum(F.col("_c") * F.col("_g")).over(whole) / F.nullif(n, F.lit(0)))
+    spread = F.col("_c") * (F.col("_v") + (F.col("_g") - F.col("_m")) * (F.col("_g") - F.col("_m")))
+    per = per.withColumn("_s", F.sqrt(F.try_divide(F.sum(spread).over(whole), F.col("_n") - 1)))
+    flat = F.col("_s").isNull() | (F.col("_s") == 0)
+    labelled = F.lit(True)
+    for name in labels:
+        labelled = labelled & F.col(name).isNotNull()
+    # Label columns may be null, so they are compared null-safe under other names.
+    stats = per.select(*keys, *[F.col(c).alias(f"_k_{c}") for c in labels], "_g", "_s")
+    stats = stats.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    on = F.lit(True)
+    for name in [*keys, *labels]:
+        on = on & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
+    return (
+        df.join(stats, on, "left")
+        .select(*df.columns, "_g", "_s")
+        .withColumn(x, F.when(labelled, F.when(flat, 0.0).otherwise((F.col(x) - F.col("_g")) / F.col("_s"))))
+        .drop("_g", "_s")
+    )
+
+
 def standardize(
     df: DataFrame, keys: Sequence[str], config: StandardizeConfig | None = None,
     labels: DataFrame | None = None, x: str = "x",
@@ -51,12 +83,15 @@ def standardize(
     """Winsorize, score, neutralize and optionally score again; ``labels`` has ticker, sector[, country]."""
     c = config or StandardizeConfig()
     rows = winsorize(df, keys, x, c.lower, c.upper)
-    rows = z_score(rows, keys, x) if c.method == "z_score" else rank_normal(rows, keys, x)
-    if c.neutralize and labels is not None:
+    neutral = c.neutralize and labels is not None
+    if c.method == "rank_normal":
+        rows = rank_normal(rows, keys, x)
+    elif not neutral:
+        rows = z_score(rows, keys, x)
+    if neutral:
         names = ["sector", "country"] if c.by_country else ["sector"]
-        cols = rows.columns
         rows = rows.join(labels.select("ticker", *names), "ticker", "left")
-        rows = neutralize(rows, keys, names, x).select(*cols)
+        rows = neutralize(rows, keys, names, x) if c.method == "rank_normal" else z_score_neutral(rows, keys, names, x)
         if c.restandardize:
             rows = z_score(rows, keys, x)
     return rows.select(*df.columns)

@@ -216,3 +216,33 @@ class MarketTables:
             (100.0 * F.col("u") / F.col("c")).alias("unemployment_rate"),
             (100.0 * F.col("u") / F.col("c") - 20).alias("yield_spread"),
         )
+
+    @cached_property
+    def score_history(self) -> DataFrame:
+        """Monthly factor scores, (date, ticker, factor, x) with nulls where undefined."""
+        w = Window.partitionBy("ticker").orderBy("idx")
+        rows = P.with_axis(self.panel).withColumn("r", F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.col("close") / F.lag("close").over(w) - 1))
+        year = w.rowsBetween(-11, 0)
+        whole = F.col("idx") - F.lag("idx", 11).over(w) == 11
+        wide = rows.select(
+            "date",
+            "ticker",
+            F.when(whole, F.lag("close", 1).over(w) / F.lag("close", 11).over(w) - 1).alias("momentum_12_1"),
+            F.when(F.count("r").over(year) == 12, -F.stddev_samp("r").over(year)).alias("volatility"),
+            (F.abs("r") / (F.col("close") * F.col("volume")) * 1e6).alias("amihud_illiquidity"),
+            (F.col("volume") / F.col("close")).alias("book_to_price"),
+        )
+        names = ["momentum_12_1", "volatility", "amihud_illiquidity", "book_to_price"]
+        return wide.unpivot(["date", "ticker"], names, "factor", "x")
+
+    @cached_property
+    def forward_returns(self) -> DataFrame:
+        """Return of the next month, (date, ticker, fwd)."""
+        w = Window.partitionBy("ticker").orderBy("idx")
+        nxt = F.when(F.lead("idx").over(w) == F.col("idx") + 1, F.lead("close").over(w) / F.col("close") - 1)
+        return P.with_axis(self.panel).select("date", "ticker", nxt.alias("fwd"))
+
+    @cached_property
+    def market(self) -> DataFrame:
+        """Equal-weight forward return per date, (date, m)."""
+        return self.forward_returns.groupBy("date").agg(F.avg("fwd").alias("m")).where(F.col("m").isNotNull())
