@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelwright.catalog.base import part, query, rd, sql
+from panelwright.catalog import research_q  # noqa: F401  (its SQL parts are read here)
 from panelwright.catalog.moments_q import probabilities
 from panelwright.catalog.sources_q import day
 from panelwright.config import DriftRule

@@ -337,12 +337,12 @@ def compose(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return inner.join(outer.select("portfolio", "v"), "portfolio").groupBy("asset").agg(F.sum(F.col("w") * F.col("v")).alias("w"))
 
 
-def nested_weights(returns: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Inverse volatility inside clusters, then over the clusters' own return series."""
+def nested_weights(returns: DataFrame, clusters: DataFrame, power: float = 1.0) -> DataFrame:
+    """Weights by sd^-power inside clusters, then over the clusters' own return series."""
     rows = returns.join(clusters.select("ticker", "cluster"), "ticker")
-    inner = inverse_volatility(rows, ["cluster"]).withColumnRenamed("cluster", "portfolio")
+    inner = inverse_volatility(rows, ["cluster"], power).withColumnRenamed("cluster", "portfolio")
     series = portfolio_returns(returns, inner).withColumnRenamed("portfolio", "ticker")
-    outer = inverse_volatility(series).select(F.col("asset").alias("portfolio"), F.col("w").alias("v"))
+    outer = inverse_volatility(series, power=power).select(F.col("asset").alias("portfolio"), F.col("w").alias("v"))
     return compose(inner, outer)
 
 
