@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelwright.functions.dist import attach_one
+
 BLOCK = 256
 CHUNK = 1024
 
@@ -52,6 +54,26 @@ def _blocks(cells: DataFrame, value: str, chunk: int | None) -> DataFrame:
     )
 
 
+def pair_tasks(cells: DataFrame, value: str, chunk: int | None) -> DataFrame:
+    """One row per (slot, i, j), i <= j: the two blocks whose product the task computes.
+
+    Each block is copied to the pairs it takes part in, so the tasks spread over
+    (slot, i, j) and not over the few slots.
+    """
+    n_blocks = asset_axis(cells).agg(F.ceil((F.max("pos") + 1) / BLOCK).cast("int").alias("nb"))
+    b = attach_one(_blocks(cells, value, chunk), n_blocks)
+    names = ["names", "a", "t", "v"]
+    left = b.select(
+        "slot", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("nb") - 1)).alias("j"),
+        *[F.col(c).alias(f"{c}1") for c in names],
+    )
+    right = b.select(
+        "slot", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"),
+        *[F.col(c).alias(f"{c}2") for c in names],
+    )
+    return left.join(right, ["slot", "i", "j"])
+
+
 def _matrix(a, t, v, n: int, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((n, width))
     m = np.zeros((n, width))
@@ -67,10 +89,7 @@ def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: s
     Returns (asset_i, asset_j, *outputs) for asset_i <= asset_j. ``chunk=None``
     hands whole series to the kernel, for measures that do not add up over dates.
     """
-    b = _blocks(cells, value, chunk)
-    left = b.select([F.col(c).alias(f"{c}1") for c in b.columns])
-    right = b.select([F.col(c).alias(f"{c}2") for c in b.columns])
-    tasks = left.join(right, (F.col("slot1") == F.col("slot2")) & (F.col("block1") <= F.col("block2")))
+    tasks = pair_tasks(cells, value, chunk)
     schema = "asset_i string, asset_j string, " + ", ".join(f"{o} double" for o in outputs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,7 +99,7 @@ def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: s
                 first = int(min(np.min(row.t1), np.min(row.t2)))
                 width = int(max(np.max(row.t1), np.max(row.t2))) - first + 1
                 x1, m1 = _matrix(row.a1, row.t1, row.v1, len(names1), first, width)
-                same = row.block1 == row.block2
+                same = row.i == row.j
                 x2, m2 = (x1, m1) if same else _matrix(row.a2, row.t2, row.v2, len(names2), first, width)
                 got = kernel(x1, m1, x2, m2)
                 keep = (m1 @ m2.T) > 0

@@ -174,13 +174,15 @@ def correlated_assets(returns: DataFrame, threshold: float = 0.95, absolute: boo
     Done in rounds: a pair that is the highest open pair of both its assets can be
     decided at once, which gives the same result as one pass over the sorted pairs.
     """
-    half = with_moments(pair_sums(returns)).where(F.col("corr").isNotNull())
-    corr = F.abs("corr") if absolute else F.col("corr")
-    half = half.withColumn("corr", F.round(corr, 12))
-    mean = mirrored(half).groupBy("asset_i").agg(F.avg("corr").alias("m"))
+    table = with_moments(pair_sums(returns)).where(F.col("corr").isNotNull())
+    half = table.withColumn("corr", F.round(F.abs("corr") if absolute else F.col("corr"), 12))
+    above = cut(half.where((F.col("asset_i") != F.col("asset_j")) & (F.col("corr") > threshold)))
+    dropped = above.select(F.col("asset_i").alias("ticker")).limit(0)
+    if above.isEmpty():
+        return dropped
+    mean = cut(mirrored(half).groupBy("asset_i").agg(F.avg("corr").alias("m")))
     open_pairs = (
-        half.where((F.col("asset_i") != F.col("asset_j")) & (F.col("corr") > threshold))
-        .join(mean.select("asset_i", F.col("m").alias("m_i")), "asset_i")
+        above.join(mean.select("asset_i", F.col("m").alias("m_i")), "asset_i")
         .join(mean.select(F.col("asset_i").alias("asset_j"), F.col("m").alias("m_j")), "asset_j")
         .select(
             "asset_i", "asset_j",
@@ -189,7 +191,6 @@ def correlated_assets(returns: DataFrame, threshold: float = 0.95, absolute: boo
         )
     )
     open_pairs = cut(open_pairs)
-    dropped = open_pairs.select(F.col("loser").alias("ticker")).limit(0)
     while not open_pairs.isEmpty():
         ends = open_pairs.select(F.explode(F.array("asset_i", "asset_j")).alias("asset"), "rank")
         best = ends.groupBy("asset").agg(F.max("rank").alias("best"))

@@ -77,11 +77,14 @@ def _training(table: DataFrame, names: Sequence[str], target: str) -> DataFrame:
 
 
 def fit_ridge(table: DataFrame, names: Sequence[str], target: str = "fwd", alpha: float = 1.0):
-    """Ridge with a free intercept: the penalty per row is alpha / n."""
+    """Ridge with a free intercept and the penalty alpha * |w|^2 beside the squared error.
+
+    The solver divides its penalty by the deviation of the label, so that is put back.
+    """
     rows = _training(table, names, target)
-    n = rows.count()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("sd")).first()
     return LinearRegression(
-        featuresCol="_v", labelCol="_y", predictionCol="_raw", regParam=alpha / n,
+        featuresCol="_v", labelCol="_y", predictionCol="_raw", regParam=alpha / size["n"] * (size["sd"] or 1.0),
         elasticNetParam=0.0, standardization=False, solver="normal",
     ).fit(rows)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.errors import ConfigurationError
 from panelwright.functions.dist import attach_one, group_quantiles
-from panelwright.functions.pairs import _blocks, _matrix, asset_axis, blocked_pairs, pair_sums, with_moments
+from panelwright.functions.pairs import _matrix, asset_axis, blocked_pairs, pair_sums, pair_tasks, with_moments
 from panelwright.operators.risk import MEASURES, portfolio_returns, risk_table
 from panelwright.sources.panel import date_axis
 
@@ -196,26 +196,22 @@ def bootstrap_distances(returns: DataFrame, replicates: int = 500, block: int =
         .groupBy("replicate").agg(F.collect_list("idx").alias("i"), F.collect_list("c").alias("c"))
         .groupBy(group.alias("group")).agg(F.collect_list(F.struct("replicate", "i", "c")).alias("cs"))
     )
-    counts = counts.select("group", F.col("cs.replicate").alias("replicate"), F.col("cs.i").alias("i"), F.col("cs.c").alias("c"))
-    b = _blocks(returns, "r", None)
-    left = b.select([F.col(c).alias(f"{c}1") for c in b.columns])
-    right = b.select([F.col(c).alias(f"{c}2") for c in b.columns])
-    tasks = left.join(right, (F.col("slot1") == F.col("slot2")) & (F.col("block1") <= F.col("block2")))
-    groups = list(range(replicates // 50 + 1))
-    tasks = tasks.withColumn("group", F.explode(F.array(*[F.lit(g) for g in groups]))).join(counts, "group")
+    counts = counts.select("group", F.col("cs.replicate").alias("replicate"), F.col("cs.i").alias("at"), F.col("cs.c").alias("c"))
+    groups = F.sequence(F.lit(0), F.lit(replicates // 50))
+    tasks = pair_tasks(returns, "r", None).withColumn("group", F.explode(groups)).join(counts, "group")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.itertuples(index=False):
                 width = int(np.max(row.t1)) + 1
                 x1, _ = _matrix(row.a1, row.t1, row.v1, len(row.names1), 0, width)
-                same = row.block1 == row.block2
+                same = row.i == row.j
                 x2 = x1 if same else _matrix(row.a2, row.t2, row.v2, len(row.names2), 0, width)[0]
                 base = _weighted_cov(x1, x2, np.ones(width))
                 out = []
-                for i, c in zip(row.i, row.c):
+                for at, c in zip(row.at, row.c):
                     w = np.zeros(width)
-                    w[np.asarray(i) - 1] = c
+                    w[np.asarray(at) - 1] = c
                     gap = _weighted_cov(x1, x2, w) - base
                     out.append(float((gap * gap).sum()) * (1.0 if same else 2.0))
                 yield pd.DataFrame({"replicate": np.asarray(row.replicate), "sq": out})
