@@ -68,7 +68,7 @@ def test_adjusted_p_values(spark):
     bh[order] = np.minimum.accumulate(np.minimum(1, s * 5 / np.arange(1, 6))[::-1])[::-1]
     assert np.allclose(got["p_holm"], holm) and np.allclose(got["p_bh"], bh)
     flags = research.bh_rejections(df).toPandas().set_index("factor")["rejected"]
-    assert flags.to_dict() == {"f0": True, "f1": False, "f2": False, "f3": False, "f4": True} or flags["f0"]
+    assert flags["f0"] and not flags["f3"]
     assert (flags.loc[got.index] == got["significant_bh"]).all()
 
 
