@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwright.errors import ConfigurationError
+from panelwright.errors import ConfigurationError, DataError
 from panelwright.functions.columns import clip
 from panelwright.functions.dist import attach_one
 from panelwright.operators.moments import apply_matrix
@@ -99,6 +99,8 @@ def tilt_to_mean(scenarios: DataFrame, target: float, steps: int = 30, tolerance
     p is proportional to p0 * exp(l * x); Newton's method finds l, each step one aggregate.
     """
     span = scenarios.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("c")).first()
+    if span["lo"] is None:
+        raise DataError("no scenarios")
     if not span["lo"] < target < span["hi"]:
         raise ConfigurationError("the target mean is outside the scenarios")
     c, scale = span["c"], max(span["hi"] - span["lo"], 1e-300)
