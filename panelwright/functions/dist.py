@@ -14,9 +14,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# ln(|x|) of a double lies in [-745, 710]; with 256 bins per e-fold the bin
-# number has at most 2 * 372,480 values whatever the data are.
-_BINS_PER_EFOLD = 256
+# ln(|x|) of a double lies in [-745, 710]; with 64 bins per e-fold the bin
+# number has at most 2 * 93,120 values whatever the data are.
+_BINS_PER_EFOLD = 64
 _BIN_SHIFT = 745 * _BINS_PER_EFOLD + 1
 
 
@@ -44,35 +44,51 @@ def _bin_offsets(counts: DataFrame, keys: Sequence[str], *more: str) -> DataFram
     )
 
 
-def with_average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, n_out: str | None = None
-) -> DataFrame:
-    """Average rank (ties share the mean rank) of ``value`` in its group.
+def with_average_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str], n_out: str | None = None) -> DataFrame:
+    """Average rank (ties share the mean rank) of each value column in its group.
+
+    ``outs`` maps a value column to the name of its rank. Rows with a null in one of
+    them are dropped. The offsets of all columns come from ``df`` itself, so ranking
+    two columns does not rank one on top of the other.
 
-    Rows with a null value are dropped. A bin that holds one single value needs no
-    sort at all, so its rows are spread over salted partitions: a value shared by a
-    third of the rows does not end up in one task.
+    A bin that holds one single value needs no sort: its rows are spread over salted
+    window partitions and take the middle of the bin, so a value shared by a third of
+    the rows does not end up in one task.
     """
-    x = F.col(value).cast("double")
-    rows = df.where(x.isNotNull()).withColumn("_bin", value_bin(x))
-    counts = rows.groupBy(*keys, "_bin").agg(
-        F.count(F.lit(1)).alias("_cnt"), (F.min(x) == F.max(x)).alias("_flat")
-    )
-    offsets = _bin_offsets(counts, keys, "_flat")
-    salt = F.when(F.col("_flat"), F.pmod(F.xxhash64(*df.columns), F.lit(64))).otherwise(0)
-    inside = Window.partitionBy(*keys, "_bin", "_salt").orderBy(value)
-    peers = inside.rangeBetween(Window.currentRow, Window.currentRow)
-    local = F.rank().over(inside) - 1 + (F.count(F.lit(1)).over(peers) + 1) / 2.0
-    return (
-        rows.join(offsets, [*keys, "_bin"])
-        .withColumn("_salt", salt)
-        .withColumn("_local", local)
-        .select(
-            *df.columns,
-            (F.col("_off") + F.when(F.col("_flat"), (F.col("_cnt") + 1) / 2.0).otherwise(F.col("_local"))).alias(out),
-            *([F.col("_n").alias(n_out)] if n_out else []),
+    rows = df
+    for value in outs:
+        rows = rows.where(F.col(value).isNotNull())
+    ranked = rows
+    for value, out in outs.items():
+        x = F.col(value).cast("double")
+        counts = rows.groupBy(*keys, value_bin(x).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_cnt"), (F.min(x) == F.max(x)).alias("_flat")
         )
-    )
+        offsets = _bin_offsets(counts, keys, "_flat")
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(64))
+        # bin * 64 + salt: a window key of its own, so the partitions are cut anew after the join.
+        slot = F.col("_bin") * 64 + F.when(F.col("_flat"), salt).otherwise(0)
+        inside = Window.partitionBy(*keys, "_slot").orderBy(value)
+        peers = inside.rangeBetween(Window.currentRow, Window.currentRow)
+        local = F.rank().over(inside) - 1 + (F.count(F.lit(1)).over(peers) + 1) / 2.0
+        have = ranked.columns
+        ranked = (
+            ranked.withColumn("_bin", value_bin(x))
+            .join(offsets, [*keys, "_bin"])
+            .withColumn("_slot", slot)
+            .withColumn("_local", local)
+            .select(
+                *[c for c in have if c != n_out],
+                (F.col("_off") + F.when(F.col("_flat"), (F.col("_cnt") + 1) / 2.0).otherwise(F.col("_local"))).alias(out),
+                *([F.col("_n").alias(n_out)] if n_out else []),
+            )
+        )
+    return ranked
+
+
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, n_out: str | None = None) -> DataFrame:
+    """``with_average_ranks`` of one column."""
+    return with_average_ranks(df, keys, {value: out}, n_out)
 
 
 def with_row_number(

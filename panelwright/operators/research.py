@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright.config import FACTOR_GROUPS, SPREAD_BANDS
 from panelwright.errors import DataError
 from panelwright.functions.columns import finite
-from panelwright.functions.dist import group_quantiles, with_average_rank, with_group_stats
+from panelwright.functions.dist import group_quantiles, with_average_ranks, with_group_stats
 from panelwright.functions.stats import t_two_sided
 from panelwright.operators.standardize import components_for, fit_components, standardized_rows
 
@@ -26,7 +26,7 @@ def paired(scores: DataFrame, forward: DataFrame, x: str = "x") -> DataFrame:
 
 def rank_ic(pairs: DataFrame, keys: Sequence[str] = ("factor", "date"), x: str = "x") -> DataFrame:
     """Spearman correlation of score and forward return per group; null below 3 names."""
-    ranked = with_average_rank(with_average_rank(pairs, keys, x, "_rx"), keys, "fwd", "_ry")
+    ranked = with_average_ranks(pairs, keys, {x: "_rx", "fwd": "_ry"})
     return ranked.groupBy(*keys).agg(
         F.when(F.count(F.lit(1)) >= 3, finite(F.corr("_rx", "_ry"))).alias("ic")
     )
