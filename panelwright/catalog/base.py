@@ -99,3 +99,15 @@ part("macro", """SELECT country, date, 100 * (t / lag(t) OVER w - 1) AS gdp_grow
     sum(o_totalprice) AS t, count(*) FILTER (o_orderpriority = '1-URGENT') AS u, count(*) AS c
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2) WINDOW w AS (PARTITION BY country ORDER BY date)""")
+
+
+def twin(name: str, text: str) -> None:
+    """SQL twin of an already registered query."""
+    if name not in QUERIES or name in SQL:
+        raise KeyError(name)
+    SQL[name] = text
+
+
+def recursive(body: str, *needs: str) -> str:
+    """Like ``sql`` for parts that read themselves."""
+    return "WITH RECURSIVE " + sql(body, *needs).removeprefix("WITH ")

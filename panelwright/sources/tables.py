@@ -32,8 +32,12 @@ class MarketTables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Monthly supplier panel."""
-        return (
+        """Monthly supplier panel.
+
+        Operators read a panel several times (its date axis, lags, ranks). It is
+        written once, so the fact table is scanned once and not once per read.
+        """
+        return cut(
             self.raw("lineitem")
             .groupBy(
                 F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
@@ -108,7 +112,7 @@ class MarketTables:
             F.avg(disc).alias("mean_discount"),
         )
         last = self.panel.groupBy("ticker").agg(F.max_by("close", "date").alias("current_price"))
-        return (
+        return cut(
             sums.join(self.listing, "ticker")
             .join(last, "ticker")
             .select(
@@ -135,7 +139,7 @@ class MarketTables:
         """ticker, period_type, period_date, line_item, value."""
         line = self.raw("lineitem")
         ext, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-        quarter = (
+        quarter = cut(
             line.groupBy("l_suppkey", F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("q"))
             .agg(
                 F.sum(ext).alias("Total Assets"),
