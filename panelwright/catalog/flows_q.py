@@ -1,6 +1,7 @@
 """End-to-end flows."""
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def previous(t):
     return W.equal_weight(names).select(F.lit(1).cast("long").alias("portfolio"), "asset", "w")
 
 
-def run(t):
-    return J.full_run(t.panel, sectors(t), config=RUN, previous=previous(t))
+def run(t, backtest=False):
+    return J.full_run(t.panel, sectors(t), config=replace(RUN, backtest=backtest), previous=previous(t))
 
 
 @query("j1_weights", sql(f"SELECT asset, {rd('w')} AS w FROM ja_w", "ja_w"))
@@ -55,7 +56,7 @@ def j1(t):
 
 @query("j1_backtest", sql(f"SELECT fold, CAST(date AS VARCHAR) AS date, {rd('r')} AS r FROM jbt", "jbt"))
 def j1_backtest(t):
-    return rounded(run(t)["backtest"].select("fold", day(), "r"))
+    return rounded(run(t, True)["backtest"].select("fold", day(), "r"))
 
 
 @query("j1_summary", sql(f"""SELECT 1 AS portfolio, {rd('avg(r)')} AS mean, {rd('avg(r) * 252')} AS annualized_mean, {rd('var_samp(r)')} AS variance, {rd('stddev_samp(r)')} AS standard_deviation,

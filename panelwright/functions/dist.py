@@ -91,6 +91,16 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
     return with_average_ranks(df, keys, {value: out}, n_out)
 
 
+# Rows of one value above which its names are cut into ranges of their own.
+HOT_TIE = 100_000
+
+
+def _text_code(c: Column) -> Column:
+    """Order-preserving number (1 or more) of the first six bytes of a string."""
+    head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6))
+    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("long") + 1
+
+
 def with_row_number(
     df: DataFrame,
     keys: Sequence[str],
@@ -99,21 +109,31 @@ def with_row_number(
     out: str,
     n_out: str,
 ) -> DataFrame:
-    """Ascending row number of non-null values, ties broken by ``tie``, and the group size.
+    """Ascending row number of non-null values, ties broken by the string ``tie``, and the group size.
 
-    Only rows of one bin meet in one sort.
+    Only rows of one bin meet in one sort. A bin that is one value held by very many
+    rows is ordered by ``tie`` alone, so it is cut again by the leading bytes of ``tie``.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("_bin", value_bin(F.col(value)))
-    offsets = _bin_offsets(
-        rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_cnt")), keys
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull()).withColumn("_bin", value_bin(x))
+    counts = rows.groupBy(*keys, "_bin").agg(
+        F.count(F.lit(1)).alias("_cnt"), (F.min(x) == F.max(x)).alias("_flat")
+    )
+    offsets = _bin_offsets(counts, keys, "_flat")
+    hot = F.col("_flat") & (F.col("_cnt") > HOT_TIE)
+    rows = rows.join(offsets, [*keys, "_bin"]).withColumn("_part", F.when(hot, _text_code(F.col(tie))).otherwise(0))
+    before = Window.partitionBy(*keys, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inner = (
+        rows.where("_part > 0").groupBy(*keys, "_bin", "_part").agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, "_bin", "_part", F.sum("_c").over(before).alias("_skip"))
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value, tie)
+    inside = Window.partitionBy(*keys, "_bin", "_part").orderBy(value, tie)
     return (
-        rows.withColumn("_in", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bin"])
+        rows.join(inner, [*keys, "_bin", "_part"], "left")
+        .withColumn("_in", F.row_number().over(inside))
         .select(
             *df.columns,
-            (F.col("_off") + F.col("_in")).cast("long").alias(out),
+            (F.col("_off") + F.coalesce("_skip", F.lit(0)) + F.col("_in")).cast("long").alias(out),
             F.col("_n").alias(n_out),
         )
     )

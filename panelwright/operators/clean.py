@@ -287,9 +287,11 @@ def fit_pre_selection(
     stats = outlier_stats(validate(train, c.max_abs_return))
     rows = impute_by_sector(treat_outliers(validate(train, c.max_abs_return), stats, c.winsor_z, c.remove_z), sectors)
     rows = cut(rows)
-    rows = rows.join(complete_assets(rows), "ticker", "left_semi").join(
-        varying_assets(rows, c.variance_floor), "ticker", "left_semi"
-    )
+    # Complete and varying in one aggregate.
+    width = date_axis(rows).agg(F.max("idx").alias("n_dates"))
+    per = rows.groupBy("ticker").agg(F.count("r").alias("n"), F.var_samp("r").alias("v"))
+    good = attach_one(per, width).where((F.col("n") == F.col("n_dates")) & (F.col("v") > c.variance_floor))
+    rows = rows.join(good.select("ticker"), "ticker", "left_semi")
     gone = correlated_assets(rows, c.correlation_threshold, c.absolute_correlation)
     assets = rows.select("ticker").distinct().join(gone, "ticker", "left_anti")
     if c.top_k is not None:

@@ -56,12 +56,22 @@ def test_average_rank(skewed):
     assert (got.loc[want.index, "n"] == want.groupby("g")["x"].transform("size")).all()
 
 
-def test_row_number(skewed):
+@pytest.mark.parametrize("hot", [100_000, 50])
+def test_row_number(skewed, monkeypatch, hot):
+    monkeypatch.setattr(dist, "HOT_TIE", hot)
     frame, df = skewed
     got = dist.with_row_number(df, ["g"], "x", "name", "rn", "n").toPandas()
     for _, part in got.groupby("g"):
         order = part.sort_values(["x", "name"])
         assert list(order["rn"]) == list(range(1, len(part) + 1))
+        assert (part["n"] == len(part)).all()
+
+
+def test_text_code_keeps_the_order(spark):
+    words = ["", "A", "AB", "ABCDEF", "ABCDEFG", "B", "S1", "S10", "S2", "Zé", "Zz", "é"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", dist._text_code(F.col("w")).alias("c")).orderBy("w").collect()
+    codes = [r["c"] for r in got]
+    assert codes == sorted(codes) and codes[0] >= 1
 
 
 def test_group_quantiles(skewed):
