@@ -81,6 +81,7 @@ class SelectionRunConfig:
     selection: SelectionConfig = field(default_factory=SelectionConfig)
     use_regime: bool = False
     country: str | None = None
+    statement_date: str | None = None
     run: RunConfig = field(default_factory=RunConfig)
 
 
@@ -89,8 +90,13 @@ def select_universe(
     statements: DataFrame | None = None, ratings: DataFrame | None = None, trades: DataFrame | None = None,
     macro: DataFrame | None = None, ic: DataFrame | None = None, members: DataFrame | None = None, as_of=None,
 ) -> DataFrame:
-    """Screens, factors of the survivors, standardization, regime tilts, composite, selection: (ticker)."""
+    """Screens, factors of the survivors, standardization, regime tilts, composite, selection: (ticker).
+
+    With ``statement_date`` and ``as_of`` the fundamentals are a history, cut to what was public.
+    """
     c = config
+    if c.statement_date is not None and as_of is not None:
+        fundamentals = cut(factors.point_in_time(fundamentals, as_of, c.factors.annual_lag_days, c.statement_date))
     kept = cut(universe.investable(fundamentals, prices, statements, c.screens, members))
     panel = prices.join(kept, "ticker", "left_semi")
     own = fundamentals.join(kept, "ticker", "left_semi")

@@ -66,10 +66,13 @@ def upsert_table(incoming: DataFrame, path: str, key: Sequence[str], partition:
     if not touched:
         return
     try:
-        old = spark.read.schema(incoming.schema).parquet(path).where(F.col(partition).isin(touched)).select(*incoming.columns)
-        merged = cut(merge_rows(old, incoming, [*key]))
-    except AnalysisException:
-        merged = cut(merge_rows(incoming.limit(0), incoming, [*key]))
+        old = spark.read.schema(incoming.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = incoming.limit(0)
+    old = old.where(F.col(partition).isin(touched)).select(*incoming.columns)
+    merged = cut(merge_rows(old, incoming, [*key]))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 

@@ -23,6 +23,20 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """JSON quotes of a Kafka topic as a stream; needs the Kafka connector on the class path."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return parse_quotes(raw)
+
+
+def parse_quotes(raw: DataFrame) -> DataFrame:
+    """(ts, symbol, price, size) from messages whose ``value`` is a JSON object; broken messages are dropped."""
+    q = F.from_json(F.col("value").cast("string"), "ts timestamp, symbol string, price double, size double")
+    return raw.select(q.alias("q")).select("q.*").where(
+        F.col("ts").isNotNull() & F.col("symbol").isNotNull() & F.col("price").isNotNull()
+    )
+
+
 def quotes(stream: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
     """(ts, symbol, price, size) of the subscribed symbols; the event time becomes a timestamp."""
     q = stream.select(F.col("ts").cast("timestamp").alias("ts"), "symbol", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))

@@ -87,6 +87,12 @@ def source(spark, path):
     return streams.quotes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path))
 
 
+def test_json_quotes(spark):
+    rows = [('{"ts": "2024-01-01T10:00:00Z", "symbol": "A", "price": 1.5, "size": 2}',), ("broken",), ('{"symbol": "B", "price": 1}',)]
+    got = streams.parse_quotes(spark.createDataFrame(rows, "value string")).collect()
+    assert [(r["symbol"], r["price"], r["size"]) for r in got] == [("A", 1.5, 2.0)]
+
+
 def test_bars_drop_late_rows(spark):
     path = fresh_path(spark, "src")
     put(spark, path, [("2024-01-01 00:01", "A", 1), ("2024-01-01 00:30", "A", 3), ("2024-01-01 05:00", "A", 9)], 1)
