@@ -26,8 +26,18 @@ def value_bin(x: Column) -> Column:
     return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size)
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
+# Keys whose number of values is bounded whatever the data are: calendar days and factors.
+_BOUNDED_KEYS = {"date", "factor"}
+
+
+def by_calendar(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Broadcast hint for a table with a fixed few rows per date and factor.
+
+    Thirty years of days times all factors stay in the tens of megabytes, so the long
+    side need not be shuffled by date for the join. Other keys are left to adaptive
+    execution, which goes by measured sizes.
+    """
+    return F.broadcast(table) if keys and set(keys) <= _BOUNDED_KEYS else table
 
 
 def _bin_offsets(counts: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
@@ -175,7 +185,7 @@ def group_quantiles(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = (
-        rows.join(hit.select(*keys, "_bin", "_off", "_n"), [*keys, "_bin"])
+        rows.join(by_calendar(hit.select(*keys, "_bin", "_off", "_n"), keys), [*keys, "_bin"])
         .groupBy(*keys, "_bin", "_off", "_n", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
@@ -205,7 +215,7 @@ def with_group_stats(
     execution broadcasts when its measured size allows and skew-splits otherwise.
     """
     stats = df.groupBy(*keys).agg(*aggs)
-    return df.join(stats, list(keys), how) if keys else attach_one(df, stats)
+    return df.join(by_calendar(stats, keys), list(keys), how) if keys else attach_one(df, stats)
 
 
 def attach_one(df: DataFrame, one: DataFrame) -> DataFrame:

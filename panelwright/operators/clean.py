@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright.config import CleaningConfig
 from panelwright.errors import DataError
 from panelwright.functions.columns import clip
-from panelwright.functions.dist import attach_one, value_bin
+from panelwright.functions.dist import attach_one, by_calendar, value_bin
 from panelwright.functions.pairs import mirrored, pair_sums, with_moments
 from panelwright.session import cut
 from panelwright.sources.panel import date_axis, dense, with_axis
@@ -55,7 +55,7 @@ def impute_by_sector(returns: DataFrame, sectors: DataFrame) -> DataFrame:
     by_date = by_sector.groupBy("date").agg(F.sum("_s").alias("_ds"), F.sum("_n").alias("_dn"))
     return (
         cells.join(by_sector, ["date", "sector"])
-        .join(by_date, "date")
+        .join(by_calendar(by_date, ["date"]), "date")
         .select(
             "date", "ticker",
             F.coalesce("r", F.try_divide(F.col("_s"), F.col("_n")), F.try_divide(F.col("_ds"), F.col("_dn"))).alias("r"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.config import CORE_FACTORS, FACTOR_GROUPS, FactorConfig
 from panelwright.functions.columns import pick_column
-from panelwright.functions.dist import attach_one
+from panelwright.functions.dist import attach_one, by_calendar
 from panelwright.sources.panel import with_axis
 
 # Numerator columns and denominator columns of the ratio factors, first existing one wins.
@@ -122,7 +122,7 @@ def price_factors(panel: DataFrame, config: FactorConfig | None = None, market:
         by_date = rows.groupBy("date").agg((F.sum("r") / F.max("n_names") if c.complete_dates else F.avg("r")).alias("m"))
     else:
         by_date = market.select("date", "m")
-    rows = rows.join(by_date, "date", "left")
+    rows = rows.join(by_calendar(by_date, ["date"]), "date", "left")
     dates = rows.where(F.col("m").isNotNull()).groupBy("idx").agg(F.first("m").alias("m"), F.max("n_dates").alias("n_dates"), F.max("_span").alias("_span"))
     in_beta = F.col("idx") > F.col("n_dates") - F.least("_span", F.lit(c.beta_lookback))
     mk = dates.where(in_beta).agg(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright.config import FACTOR_GROUPS, SPREAD_BANDS
 from panelwright.errors import DataError
 from panelwright.functions.columns import finite
-from panelwright.functions.dist import group_quantiles, with_average_ranks, with_group_stats
+from panelwright.functions.dist import by_calendar, group_quantiles, with_average_ranks, with_group_stats
 from panelwright.functions.stats import t_two_sided
 from panelwright.operators.standardize import components_for, fit_components, standardized_rows
 
@@ -105,7 +105,7 @@ def quantile_buckets(pairs: DataFrame, n: int, keys: Sequence[str], x: str = "x"
     cuts = cuts.select(*keys, "n_names", edges.alias("_edges"))
     inner = F.slice(F.col("_edges"), F.lit(2), F.greatest(F.size("_edges") - 1, F.lit(0)))
     bucket = F.size(F.filter(inner, lambda e: e < F.col(x)))
-    return pairs.join(cuts, list(keys)).withColumn("bucket", bucket).drop("_edges")
+    return pairs.join(by_calendar(cuts, keys), list(keys)).withColumn("bucket", bucket).drop("_edges")
 
 
 def quantile_spread(pairs: DataFrame, n: int = 5, keys: Sequence[str] = ("factor", "date"), x: str = "x") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.config import SelectionConfig
-from panelwright.functions.dist import attach_one, group_quantiles, top_k, with_row_number
+from panelwright.functions.dist import attach_one, by_calendar, group_quantiles, top_k, with_row_number
 from panelwright.operators.universe import flag_members
 from panelwright.sources.panel import with_axis
 
@@ -50,7 +50,7 @@ def over_dates(scores: DataFrame, config: SelectionConfig) -> DataFrame:
     else:
         exit_q = config.target_quantile if config.exit_quantile is None else config.exit_quantile
         cuts = group_quantiles(rows, ["date"], "score", {"_in": config.target_quantile, "_out": exit_q})
-        ranked = rows.join(cuts, "date")
+        ranked = rows.join(by_calendar(cuts, ["date"]), "date")
         mark = F.when(s >= F.col("_in"), 1).when(s < F.col("_out"), 0)
     w = Window.partitionBy("ticker").orderBy("idx")
     gap = F.coalesce(F.col("idx") - F.lag("idx").over(w) != 1, F.lit(True))

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelwright.config import StandardizeConfig
 from panelwright.errors import ConfigurationError, DataError
 from panelwright.functions.columns import clip
-from panelwright.functions.dist import group_quantiles, with_average_rank, with_group_stats
+from panelwright.functions.dist import by_calendar, group_quantiles, with_average_rank, with_group_stats
 from panelwright.functions.stats import normal_quantile
 
 
 def winsorize(df: DataFrame, keys: Sequence[str], x: str = "x", lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Clip at the group's quantiles (linear interpolation)."""
     cuts = group_quantiles(df, keys, x, {"_lo": lower, "_hi": upper})
-    return df.join(cuts, list(keys), "left").withColumn(x, clip(F.col(x), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return df.join(by_calendar(cuts, keys), list(keys), "left").withColumn(x, clip(F.col(x), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def z_score(df: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:

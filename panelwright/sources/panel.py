@@ -52,8 +52,12 @@ def date_axis(panel: DataFrame) -> DataFrame:
 
 
 def with_axis(panel: DataFrame) -> DataFrame:
-    """Adds the date index and the number of panel dates."""
-    return panel.drop("idx", "n_dates").join(date_axis(panel), "date")
+    """Adds the date index and the number of panel dates.
+
+    The axis has one row per calendar day at most, so it is broadcast and the panel
+    is not shuffled by date.
+    """
+    return panel.drop("idx", "n_dates").join(F.broadcast(date_axis(panel)), "date")
 
 
 def last_rows(panel: DataFrame, window: int) -> DataFrame:
