@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from panelwright.config import Band, DriftRule

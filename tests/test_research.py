@@ -6,7 +6,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import long
 from panelwright.operators import alpha, folds, mimicking, research
