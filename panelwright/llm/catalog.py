@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from panelwright.llm import chat, licenses, shards  # noqa: F401
+from panelwright.llm import chat, licenses, quality, repeats, shards  # noqa: F401
 from panelwright.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
