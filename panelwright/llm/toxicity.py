@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positive class, texts drawn without regard to labels the
-unlabelled one. The risk estimator weighs positives by the class prior and takes their share
+Confirmed toxic texts are the positive class. The unlabelled one is drawn from the rows that
+were looked at, without regard to what was found, so its share of toxic texts is the prior. The risk estimator weighs positives by the class prior and takes their share
 out of the unlabelled part; where that part falls below zero the model fits noise, and the
 step goes the other way. Features are words and word beginnings.
 """
@@ -44,17 +44,17 @@ def features(word: str, lengths: tuple[int, int]) -> list[str]:
     return [f"{word} ", *(word[:n] for n in range(lengths[0], min(lengths[1], len(word)) + 1))]
 
 
-def _feature_ids(texts: Iterable[str], names: dict[str, int], config: ToxicityConfig, grow: bool) -> list[np.ndarray]:
-    """Distinct features of each text as numbers; unknown ones are numbered or left out."""
+def _count_features(texts: Iterable[str], names: dict[str, int], config: ToxicityConfig, grow: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text its features as numbers and the distinct words that have them; unknown features are numbered or left out."""
     out = []
     for t in texts:
-        found = set()
+        found: dict[int, int] = {}
         for w in set(LETTERS.findall(t.lower())):
             for f in features(w, config.prefixes):
                 k = names.setdefault(f, len(names)) if grow else names.get(f)
                 if k is not None:
-                    found.add(k)
-        out.append(np.fromiter(found, np.int64, len(found)))
+                    found[k] = found.get(k, 0) + 1
+        out.append((np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float32, len(found))))
     return out
 
 
@@ -98,14 +98,14 @@ class ToxicityModel:
             cache.clear()
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            found: set[int] = set()
+            found: dict[int, int] = {}
             for word in set(LETTERS.findall(t.lower())):
                 known = cache.get(word)
                 if known is None:
                     known = cache[word] = tuple(self.names[f] for f in features(word, self.config.prefixes) if f in self.names)
-                if known:
-                    found.update(known)
-            z = self.weights[:, sorted(found)].sum(axis=1) + self.weights[:, -1]
+                for k in known:
+                    found[k] = found.get(k, 0) + 1
+            z = self.weights[:, list(found)] @ np.log2(1 + np.fromiter(found.values(), np.float32, len(found))) + self.weights[:, -1]
             out[i] = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean()
         return out
 
@@ -115,19 +115,19 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     known = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     n, p = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
     prior = min(max((p or 0) / n, 1e-4), 0.5) if n else 1e-4
-    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text")
+    texts = docs.filter("text is not null").select("doc_id", "text")
     toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_positives)
-    drawn = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(config.max_unlabelled).distinct()
+    drawn = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(config.max_unlabelled)
     sample = toxic.withColumn("part", F.lit(1)).unionByName(drawn.withColumn("part", F.lit(0)))
     rows = texts.join(F.broadcast(sample), "doc_id").orderBy("part", F.xxhash64("doc_id"), "text").collect()  # the bounded sample
     numbers: dict[str, int] = {}
-    positive = _feature_ids((r["text"] for r in rows if r["part"] == 1), numbers, config, grow=True)
-    in_p = np.bincount(np.concatenate(positive), minlength=len(numbers)) if numbers else np.zeros(0, np.int64)
+    positive = _count_features((r["text"] for r in rows if r["part"] == 1), numbers, config, grow=True)
+    in_p = np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in positive)]), minlength=len(numbers))
     often = {f: k for f, k in numbers.items() if in_p[k] >= config.min_positives}
     del numbers
-    unlabelled = _feature_ids((r["text"] for r in rows if r["part"] == 0), often, config, grow=False)
+    unlabelled = _count_features((r["text"] for r in rows if r["part"] == 0), often, config, grow=False)
     del rows
-    in_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]), minlength=len(in_p))
+    in_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in unlabelled)]), minlength=len(in_p))
     gain = {}
     for f, k in often.items():
         a, b = (in_p[k] + 0.5) / (len(positive) + 1), (in_u[k] + 0.5) / (len(unlabelled) + 1)
@@ -138,11 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     place = np.full(len(in_p) + 1, -1)
     place[[often[f] for f in kept]] = np.arange(len(kept))
 
-    def matrix(found: list[np.ndarray]) -> np.ndarray:
+    def matrix(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         x = np.zeros((len(found), len(names)), np.float32)
-        for i, s in enumerate(found):
-            at = place[s]
-            x[i, at[at >= 0]] = 1
+        for i, (k, n) in enumerate(found):
+            at = place[k]
+            x[i, at[at >= 0]] = np.log2(1 + n[at >= 0])
         return x
 
     if not positive or not unlabelled:
