@@ -9,6 +9,7 @@ step goes the other way. Features are words and word beginnings.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -126,7 +127,6 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     often = {f: k for f, k in numbers.items() if in_p[k] >= config.min_positives}
     del numbers
     unlabelled = _count_features((r["text"] for r in rows if r["part"] == 0), often, config, grow=False)
-    del rows
     in_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in unlabelled)]), minlength=len(in_p))
     gain = {}
     for f, k in often.items():
@@ -151,9 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
         return ToxicityModel(names, w[None, :], config)
     xp, xu = matrix(positive), matrix(unlabelled)
     members = []
-    for k in range(config.members):
-        rng = np.random.default_rng(k)
-        members.append(fit_nnpu(xp[rng.random(len(xp)) < 0.8], xu[rng.random(len(xu)) < 0.8], prior, config))
+    fold_p, fold_u = (np.array([zlib.crc32(b"%d" % r["doc_id"]) // 4 % 5 for r in rows if r["part"] == part]) for part in (1, 0))
+    for k in range(config.members):  # a text is left out of both samples or of neither
+        members.append(fit_nnpu(xp[fold_p != k], xu[fold_u != k], prior, config))
     return ToxicityModel(names, np.array(members), config)
 
 
