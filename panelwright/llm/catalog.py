@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from panelwright.llm import chat, decontaminate, licenses, packing, quality, repeats, shards, tokens, toxicity  # noqa: F401
+from panelwright.llm import chat, decontaminate, jaccard, licenses, packing, quality, repeats, shards, tokens, toxicity  # noqa: F401
 from panelwright.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
