@@ -22,10 +22,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panelwright.llm.registry import query, table
 
 
+SLICE = 1_000  # documents that are searched at a time
+
+
 @dataclass(frozen=True)
 class LeakConfig:
     """``agreement`` is the share of embedding places that agree, to be expected at the edit limit.
@@ -202,42 +206,60 @@ class LeakIndex:
         return out
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, config: LeakConfig) -> list:
+    """Broadcast indexes of the benchmark, a block of bounded size each."""
+    items = benchmark.filter("length(trim(text)) > 0").select("item_id", "text")
+    n_blocks = max(1, math.ceil(items.count() / (config.block_items / 2)))
+    blocks = items.withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
+    out = []
+    for k in range(n_blocks):
+        rows = blocks.filter(F.col("_block") == k).orderBy("item_id", "text").collect()
+        out.append(docs.sparkSession.sparkContext.broadcast(LeakIndex([(r["item_id"], r["text"]) for r in rows], config)))
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """Documents that hold a benchmark item, a row per document and item.
 
     An item is held by a substring within ``max_edits`` of its length, both with ASCII letters
     lower-cased and white space made single. Null and empty texts and items hold and are nothing;
-    repeated documents are reported one by one, repeated items as well; other columns are ignored.
+    repeated documents are reported one by one, equal items too; other columns are ignored.
     Documents are not shuffled; the benchmark is read in blocks of bounded size.
     Columns: doc_id, item_id, n_edits, item_chars.
     """
-    items = benchmark.filter("length(trim(text)) > 0").select("item_id", "text")
-    n_blocks = max(1, math.ceil(items.count() / (config.block_items / 2)))
-    blocks = items.withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
-    schema = docs.select("doc_id").schema
-    schema.add(items.schema["item_id"])
-    schema.add("n_edits", "long").add("item_chars", "long")
-
-    def search(block: int) -> DataFrame:
-        rows = blocks.filter(F.col("_block") == block).orderBy("item_id", "text").collect()
-        index = docs.sparkSession.sparkContext.broadcast(LeakIndex([(r["item_id"], r["text"]) for r in rows], config))
-        id_type = pa.int64() if rows and isinstance(rows[0]["item_id"], int) else pa.string()
+    schema = docs.select("doc_id").schema.add(benchmark.schema["item_id"]).add("n_edits", "long").add("item_chars", "long")
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
+    def search(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = index.value
             for batch in batches:
-                for low in range(0, batch.num_rows, 1000):
-                    part = batch.slice(low, 1000)
+                for low in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(low, SLICE)
                     found = known.leaks(part.column("text"))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([
-                            part.column("doc_id").take(pa.array([t for t, *_ in found])), pa.array([known.ids[n] for _, n, *_ in found], id_type),
-                            pa.array([e for _, _, e, _ in found], pa.int64()), pa.array([len(known.texts[n]) for _, n, *_ in found], pa.int64()),
-                        ], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("doc_id").take(pa.array([t for t, *_ in found], pa.int64())), pa.array([known.ids[n] for _, n, *_ in found], id_type),
+                        pa.array([e for _, _, e, _ in found], pa.int64()), pa.array([len(known.texts[n]) for _, n, *_ in found], pa.int64()),
+                    ], names=schema.names)
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, (search(b) for b in range(n_blocks)))
+    return reduce(DataFrame.unionByName, map(search, _indexes(docs, benchmark, config)))
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
+    """Documents that hold no benchmark item, with all their columns; as ``find_leaks`` finds them, without a shuffle."""
+    for index in _indexes(docs, benchmark, config):
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(low, SLICE)
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[t for t, *_ in index.value.leaks(part.column("text"))]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 @query("op7_decontamination")

@@ -39,8 +39,8 @@ class JoinConfig:
     the Bloom filter of documents whose sets are read again; neither changes the result.
     """
 
-    words: int = 3
-    percent: int = 90
+    words: int = 5
+    percent: int = 80
     block: int = 256
     heavy_local: int = 3
     heavy_tokens: int = 200_000
@@ -337,6 +337,15 @@ def similarity_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> Da
         F.when(F.col("component").isNull(), back("d")).otherwise(back("component")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """The document with the smallest id of every component; documents without a word are components of their own.
+
+    Rows that repeat an id stay or go together.
+    """
+    first = similarity_classes(docs, config).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+
+
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark, folder):
-    return similarity_classes(table(spark, folder, "documents"))
+    return similarity_classes(table(spark, folder, "documents"), JoinConfig(words=3, percent=90))

@@ -103,7 +103,7 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), keep:
     words, ``n_longest_repeat`` the words of the longest repeated substring.
     """
     carried = ["doc_id", *keep]
-    rows = docs.select(*carried, F.col("text").alias("_text"))
+    rows = docs.select(*carried, *([] if "text" in keep else ["text"]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeat_chars", "n_longest_repeat"]
     schema = rows.select(*carried).schema
     for n in names:
@@ -111,7 +111,7 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = _measure([t or "" for t in batch.column("_text").to_pylist()], rules)
+            got = _measure([t or "" for t in batch.column("text").to_pylist()], rules)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), *(pa.array(got[n], pa.int64()) for n in names)], names=[*carried, *names])
 

@@ -351,6 +351,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     return out.select(doc_id, *carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else []))
 
 
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The documents with what is left of their texts; those of which nothing is left go.
+
+    A character that loses some of its bytes goes whole. n_chars, if there, is counted anew.
+    """
+    kept = remove_repeats(docs, length, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [raw.decode(errors="ignore") for raw in batch.column("kept").to_pylist()]
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in schema.names], names=schema.names)
+            yield out.filter(pa.array([bool(t) for t in texts], pa.bool_()))
+
+    return kept.drop("n_bytes", "n_removed", "n_spans", "kept_sha256").mapInArrow(run, schema)
+
+
 @query("op2_repeats")
 def op2_repeats(spark, folder):
     return remove_repeats(table(spark, folder, "documents"), with_bytes=False)
