@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,7 +43,7 @@ class LeakConfig:
     agreement: float = 0.74
     places: int = 6  # of the embedding in a key
     starts: int = 16  # windows of an item
-    least_bytes: int = 24  # shorter items are looked up as a whole
+    least_bytes: int = 24  # shorter items are looked up as they stand
     block_items: int = 10_000
     seed: int = 11
 
@@ -124,10 +125,14 @@ class LeakIndex:
         self.embeddings: dict[int, Embedding] = {}
         self.words: dict[str, set[int]] = defaultdict(set)  # start word: length classes
         rows: dict[int, list[tuple]] = defaultdict(list)
+        short: dict[str, list[int]] = {}
         for n, text in enumerate(self.texts):
             raw = text.encode()
             if not raw:
                 continue
+            if len(raw) < config.least_bytes:
+                short.setdefault(text, []).append(n)
+                continue
             window = max(config.least_bytes, 1 << max(0, int(len(raw) * 0.5).bit_length() - 1))
             words, at = [], 0
             for w in text.split(" "):
@@ -140,6 +145,12 @@ class LeakIndex:
                     break
                 self.words[w].add(window)
                 rows[window].append((n, o, raw))
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for text, numbers in short.items():
+                self.short.add_word(text, (text, numbers))
+            self.short.make_automaton()
         self.keys, self.places = {}, {}
         for window, found in rows.items():
             e = self.embeddings[window] = Embedding(window, config)
@@ -188,6 +199,10 @@ class LeakIndex:
         """(text, item, edits, end): the closest match of every item that a text holds within the limit."""
         clean = normalize(texts)
         out = []
+        if self.short is not None:
+            for t, text in enumerate(clean.to_pylist()):
+                found = {item: (end + 1, numbers) for end, (item, numbers) in self.short.iter(text)}
+                out += [(t, n, 0, len(text[:end].encode())) for end, numbers in found.values() for n in numbers]
         for (t, n), offsets in sorted(self.candidates(clean).items()):
             raw, item = clean[t].as_py().encode(), self.texts[n]
             limit = int(self.config.max_edits * len(item))
@@ -222,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakC
     """Documents that hold a benchmark item, a row per document and item.
 
     An item is held by a substring within ``max_edits`` of its length, both with ASCII letters
-    lower-cased and white space made single. Null and empty texts and items hold and are nothing;
+    lower-cased and white space made single; one of less than ``least_bytes`` by an equal substring. Null and empty texts and items hold and are nothing;
     repeated documents are reported one by one, equal items too; other columns are ignored.
     Documents are not shuffled; the benchmark is read in blocks of bounded size.
     Columns: doc_id, item_id, n_edits, item_chars.

@@ -30,9 +30,9 @@ class QualityRules:
 
     min_words: int = 20
     window: int = 8
-    max_repeat_words: float = 0.30  # share of the words in repeated windows
-    max_covered: float = 0.30  # share of the characters under repeated substrings
-    max_longest: float = 0.25  # share of the words in the longest repeated substring
+    max_repeat_words: int = 30  # percent of the words in repeated windows
+    max_covered: int = 30  # percent of the characters under repeated substrings
+    max_longest: int = 25  # percent of the words in the longest repeated substring
 
 
 def repeats(documents: list[list[str]], window: int) -> tuple[list[int], list[int], list[int]]:
@@ -116,9 +116,9 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), keep:
                 [*(batch.column(c) for c in carried), *(pa.array(got[n], pa.int64()) for n in names)], names=[*carried, *names])
 
     n = F.col("n_words")
-    base_failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > F.round(100 * F.lit(rules.max_repeat_words)) * n)
-    method_failed = (F.col("n_repeat_chars") > rules.max_covered * F.col("word_chars")) | (
-        (F.col("n_longest_repeat") >= rules.window) & (F.col("n_longest_repeat") > rules.max_longest * n))
+    base_failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_words * n)
+    method_failed = (100 * F.col("n_repeat_chars") > rules.max_covered * F.col("word_chars")) | (
+        (F.col("n_longest_repeat") >= rules.window) & (100 * F.col("n_longest_repeat") > rules.max_longest * n))
     return (
         rows.mapInArrow(run, schema).withColumn("base_failed", base_failed)
         .withColumn("kept", ~(F.col("base_failed") | method_failed))
