@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.registry import query, table
@@ -56,12 +56,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each text, and where each text's set ends."""
     spaced = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[ \\t-\\r]+", " ")
-    split = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
+    trimmed = pc.utf8_trim(spaced, " ")
+    split = pc.split_pattern(trimmed, " ")
     n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = split.flatten().dictionary_encode()
     code = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
     code = code[flat.indices.to_numpy(zero_copy_only=False)]
-    empty = pc.equal(pc.binary_length(spaced), 0).to_numpy(zero_copy_only=False) | (pc.utf8_trim(spaced, " ").to_numpy(zero_copy_only=False) == "")
+    empty = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
     starts = np.cumsum(n) - n
     text_of = np.repeat(np.arange(len(n)), n)
     # a shingle of all words of a shorter text; its length is hashed too
@@ -73,7 +74,11 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(words):
         h = np.where(k < size[at], _mix(h * np.uint64(0x9E3779B97F4A7C15) + code[np.minimum(at + k, len(code) - 1)]), h)
     doc = text_of[at]
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    if len(n) < 1 << 16:  # a radix sort then
+        order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     if len(h):
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
@@ -114,6 +119,29 @@ def heavy_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
     return top["token"].to_numpy(np.int64).view(np.uint64)[::-1]
 
 
+def _sums(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    return upto[begin + n] - upto[begin]
+
+
+def _prefixes(h: np.ndarray, rank: np.ndarray, doc: np.ndarray, begin: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``most`` shingles of each text in order of rank and hash: shingle, place, text. ``h`` is sorted within texts."""
+    rare = np.cumsum(rank == 0)
+    rare_before = np.concatenate(([0], rare))[begin]
+    place = rare - 1 - rare_before[doc]
+    take = np.flatnonzero((rank == 0) & (place < most[doc]))
+    heavy = np.flatnonzero(rank > 0)
+    heavy = heavy[np.lexsort((rank[heavy], doc[heavy]))]
+    owner = doc[heavy]
+    n_rare = np.bincount(doc[rank == 0], minlength=len(begin))
+    first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(begin)))))[owner]
+    heavy_place = n_rare[owner] + np.arange(len(heavy)) - first
+    late = heavy_place < most[owner]
+    at, places = np.concatenate((take, heavy[late])), np.concatenate((place[take], heavy_place[late]))
+    order = np.lexsort((places, doc[at]))
+    return h[at[order]], places[order], doc[at[order]]
+
+
 def signatures(docs: DataFrame, heavy: np.ndarray, config: JoinConfig) -> DataFrame:
     """Per document: d, n, s1 and s2 (two sums of the set), prefix (shingles in order), columns (counts)."""
     spark = docs.sparkSession
@@ -131,19 +159,20 @@ def signatures(docs: DataFrame, heavy: np.ndarray, config: JoinConfig) -> DataFr
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, weight[at], 0)
-                by_rarity = np.lexsort((h, rank, doc))
-                pos = np.arange(len(h)) - (ends - n)[doc]
-                take = pos < (n - needed(n, config.percent) + 1)[doc]
-                prefix = h[by_rarity][take].view(np.int64)
-                lengths = np.bincount(doc[take], minlength=len(n))
+                begin = ends - n
+                s1 = _sums(h, begin, n)
+                s2 = _sums(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), begin, n)
+                # a copy of another text of the batch has the same prefix, which is only told once
+                first = np.zeros(len(n), bool)
+                first[np.unique(np.stack([s1, s2]), axis=1, return_index=True)[1]] = True
+                most = np.where(first, n - needed(n, config.percent) + 1, 0)
+                prefix, position, owner = _prefixes(h, rank, doc, begin, most)
+                lengths = np.bincount(owner, minlength=len(n))
                 counts = np.bincount(doc * COLUMNS + (h >> np.uint64(56)).astype(np.int64), minlength=len(n) * COLUMNS)
                 rows = np.minimum(counts, 65535).astype("<u2").reshape(len(n), COLUMNS)
-                s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                np.add.at(s1, doc, h)
-                np.add.at(s2, doc, _mix(h ^ np.uint64(0x5851F42D4C957F2D)))
                 yield pa.RecordBatch.from_arrays([
                     part.column("d"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(prefix)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(prefix.view(np.int64))),
                     pa.array([r.tobytes() for r in rows], pa.binary()),
                 ], names=["d", "n", "s1", "s2", "prefix", "columns"])
 
@@ -219,26 +248,71 @@ def _star_pairs(percent: int):
     return run
 
 
+def _met(q: list[dict], g: list[dict], same: bool, percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of a query and a member of a block that lie in different components and that the matrix allows."""
+    out_a: list[int] = []
+    out_b: list[int] = []
+    if not q or not g:
+        return out_a, out_b
+    (qi, qn, ql, qc), (gi, gn, gl, gc) = ((
+        [m["node"] for m in x], np.array([m["n"] for m in x]), np.array([m["label"] for m in x]),
+        np.frombuffer(b"".join(m["columns"] for m in x), "<u2").reshape(-1, COLUMNS)) for x in (q, g))
+    union = gc.max(axis=0).astype(np.int32)  # the block's row of the matrix
+    shared = qn - np.maximum(qc.astype(np.int32) - union, 0).sum(axis=1)
+    for i in np.flatnonzero(shared >= needed(qn, percent)).tolist():
+        near = np.flatnonzero((gl != ql[i]) & (100 * np.minimum(gn, qn[i]) >= percent * np.maximum(gn, qn[i])))
+        ok = near[_may_link(qn[i], qc[i][None, :], gn[near], gc[near], percent)]
+        for j in ok.tolist():
+            if not same or qi[i] < gi[j]:
+                out_a.append(qi[i])
+                out_b.append(gi[j])
+    return out_a, out_b
+
+
 def _block_pairs(percent: int):
-    """Arrow function: two blocks of a group, to pairs of different components that the matrix allows."""
+    """Arrow function: two blocks of a group, or a group that is one block, to the pairs that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, left, right in zip(*(batch.column(c).to_pylist() for c in ("same", "queries", "members"))):
-                if not left or not right:
-                    continue
-                q, g = (([m["node"] for m in x], np.array([m["n"] for m in x]), np.array([m["label"] for m in x]),
-                         np.frombuffer(b"".join(m["columns"] for m in x), "<u2").reshape(-1, COLUMNS)) for x in (left, right))
-                union = g[3].max(axis=0).astype(np.int32)  # the block's row of the matrix
-                shared = q[1] - np.maximum(q[3].astype(np.int32) - union, 0).sum(axis=1)
-                out_a, out_b = [], []
-                for i in np.flatnonzero(shared >= needed(q[1], percent)).tolist():
-                    ok = (g[2] != q[2][i]) & _may_link(q[1][i], q[3][i][None, :], g[1], g[3], percent)
-                    for j in np.flatnonzero(ok).tolist():
-                        if not same or q[0][i] < g[0][j]:
-                            out_a.append(q[0][i])
-                            out_b.append(g[0][j])
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                a, b = _met(left, left if same else right, same, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _with_partners(percent: int):
+    """Arrow function over members sorted by group and size, to those with a neighbour of another component in reach of their size.
+
+    Sizes are looked at up and down to the nearest member of another label; if that one is out of
+    reach, all others are.
+    """
+
+    def solve(table: pa.Table) -> pa.Table:
+        group, n, label = (table.column(c).to_numpy() for c in ("group", "n", "label"))
+        keep = np.zeros(len(n), bool)
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (label[1:] != label[:-1])))
+        start = np.flatnonzero(new)  # runs of a label
+        stop = np.append(start[1:], len(n))
+        run_of = np.cumsum(new) - 1
+        for other, inside in ((start - 1, start > 0), (stop, stop < len(n))):
+            at = np.clip(other, 0, len(n) - 1)
+            ok = (inside & (group[at] == group[start]))[run_of]
+            m = n[at][run_of]
+            keep |= ok & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        return table.filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and held[-1].column("group")[-1].as_py() != batch.column("group")[0].as_py():
+                yield from solve(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(batch)
+        if held:
+            yield from solve(pa.Table.from_batches(held)).to_batches()
 
     return run
 
@@ -268,17 +342,22 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, config: JoinCo
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(config.percent), "a long, b long"), "links")
 
 
-def _cross_pairs(groups: DataFrame, labels: DataFrame, config: JoinConfig) -> DataFrame:
-    """Pairs of different components within groups, as far as the matrix allows.
+def _cross_pairs(groups: DataFrame, labels: DataFrame, matrix: DataFrame, config: JoinConfig) -> DataFrame:
+    """Pairs of different components within groups, as far as sizes and the matrix allow.
 
-    The largest component of a group is not compared with itself; it and the rest are cut into
-    blocks, and only pairs of blocks with a block of the rest meet.
+    Members without a partner of fitting size in another component are left out first. A group of
+    at most a block meets at once. Of a larger one the largest component is not compared with
+    itself; it and the rest are cut into blocks, and only pairs of blocks with a block of the rest meet.
     """
     members = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = members.groupBy("group", "label").agg(F.count("*").alias("k"))
-    sizes = per_label.groupBy("group").agg(
+    schema = "group long, node long, n long, label long"
+    members = members.select("group", "node", "n", "label").repartition("group").sortWithinPartitions("group", "n", "label").mapInArrow(
+        _with_partners(config.percent), schema)
+    members = stored(members, "members")
+    sizes = members.groupBy("group", "label").agg(F.count("*").alias("k")).groupBy("group").agg(
         F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("in_main"), (F.sum("k") - F.max("k")).alias("others"))
-    split = members.join(sizes.filter("others > 0"), "group")
+    split = members.join(sizes.filter("others > 0"), "group").join(matrix.select("node", "columns"), "node")
+    whole = F.col("in_main") + F.col("others") <= config.block
     is_main = F.col("label") == F.col("main")
     blocks_main, blocks_rest = (F.ceil(F.col(c) / config.block).cast("int") for c in ("in_main", "others"))
     own = F.pmod(F.xxhash64("node"), F.when(is_main, blocks_main).otherwise(blocks_rest)).cast("int")
@@ -290,9 +369,9 @@ def _cross_pairs(groups: DataFrame, labels: DataFrame, config: JoinConfig) -> Da
     as_rest = F.concat(
         F.transform(seq(zero, blocks_main - 1), lambda j: place("main", F.col("own"), j, True)),
         F.transform(seq(F.col("own"), blocks_rest - 1), lambda j: place("rest", F.col("own"), j, True)),
-        F.transform(seq(zero, F.col("own")), lambda i: place("rest", i, F.col("own"), False)))
-    met = split.withColumn("own", own).select(
-        "group", F.struct("node", "n", "label", "columns").alias("m"), F.explode(F.when(is_main, as_main).otherwise(as_rest)).alias("at"))
+        F.transform(seq(zero, F.col("own") - 1), lambda i: place("rest", i, F.col("own"), False)))
+    places = F.when(whole, F.array(place("rest", zero, zero, True))).when(is_main, as_main).otherwise(as_rest)
+    met = split.withColumn("own", own).select("group", F.struct("node", "n", "label", "columns").alias("m"), F.explode(places).alias("at"))
     pairs = met.groupBy("group", "at.kind", "at.i", "at.j").agg(  # about two blocks to a row
         F.collect_list(F.when(F.col("at.asks"), F.col("m"))).alias("queries"),
         F.collect_list(F.when(~F.col("at.asks"), F.col("m"))).alias("members"))
@@ -314,19 +393,25 @@ def similarity_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> Da
     seen = stored(signatures(rows, heavy_shingles(rows, config), config).withColumn(
         "node", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2"))), "signatures")
     full = seen.filter("n > 0")
-    classes = stored(full.groupBy("node").agg(
-        F.min("d").alias("d"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix")), "classes")
-    postings = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    groups = postings.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("pos", "n", "node")).alias("first")).filter("k > 1")
-    in_group = postings.join(groups.select("token", F.col("first.node").alias("group")), "token").select("group", "node").distinct()
-    rows_of = full.join(classes.select("node", "d"), ["node", "d"], "left_semi").dropDuplicates(["node"]).select("node", "n", "columns")
-    grouped = stored(in_group.join(rows_of, "node"), "groups")
-    namesake = grouped.filter(F.col("group") == F.col("node")).select("group", F.col("n").alias("n2"), F.col("columns").alias("columns2"))
-    star = grouped.filter(F.col("group") != F.col("node")).join(namesake, "group").select(
+    classes = stored(full.groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("s1").alias("s1")), "classes")
+    postings = full.select("node", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    by_token = Window.partitionBy("token")
+    groups = postings.withColumn("several", F.min("node").over(by_token) != F.max("node").over(by_token)).withColumn(
+        "group", F.first("node").over(by_token.orderBy("pos", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    groups = groups.filter("several").select("group", "node").distinct()
+    groups = stored(groups.join(classes.select("node", "n"), "node"), "groups")
+    # the matrix row of a class is that of its first document
+    matrix = stored(full.join(classes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "d"), ["node", "d"], "left_semi")
+                    .dropDuplicates(["node"]).select("node", "n", "columns"), "matrix")
+    small, large = F.least("n", "n2"), F.greatest("n", "n2")
+    star = groups.filter(F.col("group") != F.col("node")).join(classes.select(F.col("node").alias("group"), F.col("n").alias("n2")), "group").filter(
+        100 * small >= config.percent * large)
+    star = star.join(matrix.select("node", "columns"), "node").join(
+        matrix.select(F.col("node").alias("group"), F.col("columns").alias("columns2")), "group").select(
         F.col("group").alias("a"), F.col("node").alias("b"), "n", "n2", "columns", "columns2")
     lean = classes.select("node", "d", "n", "s1")
     links = verify(rows, stored(star.mapInArrow(_star_pairs(config.percent), "a long, b long"), "pairs"), lean, config)
-    more = verify(rows, stored(_cross_pairs(grouped, components(links), config), "pairs"), lean, config)
+    more = verify(rows, stored(_cross_pairs(groups, components(links), matrix, config), "pairs"), lean, config)
     labels = components(links.unionByName(more))
     labelled = lean.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("d").alias("component"))
