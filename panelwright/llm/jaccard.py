@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.registry import query, table
+from panelwright.llm.registry import query, slices, table
 from panelwright.llm.store import components, stored
 
 COLUMNS = 256
@@ -45,7 +45,7 @@ class JoinConfig:
     heavy_local: int = 3
     heavy_tokens: int = 200_000
     filter_words: int = 1 << 19
-    batch_bytes: int = 8_000_000
+    batch_bytes: int = 4_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -86,14 +86,6 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.cumsum(np.bincount(doc, minlength=len(n)))
 
 
-def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges[:-1], edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap with any partner of a set of ``n``."""
     return -(-percent * n // 100)
@@ -107,7 +99,7 @@ def heavy_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(pa.RecordBatch.from_arrays([pc.unique(batch.column("text"))], names=["text"]), config.batch_bytes):
+            for part in slices(pa.RecordBatch.from_arrays([pc.unique(batch.column("text"))], names=["text"]), config.batch_bytes):
                 h = np.sort(shingle_sets(part.column("text"), config.words)[0])
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(h)))
@@ -151,7 +143,7 @@ def signatures(docs: DataFrame, heavy: np.ndarray, config: JoinConfig) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = shared.value
         for batch in batches:
-            for part in _slices(batch, config.batch_bytes):
+            for part in slices(batch, config.batch_bytes):
                 h, ends = shingle_sets(part.column("text"), config.words)
                 n = np.diff(np.concatenate(([0], ends)))
                 doc = np.repeat(np.arange(len(n)), n)
@@ -211,7 +203,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, config: JoinConfig) -> DataFrame
             keep = np.ones(len(d), bool)
             for word, bit in _bits(d, words):
                 keep &= (filled[word] & bit) != 0
-            for part in _slices(batch.filter(pa.array(keep)), config.batch_bytes):
+            for part in slices(batch.filter(pa.array(keep)), config.batch_bytes):
                 h, ends = shingle_sets(part.column("text"), config.words)
                 cuts = np.split(h, ends[:-1]) if len(ends) else []
                 n = np.array([len(x) for x in cuts], np.int64)

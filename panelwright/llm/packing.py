@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.registry import query, table
+from panelwright.llm.registry import query, slices, table
 from panelwright.session import cut
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 _held: dict[str, tuple] = {}
 
 
@@ -79,7 +79,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate(([0], ends))[per_text]
 
 
-def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 8_000_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 4_000_000) -> DataFrame:
     """Pieces of at most a window: doc_id, start, length, ids_crc32, doc_tokens."""
     size, end = 4 * config.window, int(config.end_id).to_bytes(4, "little")
     schema = docs.select("doc_id").schema
@@ -98,13 +98,8 @@ def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 8_000_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc_ids, texts = batch.column("doc_id"), batch.column("text")
-            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            edges = np.flatnonzero(np.diff(upto // batch_bytes)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-                yield pieces(doc_ids.slice(a, b - a), texts.slice(a, b - a))
+            for part in slices(batch, batch_bytes):
+                yield pieces(part.column("doc_id"), part.column("text"))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import suffix
-from panelwright.llm.registry import query, table
+from panelwright.llm.registry import query, slices, table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-BATCH_WORDS = 400_000
+BATCH_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -79,16 +79,7 @@ def _measure(texts: list[str], rules: QualityRules) -> dict[str, list]:
     for t in texts:
         lines = [x for x in t.split("\n") if WORD.search(x)]
         dup_lines.append(len(lines) - len(set(lines)))
-    repeated, chars, longest = [], [], []
-    begin = 0
-    while begin < len(texts):
-        end, n = begin, 0
-        while end < len(texts) and (end == begin or n + n_words[end] <= BATCH_WORDS):
-            n += n_words[end]
-            end += 1
-        for into, got in zip((repeated, chars, longest), repeats(words[begin:end], rules.window)):
-            into.extend(got)
-        begin = end
+    repeated, chars, longest = repeats(words, rules.window)
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": [len(SYMBOL.findall(t)) for t in texts],
         "n_dup_lines": dup_lines, "n_repeat_words": repeated, "n_repeat_chars": chars, "n_longest_repeat": longest}
@@ -111,9 +102,10 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = _measure([t or "" for t in batch.column("text").to_pylist()], rules)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), *(pa.array(got[n], pa.int64()) for n in names)], names=[*carried, *names])
+            for part in slices(batch, BATCH_BYTES):
+                got = _measure([t or "" for t in part.column("text").to_pylist()], rules)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in carried), *(pa.array(got[n], pa.int64()) for n in names)], names=[*carried, *names])
 
     n = F.col("n_words")
     base_failed = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_words * n)

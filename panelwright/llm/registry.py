@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +27,12 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def slices(batch: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of text, a longer text by itself: bounds what a worker holds."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
