@@ -12,13 +12,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under a name, with its SQL twin if there is one."""
+# Queries of estimators that ask for complete dates.
+COMPLETE: set[str] = set()
+
+
+def query(name: str, sql: str | None = None, complete: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under a name, with its SQL twin if there is one.
+
+    ``complete`` gives it the weekly panel without the dates that lack a brand.
+    """
 
     def wrap(fn):
         if name in QUERIES:
             raise KeyError(name)
-        QUERIES[name] = lambda spark, folder: fn(MarketTables(spark, folder))
+        if complete:
+            COMPLETE.add(name)
+        QUERIES[name] = lambda spark, folder: fn(MarketTables(spark, folder).complete if complete else MarketTables(spark, folder))
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -68,8 +77,16 @@ part("bx", """SELECT p_brand AS ticker, CAST(date_trunc('week', l_shipdate) AS D
 part("bax", "SELECT date, row_number() OVER (ORDER BY date) AS idx, count(*) OVER () AS n_dates FROM (SELECT DISTINCT date FROM bx)", "bx")
 part("bret0", """SELECT date, ticker, idx, CASE WHEN idx - lag(idx) OVER (PARTITION BY ticker ORDER BY idx) = 1
   THEN close / lag(close) OVER (PARTITION BY ticker ORDER BY idx) - 1 END AS r FROM bx JOIN bax USING (date)""", "bx", "bax")
-part("bret", """SELECT date, ticker, r FROM bret0 WHERE r IS NOT NULL AND date IN
-  (SELECT date FROM bret0 WHERE r IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM bret0 WHERE r IS NOT NULL))""", "bret0")
+part("bret", "SELECT date, ticker, r FROM bret0 WHERE r IS NOT NULL", "bret0")
+
+
+def on_complete_dates(text: str) -> str:
+    """The same query over the dates on which every brand has a return."""
+    present = "FROM bret0 WHERE r IS NOT NULL"
+    every = f"(SELECT date {present} GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) {present}))"
+    return text.replace(present, f"{present} AND date IN {every}", 1)
+
+
 part("listing", """SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS ticker, s_suppkey AS instrument_id, n_name AS sector, r_name AS exchange,
   s_acctbal, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 part("fund", """SELECT ticker, sector, exchange, market_cap, s_acctbal AS book_value, total_revenue, net_income, operating_cashflow,

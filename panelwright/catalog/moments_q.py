@@ -56,13 +56,13 @@ part("lwk", """SELECT m, CASE WHEN gap > 0 THEN least(noise, gap) / gap ELSE 0 E
 part("lw", "SELECT asset_i, asset_j, (1 - k) * s + CASE WHEN asset_i = asset_j THEN k * m ELSE 0 END AS cov FROM bs, lwk", "bs", "lwk")
 
 
-@query("e5_prior_mean", sql(f"SELECT asset, {rd('exp((mu + 0.5 * cov) * 4) - 1')} AS mu FROM bmu JOIN lw ON asset_i = asset AND asset_j = asset", "bmu", "lw"))
+@query("e5_prior_mean", sql(f"SELECT asset, {rd('exp((mu + 0.5 * cov) * 4) - 1')} AS mu FROM bmu JOIN lw ON asset_i = asset AND asset_j = asset", "bmu", "lw"), complete=True)
 def e5(t):
     return rounded(E.prior(t.weekly_returns, "empirical", "ledoit_wolf", 4)[0])
 
 
 @query("e5_prior_covariance", sql(f"""SELECT asset_i, asset_j, {rd('exp((a.mu + b.mu + 0.5 * (c.cov + d.cov)) * 4) * (exp(lw.cov * 4) - 1)')} AS cov FROM lw JOIN bmu a ON a.asset = asset_i JOIN bmu b ON b.asset = asset_j
-  JOIN (SELECT asset_i AS asset, cov FROM lw WHERE asset_i = asset_j) c ON c.asset = asset_i JOIN (SELECT asset_i AS asset, cov FROM lw WHERE asset_i = asset_j) d ON d.asset = asset_j""", "lw", "bmu"))
+  JOIN (SELECT asset_i AS asset, cov FROM lw WHERE asset_i = asset_j) c ON c.asset = asset_i JOIN (SELECT asset_i AS asset, cov FROM lw WHERE asset_i = asset_j) d ON d.asset = asset_j""", "lw", "bmu"), complete=True)
 def e5c(t):
     return out(E.prior(t.weekly_returns, "empirical", "ledoit_wolf", 4)[1])
 
@@ -77,7 +77,7 @@ def e6s(t):
     return rounded(E.covariance(t.returns).select("asset_i", "asset_j", "n", "cov"))
 
 
-@query("e7_ledoit_wolf", sql(COV + "lw", "lw"))
+@query("e7_ledoit_wolf", sql(COV + "lw", "lw"), complete=True)
 def e7(t):
     return out(E.ledoit_wolf(t.weekly_returns))
 
@@ -88,7 +88,7 @@ part("lwc", """SELECT asset_i, asset_j, k * f + (1 - k) * s AS cov FROM (SELECT
     JOIN (SELECT asset_i, s AS vi FROM bs WHERE asset_i = asset_j) USING (asset_i) JOIN (SELECT asset_j, s AS vj FROM bs WHERE asset_i = asset_j) USING (asset_j), bn)))""", "bs", "bn")
 
 
-@query("e7_constant_correlation", sql(COV + "lwc", "lwc"))
+@query("e7_constant_correlation", sql(COV + "lwc", "lwc"), complete=True)
 def e7c(t):
     return out(E.ledoit_wolf_constant_correlation(t.weekly_returns))
 
@@ -97,17 +97,17 @@ part("oas", """SELECT asset_i, asset_j, (1 - k) * s + CASE WHEN asset_i = asset_
   (SELECT sum(s) FILTER (asset_i = asset_j) / any_value(n) AS m, sum(s * s) / (any_value(n) * any_value(n)) AS a, any_value(n) AS n, any_value(t) AS t FROM bs, bn))""", "bs", "bn")
 
 
-@query("e8_oracle_approximating", sql(COV + "oas", "oas"))
+@query("e8_oracle_approximating", sql(COV + "oas", "oas"), complete=True)
 def e8(t):
     return out(E.oracle_approximating(t.weekly_returns))
 
 
-@query("e9_constant_shrinkage", sql(f"""SELECT asset_i, asset_j, {rd('0.9 * s + CASE WHEN asset_i = asset_j THEN 0.1 * m ELSE 0 END')} AS cov FROM bs, (SELECT sum(s) FILTER (asset_i = asset_j) / any_value(n) AS m FROM bs, bn)""", "bs", "bn"))
+@query("e9_constant_shrinkage", sql(f"""SELECT asset_i, asset_j, {rd('0.9 * s + CASE WHEN asset_i = asset_j THEN 0.1 * m ELSE 0 END')} AS cov FROM bs, (SELECT sum(s) FILTER (asset_i = asset_j) / any_value(n) AS m FROM bs, bn)""", "bs", "bn"), complete=True)
 def e9(t):
     return out(E.constant_shrinkage(t.weekly_returns))
 
 
-@query("e10_ew_covariance", sql(f"""SELECT a.ticker AS asset_i, b.ticker AS asset_j, {rd('sum(pow(0.8, t - a.idx) * a.r * b.r) / sum(pow(0.8, t - a.idx))')} AS cov FROM bidx a JOIN bidx b USING (date), bn GROUP BY 1, 2""", "bidx", "bn"))
+@query("e10_ew_covariance", sql(f"""SELECT a.ticker AS asset_i, b.ticker AS asset_j, {rd('sum(pow(0.8, t - a.idx) * a.r * b.r) / sum(pow(0.8, t - a.idx))')} AS cov FROM bidx a JOIN bidx b USING (date), bn GROUP BY 1, 2""", "bidx", "bn"), complete=True)
 def e10(t):
     return out(E.ew_covariance(t.weekly_returns))
 
@@ -120,12 +120,12 @@ def e11(t):
     return out(E.gerber(t.weekly_returns))
 
 
-@query("e12_denoised")
+@query("e12_denoised", complete=True)
 def e12(t):
     return out(E.denoised(t.weekly_returns))
 
 
-@query("e13_detoned")
+@query("e13_detoned", complete=True)
 def e13(t):
     return out(E.detoned(t.weekly_returns))
 
@@ -153,7 +153,7 @@ part("fl", """SELECT *, (vr - b1 * c1 - b2 * c2) * (n - 1) / (n - 3) AS rv FROM
 
 
 @query("e15_factor_model", sql(f"""SELECT a.ticker AS asset_i, b.ticker AS asset_j, {rd('a.b1 * b.b1 * a.v1 + a.b2 * b.b2 * a.v2 + (a.b1 * b.b2 + a.b2 * b.b1) * a.c12 + CASE WHEN a.ticker = b.ticker THEN a.rv ELSE 0 END')} AS cov
-  FROM fl a JOIN fl b ON true""", "fl"))
+  FROM fl a JOIN fl b ON true""", "fl"), complete=True)
 def e15(t):
     return out(E.factor_model(t.weekly_returns, factor_columns(t), ["f1", "f2"])[1])
 
@@ -226,7 +226,7 @@ def e17m(t):
 
 
 part("hp", "SELECT ticker, avg(r) AS m, stddev_samp(r) AS s FROM bret GROUP BY 1", "bret")
-part("emit", """SELECT ticker, idx, date, exp(-0.5 * pow((r - (m + 0.5 * s)) / (0.7 * s), 2)) / 0.7 AS e0, exp(-0.5 * pow((r - (m - 0.5 * s)) / (1.2 * s), 2)) / 1.2 AS e1 FROM bidx JOIN hp USING (ticker)""", "bidx", "hp")
+part("emit", """SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS idx, date, exp(-0.5 * pow((r - (m + 0.5 * s)) / (0.7 * s), 2)) / 0.7 AS e0, exp(-0.5 * pow((r - (m - 0.5 * s)) / (1.2 * s), 2)) / 1.2 AS e1 FROM bidx JOIN hp USING (ticker)""", "bidx", "hp")
 
 
 @query("e18_regime_filter", "WITH RECURSIVE " + sql(f"""SELECT ticker, CAST(date AS VARCHAR) AS date, 0 AS state, {rd('p')} AS p FROM fwdp UNION ALL SELECT ticker, CAST(date AS VARCHAR), 1, {rd('1 - p')} FROM fwdp""", "emit").removeprefix("WITH ").replace("\nSELECT ticker, CAST(date", """,

@@ -183,12 +183,12 @@ part("bscov", "SELECT rep, a.ticker AS asset_i, b.ticker AS asset_j, covar_samp(
 part("bsd", "SELECT rep, sqrt(sum((s.cov - c.cov) * (s.cov - c.cov))) AS distance FROM bscov s JOIN bcov c USING (asset_i, asset_j) GROUP BY 1", "bscov", "bcov")
 
 
-@query("k15_bootstrap_distances", sql(f"SELECT rep AS replicate, {rd('distance')} AS distance FROM bsd", "bsd"))
+@query("k15_bootstrap_distances", sql(f"SELECT rep AS replicate, {rd('distance')} AS distance FROM bsd", "bsd"), complete=True)
 def k15d(t):
     return rounded(W.bootstrap_distances(t.weekly_returns, 20))
 
 
-@query("k15_bootstrap_radius", sql(f"SELECT {rd('quantile_cont(distance, 0.95)')} AS delta FROM bsd", "bsd"))
+@query("k15_bootstrap_radius", sql(f"SELECT {rd('quantile_cont(distance, 0.95)')} AS delta FROM bsd", "bsd"), complete=True)
 def k15(t):
     return rounded(W.bootstrap_radius(t.weekly_returns, 20))
 
@@ -209,7 +209,7 @@ HALF = "sqrt(greatest(0.5 * (1 - c), 0))"
 
 def _distance(method, source, dist=HALF):
     needs = source.split()[-1]
-    @query(f"k16_distance_{method}", sql(f"SELECT asset_i, asset_j, {rd('c')} AS codependence, {rd(dist)} AS distance FROM ({source})", needs))
+    @query(f"k16_distance_{method}", sql(f"SELECT asset_i, asset_j, {rd('c')} AS codependence, {rd(dist)} AS distance FROM ({source})", needs), complete=method == "distance_correlation")
     def run(t):
         # Distances near 0 are roots of rounding noise, so six digits of the square would be needed there.
         return rounded(W.distance_table(t.weekly_returns, method).withColumn(
@@ -427,7 +427,7 @@ def q4(t):
     return Q.threshold_rule(drifted(t), targets(t), DriftRule(0.06))
 
 
-@query("q4_relative_threshold_rule", sql("SELECT portfolio, bool_or(t <> 0 AND abs(c - t) / t > 60) AS fires FROM al GROUP BY 1", "al"))
+@query("q4_relative_threshold_rule", sql("SELECT portfolio, bool_or(t > 0 AND abs(c - t) / t > 60) AS fires FROM al GROUP BY 1", "al"))
 def q4r(t):
     return Q.threshold_rule(drifted(t), targets(t), DriftRule(60.0, relative=True))
 

@@ -103,7 +103,7 @@ twin("z7_orthogonalize", recursive("SELECT CAST(w.date AS VARCHAR) AS date, w.ti
     + " FROM wide w LEFT JOIN fproj p ON p.date = w.date AND p.ticker = w.ticker GROUP BY 1, 2", "wide", "wideok", "fcm", *FACTOR_EIGEN, "fes", "fst", "fproj"))
 
 # Regression imputation: the normal equations of every asset solved by conjugate gradients.
-part("bg", "SELECT date, ticker, substr(ticker, 1, 7) AS sector, CASE WHEN (CAST(substr(ticker, 7) AS BIGINT) + date_diff('day', DATE '1995-01-02', date) // 7) % 29 <> 0 THEN r END AS r FROM bret", "bret")
+part("bg", "SELECT date, ticker, substr(ticker, 1, 7) AS sector, CASE WHEN (CAST(substr(ticker, 7) AS BIGINT) + date_diff('day', DATE '1995-01-02', date) // 7) % 29 <> 0 THEN r END AS r FROM (SELECT DISTINCT date FROM bret) CROSS JOIN (SELECT DISTINCT ticker FROM bret) LEFT JOIN bret USING (date, ticker)", "bret")
 part("bgn", """SELECT ticker, nb, row_number() OVER (PARTITION BY ticker ORDER BY round(abs(c), 12) DESC, nb) AS k FROM (SELECT a.ticker, b.ticker AS nb, corr(a.r, b.r) AS c FROM bg a JOIN bg b USING (date) WHERE a.ticker <> b.ticker GROUP BY 1, 2)""", "bg")
 part("bgx", "SELECT n.ticker, b.date, [1.0::DOUBLE, " + ", ".join(f"max(r) FILTER (k = {i})" for i in range(1, 6)) + "] AS x FROM bgn n JOIN bg b ON b.ticker = n.nb WHERE k <= 5 AND r IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 5", "bgn", "bg")
 part("bge", "SELECT ticker, [" + ", ".join("[" + ", ".join(f"sum(x[{i}] * x[{j}])" for j in range(1, 7)) + "]" for i in range(1, 7)) + "] AS m, [" + ", ".join(f"sum(x[{i}] * r)" for i in range(1, 7)) + "] AS b FROM bgx JOIN bg USING (ticker, date) WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 60", "bgx", "bg")

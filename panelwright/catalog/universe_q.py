@@ -122,7 +122,7 @@ part("quotes", f"""SELECT ticker, market_cap, dividend_yield, total_assets, v AS
 part("reasons", """SELECT *, CASE WHEN p IS NULL THEN 'no price' WHEN p < 2000 THEN 'price below minimum' WHEN p > 9000 THEN 'price above maximum' END AS price_r,
   CASE WHEN market_cap < 31000000 THEN 'market cap below minimum' END AS cap_r,
   CASE WHEN p IS NULL THEN 'no price' WHEN average_volume * p < md THEN seg || ': dollar volume' WHEN average_volume < ms THEN seg || ': share volume' END AS liq_r,
-  CASE WHEN len(miss) > 0 THEN 'missing ' || array_to_string(miss[1:3], ', ') END AS cov_r,
+  CASE WHEN len(miss) > 0 THEN 'missing ' || array_to_string(miss[1:3], ', ') || CASE WHEN len(miss) > 3 THEN ' +' || (len(miss) - 3) || ' more' ELSE '' END END AS cov_r,
   CASE WHEN n_rows < 83 THEN 'short history' END AS hist_r
   FROM (SELECT *, CASE seg WHEN 'large_cap' THEN 400000 WHEN 'mid_cap' THEN 380000 ELSE 350000 END AS md,
       CASE seg WHEN 'large_cap' THEN 180 WHEN 'mid_cap' THEN 170 ELSE 160 END AS ms FROM (
@@ -176,7 +176,7 @@ part("ats", "SELECT CASE failed_rule " + " ".join(f"WHEN '{n}' THEN {i}" for i,
 
 @query("u13_rule_counts", sql("SELECT rule, passed, failed FROM (" + " UNION ALL ".join(
     f"SELECT '{n}' AS rule, count(*) FILTER (pos > {i}) AS passed, count(*) FILTER (pos = {i}) AS failed, count(*) FILTER (pos >= {i}) AS seen FROM ats"
-    for i, n in enumerate(RULE_SET, 1)) + ") WHERE seen > 0", "ats"))
+    for i, n in enumerate(RULE_SET, 1)) + ")", "ats"))
 def u13_counts(t):
     return U.rule_counts(U.first_failure(quotes(t), rule_columns()), list(RULE_SET))
 

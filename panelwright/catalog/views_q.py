@@ -155,7 +155,7 @@ def b6m(t):
 
 @query("b6_scenario_correlation", tilt_sql(f"""SELECT a.ticker AS asset_i, b.ticker AS asset_j, {rd('sum(a.p * (a.r - a.m) * (b.r - b.m)) / sqrt(sum(a.p * (a.r - a.m) * (a.r - a.m)) * sum(a.p * (b.r - b.m) * (b.r - b.m)))')} AS corr
   FROM (SELECT *, sum(p * r) OVER (PARTITION BY ticker) AS m FROM bret JOIN tilt_p ON s = date_diff('day', DATE '1995-01-02', date)) a JOIN (SELECT *, sum(p * r) OVER (PARTITION BY ticker) AS m FROM bret JOIN tilt_p ON s = date_diff('day', DATE '1995-01-02', date)) b
-  USING (s) WHERE a.ticker <= b.ticker GROUP BY 1, 2"""))
+  USING (s) WHERE a.ticker <= b.ticker GROUP BY 1, 2"""), complete=True)
 def b6c(t):
     _, p = tilted(t)
     return rounded(B.scenario_correlation(asset_scenarios(t), p))

@@ -64,14 +64,14 @@ def walk_forward(
 
 def _combinations(spark, n_blocks: int, n_test: int) -> DataFrame:
     """(fold, blocks): every choice of test blocks in lexicographic order."""
-    if not 1 <= n_test < n_blocks <= 20:
-        raise ConfigurationError("need 1 <= test blocks < blocks <= 20")
-    masks = spark.range(2**n_blocks).where(F.bit_count("id") == n_test)
-    numbers = F.array(*[F.lit(b) for b in range(n_blocks)])
-    blocks = F.filter(numbers, lambda b: F.getbit("id", F.lit(n_blocks - 1) - b) == 1)
-    return masks.select(
-        (F.row_number().over(Window.orderBy(F.col("id").desc())) - 1).alias("fold"), blocks.alias("blocks")
-    )
+    if not 1 <= n_test < n_blocks:
+        raise ConfigurationError("need 1 <= test blocks < blocks")
+    rows = spark.range(n_blocks).select(F.array(F.col("id").cast("int")).alias("blocks"))
+    for k in range(1, n_test):
+        later = F.sequence(F.get("blocks", F.lit(k - 1)) + 1, F.lit(n_blocks - 1))
+        rows = rows.where(F.get("blocks", F.lit(k - 1)) < n_blocks - 1).select(
+            "blocks", F.explode(later).alias("b")).select(F.concat("blocks", F.array("b")).alias("blocks"))
+    return rows.select((F.row_number().over(Window.orderBy("blocks")) - 1).alias("fold"), "blocks")
 
 
 def combinatorial_folds(

@@ -52,9 +52,9 @@ def rebalancing_cost(current: DataFrame, target: DataFrame, rate: float | DataFr
 
 
 def drift(rule: DriftRule) -> Column:
-    """Drift of one asset; relative drift from a zero target never fires."""
+    """Drift of one asset; relative drift is that from a positive target and never fires for others."""
     gap = F.abs(F.col("cw") - F.col("tw"))
-    return F.when(F.col("tw") != 0, gap / F.abs("tw")).otherwise(0.0) if rule.relative else gap
+    return F.when(F.col("tw") > 0, gap / F.col("tw")).otherwise(0.0) if rule.relative else gap
 
 
 def threshold_rule(current: DataFrame, target: DataFrame, rule: DriftRule) -> DataFrame:

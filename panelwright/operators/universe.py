@@ -206,7 +206,8 @@ def missing_categories(categories: dict[str, tuple[Sequence[str], bool]]) -> Col
 
 def coverage_reason(categories: dict[str, tuple[Sequence[str], bool]]) -> Column:
     missing = missing_categories(categories)
-    return F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(F.slice(missing, 1, 3), ", ")))
+    more = F.when(F.size(missing) > 3, F.concat(F.lit(" +"), (F.size(missing) - 3).cast("string"), F.lit(" more"))).otherwise("")
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(F.slice(missing, 1, 3), ", "), more))
 
 
 def history_reason(rules: InstrumentRules) -> Column:
@@ -221,17 +222,19 @@ def first_failure(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def rule_counts(checked: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Passed and failed rows per rule; a row reaches only the rules before its first failure."""
+    """Passed and failed rows per rule; a row reaches only the rules up to its first failure. Rules that none reaches have 0 of both."""
     order = F.array(*[F.lit(n) for n in names])
     at = F.coalesce(F.array_position(order, F.col("failed_rule")), F.lit(len(names) + 1))
     reached = checked.groupBy(at.cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     steps = reached.select(
         F.explode(F.sequence(F.lit(1), F.least(F.col("at"), F.lit(len(names))))).alias("step"), "at", "n"
     )
-    return steps.groupBy("step").agg(
+    counts = steps.groupBy("step").agg(
         F.sum(F.when(F.col("at") > F.col("step"), F.col("n")).otherwise(0)).alias("passed"),
         F.sum(F.when(F.col("at") == F.col("step"), F.col("n")).otherwise(0)).alias("failed"),
-    ).select(F.element_at(order, F.col("step")).alias("rule"), "passed", "failed")
+    )
+    every = checked.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names, 1)], "step int, rule string")
+    return every.join(counts, "step", "left").select("rule", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("passed", "failed")])
 
 
 def exchange_stocks(exchanges: DataFrame, instruments: DataFrame, allowed: Sequence[str], suffixes: dict[str, str]) -> DataFrame:

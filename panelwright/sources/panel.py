@@ -231,3 +231,12 @@ def range_read(history: DataFrame, instrument_id, start=None, end=None, limit: i
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end))
     return rows.orderBy(F.col("date").desc()).limit(limit)
+
+
+def complete_dates(returns: DataFrame) -> DataFrame:
+    """Rows of the dates on which every ticker of the panel has a return."""
+    rows = returns.where(F.col("r").isNotNull())
+    names = rows.agg(F.count_distinct("ticker").alias("n_names"))
+    full = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n_here"))
+    full = attach_one(full, names).where(F.col("n_here") == F.col("n_names"))
+    return rows.join(full.select("date"), "date", "left_semi").select("date", "ticker", "r")

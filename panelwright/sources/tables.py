@@ -70,16 +70,19 @@ class MarketTables:
 
     @cached_property
     def weekly_returns(self) -> DataFrame:
-        """Complete weekly return panel: dates on which every brand has a return.
+        """Weekly return panel of the brands; a week without a return is an absent row.
 
         Small at any scale (brands by weeks) and read many times, so it is
         materialized once instead of aggregating the fact table again.
         """
-        r = P.simple_returns(cut(self.weekly)).where(F.col("r").isNotNull())
-        names = r.agg(F.count_distinct("ticker").alias("n_names"))
-        full = r.groupBy("date").agg(F.count(F.lit(1)).alias("n_here"))
-        full = P.attach_one(full, names).where(F.col("n_here") == F.col("n_names"))
-        return cut(r.join(full.select("date"), "date", "left_semi").select("date", "ticker", "r"))
+        return cut(P.simple_returns(cut(self.weekly)).where(F.col("r").isNotNull()).select("date", "ticker", "r"))
+
+    @cached_property
+    def complete(self) -> MarketTables:
+        """The same tables with the weekly panel cut to the weeks in which every brand has a return."""
+        other = MarketTables(self.spark, self.folder)
+        other.__dict__["weekly_returns"] = cut(P.complete_dates(self.weekly_returns))
+        return other
 
     @cached_property
     def listing(self) -> DataFrame:
