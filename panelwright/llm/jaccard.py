@@ -205,14 +205,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, config: JoinConfig) -> DataFrame
                 keep &= (filled[word] & bit) != 0
             for part in slices(batch.filter(pa.array(keep)), config.batch_bytes):
                 h, ends = shingle_sets(part.column("text"), config.words)
-                cuts = np.split(h, ends[:-1]) if len(ends) else []
-                n = np.array([len(x) for x in cuts], np.int64)
-                s1 = np.array([x.sum(dtype=np.uint64) for x in cuts], np.uint64)
+                n = np.diff(np.concatenate(([0], ends)))
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("d"), pa.array(n), pa.array(s1.view(np.int64)), pa.array([x.tobytes() for x in cuts], pa.binary())],
-                    names=["d", "n", "s1", "tokens"])
+                    [part.column("d"), pa.array(n), pa.array(_sums(h, ends - n, n).view(np.int64)), tokens], names=["d", "n", "s1", "tokens"])
 
-    read = docs.select("d", "text").mapInArrow(run, "d long, n long, s1 long, tokens binary")
+    read = docs.select("d", "text").mapInArrow(run, "d long, n long, s1 long, tokens array<long>")
     return read.join(wanted, ["d", "n", "s1"]).dropDuplicates(["node"]).select("node", "tokens")
 
 
@@ -309,20 +307,6 @@ def _with_partners(percent: int):
     return run
 
 
-def _verified(percent: int):
-    """Arrow function: pairs with both sets, to the links among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, config: JoinConfig) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
     if pairs.isEmpty():
@@ -331,7 +315,8 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, config: JoinCo
     sets = stored(sets_of(docs, classes.join(nodes, "node").select("node", "d", "n", "s1"), config), "sets")
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(config.percent), "a long, b long"), "links")
+    met = pairs.join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return stored(met.filter(100 * F.col("shared") >= config.percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b"), "links")
 
 
 def _cross_pairs(groups: DataFrame, labels: DataFrame, matrix: DataFrame, config: JoinConfig) -> DataFrame:
@@ -402,8 +387,8 @@ def similarity_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> Da
         matrix.select(F.col("node").alias("group"), F.col("columns").alias("columns2")), "group").select(
         F.col("group").alias("a"), F.col("node").alias("b"), "n", "n2", "columns", "columns2")
     lean = classes.select("node", "d", "n", "s1")
-    links = verify(rows, stored(star.mapInArrow(_star_pairs(config.percent), "a long, b long"), "pairs"), lean, config)
-    more = verify(rows, stored(_cross_pairs(groups, components(links), matrix, config), "pairs"), lean, config)
+    links = verify(rows, stored(star.mapInArrow(_star_pairs(config.percent), "a long, b long"), "pairs", batch_rows=4096), lean, config)
+    more = verify(rows, stored(_cross_pairs(groups, components(links), matrix, config), "pairs", batch_rows=256), lean, config)
     labels = components(links.unionByName(more))
     labelled = lean.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("d").alias("component"))

@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 from panelwright.session import fresh_path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write as Parquet to the shared folder and read again: cut lineage, column pruning and statistics."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """Write as Parquet to the shared folder and read again: cut lineage, column pruning and statistics.
+
+    ``batch_rows`` bounds the rows of an Arrow batch meanwhile, for functions over wide rows.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, label), spark.conf.get(_BATCH, None)
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+    return spark.read.parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
