@@ -13,13 +13,15 @@ from panelwright.operators import composite, factors, regime, selection, standar
 
 @pytest.fixture(scope="module")
 def prices():
-    rng = np.random.default_rng(99)
-    dates = pd.bdate_range("2023-01-02", periods=300)
-    close = pd.DataFrame(100 * np.exp(np.cumsum(rng.normal(0.0005, 0.02, (300, 10)), axis=0)), index=dates, columns=[f"T{i}" for i in range(10)])
+    rng = np.random.default_rng(31)
+    dates = pd.bdate_range("2020-02-03", periods=300)
+    market = rng.standard_t(5, (300, 1)) * 0.007
+    moves = market * np.linspace(0.3, 1.5, 10) + rng.normal(0, 0.011, (300, 10))
+    close = pd.DataFrame(np.linspace(12, 240, 10) * np.cumprod(1 + moves, axis=0), index=dates, columns=[f"T{i}" for i in range(10)])
     close.iloc[40:44, 2] = np.nan
     close.iloc[200, 5] = np.nan
     close.iloc[:20, 7] = np.nan
-    volume = pd.DataFrame(rng.integers(100_000, 5_000_000, (300, 10)).astype(float), index=dates, columns=close.columns)
+    volume = pd.DataFrame(np.round(rng.lognormal(11, 0.8, (300, 10))), index=dates, columns=close.columns)
     volume.iloc[::50, 1] = 0
     return close, volume
 

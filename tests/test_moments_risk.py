@@ -269,11 +269,12 @@ def test_rebalancing_invariants(spark, cases):
 
 def test_threshold_is_strict_and_zero_target_never_fires(spark):
     schema = "portfolio int, asset string, w double"
-    c = spark.createDataFrame([(1, "a", 0.55), (1, "b", 0.45), (2, "a", 0.5), (2, "b", 0.5)], schema)
-    t = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 1.0), (2, "b", 0.0)], schema)
+    short = [(3, "a", 1.2), (3, "b", -0.2)]
+    c = spark.createDataFrame([(1, "a", 0.55), (1, "b", 0.45), (2, "a", 0.5), (2, "b", 0.5), *short], schema)
+    t = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 1.0), (2, "b", 0.0), (3, "a", 1.1), (3, "b", -0.1)], schema)
     fires = lambda rule: {r["portfolio"]: r["fires"] for r in rebalance.threshold_rule(c, t, rule).collect()}
-    assert fires(DriftRule(0.06)) == {1: False, 2: True}
-    assert fires(DriftRule(0.6, relative=True)) == {1: False, 2: False}
+    assert fires(DriftRule(0.06)) == {1: False, 2: True, 3: True}
+    assert fires(DriftRule(0.6, relative=True)) == {1: False, 2: False, 3: False}
 
 
 def test_business_days(spark):
