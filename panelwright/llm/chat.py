@@ -76,12 +76,13 @@ o as (
   from v)
 select conv_id, perspective, part, cast(count(*) as int) as n_turns, cast(sum(own::int) as int) as n_own_turns,
   string_agg(head || said || chr(10) || '<|end|>' || chr(10), '' order by turn nulls first, name, said) as text,
-  cast(coalesce(list(upto - 9 - length(said) order by upto) filter (own), []) as int[]) as loss_starts,
-  cast(coalesce(list(length(said) order by upto) filter (own), []) as int[]) as loss_lengths
+  coalesce(string_agg(cast(upto - 9 - length(said) as varchar), ',' order by upto) filter (own), '') as loss_starts,
+  coalesce(string_agg(cast(length(said) as varchar), ',' order by upto) filter (own), '') as loss_lengths
 from o group by conv_id, perspective, part
 """
 
 
 @query("op9_perspectives", _SQL)
 def op9_perspectives(spark, folder):
-    return rotate(table(spark, folder, "conversations"))
+    views = rotate(table(spark, folder, "conversations"))
+    return views.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("loss_starts", "loss_lengths")})
