@@ -368,7 +368,7 @@ def similarity_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> Da
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "text")
     seen = stored(signatures(rows, heavy_shingles(rows, config), config).withColumn(
-        "node", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2"))), "signatures")
+        "node", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2"))), "signatures", batch_rows=2048)
     full = seen.filter("n > 0")
     classes = stored(full.groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("s1").alias("s1")), "classes")
     postings = full.select("node", F.posexplode("prefix").alias("pos", "token")).repartition("token")

@@ -9,6 +9,7 @@ The plan says which ranks of a length go where; the pieces find their place by a
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.registry import query, slices, table
-from panelwright.session import cut
+from panelwright.llm.store import stored
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 150_000
 _held: dict[str, tuple] = {}
 
 
@@ -42,6 +43,7 @@ class PackingConfig:
 def _chunk_ids(chunks: list[str], path: str) -> list[bytes]:
     """Ids of distinct chunks as little-endian unsigned 32-bit numbers. Known ones are remembered by the process."""
     if path not in _held:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads hold more memory
         from tokenizers import Tokenizer
 
         _held[path] = Tokenizer.from_file(path), {}
@@ -79,7 +81,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate(([0], ends))[per_text]
 
 
-def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 4_000_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 1_500_000) -> DataFrame:
     """Pieces of at most a window: doc_id, start, length, ids_crc32, doc_tokens."""
     size, end = 4 * config.window, int(config.end_id).to_bytes(4, "little")
     schema = docs.select("doc_id").schema
@@ -190,7 +192,8 @@ def pack(docs: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:
     one piece of one id. Repeated rows are packed one by one. Columns: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset; other columns are ignored, an empty table gives none.
     """
-    pieces = cut(cut_pieces(docs, config).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(config.spread))))
+    pieces = cut_pieces(docs, config).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(config.spread)))
+    pieces = stored(pieces, "pieces", batch_rows=1024)
     per_bucket = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))  # window * spread rows at most
     counts = np.zeros(config.window + 1, np.int64)
     for n, k in per_bucket.groupBy("length").agg(F.sum("_n")).collect():

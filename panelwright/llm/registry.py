@@ -36,3 +36,4 @@ def slices(batch: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
