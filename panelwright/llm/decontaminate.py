@@ -1,18 +1,16 @@
-"""Benchmark decontamination: random-walk embedding, bit-sampling LSH and exact edit distance.
-
-The CGK embedding reads a string by a walk that repeats or leaves a byte as a shared random bit
-says; strings a few edits apart fall into step again, so that their embeddings differ in few
-places. Sampled places of the embedding are LSH keys, and enough independent samples are taken
-for a window within the edit limit to meet its item with the target recall. Windows have the size
-of the items of a length class and begin at words that the items have too. Whatever meets is
-verified by edit distance over the whole item.
+"""Benchmark decontamination: pieces that edits must leave whole, and exact edit distance.
+
+An item is cut into blocks and these into pieces, so many that a copy within the edit limit has
+one piece unchanged in a block within the block's share of the edits. Documents are searched for
+grams of the pieces at every character, the block about a gram is compared by bit-parallel edit
+distance, and whatever is left is verified by edit distance over the whole item. No step loses a
+copy, so recall does not hang on the length of an item or on blanks in a text.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -25,15 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from panelwright.llm.registry import query, table
+from panelwright.llm.registry import query, slices, table
 
 
-SLICE = 1_000  # documents that are searched at a time
+SLICE = 1 << 20  # bytes of text that are searched at a time
+WORD = 64  # characters of a block at most: the bits of a word
+GRAM = 9  # characters of a piece that are looked up; at a limit of a tenth pieces are about as long
+CHARS = 64  # numbers of characters in a block's masks, 0 for those of no item
+STEP = 1 << 16  # places that are hashed at a time
+PAIRS = 1 << 18  # pairs of a place and a piece at a time
+LANES = 1 << 14  # blocks that are compared at a time
+ITEM_CHARS = 512  # longer items in the mean make an index of fewer
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """``agreement`` is the share of embedding places that agree, to be expected at the edit limit.
+    """The search uses ``max_edits``, ``least_bytes`` and ``block_items``, the rest is the embedding's.
 
     ``block_items`` bounds the index that is sent to the executors; more items go in more passes.
     """
@@ -42,7 +47,6 @@ class LeakConfig:
     target_recall: float = 0.95
     agreement: float = 0.74
     places: int = 6  # of the embedding in a key
-    starts: int = 16  # windows of an item
     least_bytes: int = 24  # shorter items are looked up as they stand
     block_items: int = 10_000
     seed: int = 11
@@ -57,8 +61,30 @@ def normalize(texts: pa.Array) -> pa.Array:
     return pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[ \t\n\r\f\v]+", " "))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the grams of ``q`` characters at every place."""
+    n = len(codes) - q + 1
+    out = np.zeros(n, np.uint64)
+    for j in range(q):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += codes[j: j + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers ``first[k]``, ``first[k] + 1``, ... of every k, ``many[k]`` of them."""
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + many, many)
+
+
 class Embedding:
-    """The walk: at step ``j`` the byte ``c`` is read, and left behind if ``moves[j, c]`` is set."""
+    """The CGK walk; the search goes by pieces and has no use for it. At step ``j`` the byte ``c`` is read, and left behind if ``moves[j, c]`` is set."""
 
     def __init__(self, window: int, config: LeakConfig):
         rng = np.random.default_rng([config.seed, window])
@@ -111,120 +137,163 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def _word_code(word: str) -> int:
-    return zlib.crc32(word.encode())
+def _cut(size: int, parts: int) -> list[int]:
+    """Edges of ``parts`` stretches of nearly equal size."""
+    return [size * k // parts for k in range(parts + 1)]
+
+
+def _n_blocks(size: int, limit: int) -> int:
+    """Blocks of half a WORD to a WORD of characters, such that the pieces of a block (one more than its share of the edits) are longest."""
+    least = -(-size // WORD)
+    return max(range(least, max(least, 2 * size // WORD) + 1), key=lambda j: (min(GRAM, size // j // (limit // j + 1)), -j))
 
 
 class LeakIndex:
-    """Items of one block: their windows by start word and length class, and the keys of these."""
+    """Items of one part of the benchmark: their blocks, and the grams of the pieces of these.
+
+    Of ``j`` blocks of an item one has at most ``limit // j`` edits, and of one piece more than that
+    one has none: every copy within the limit holds a gram of the index as it stands.
+    """
 
     def __init__(self, items: list[tuple], config: LeakConfig):
-        self.config = config
         self.ids = [i for i, _ in items]
         self.texts = normalize(pa.array([t for _, t in items], pa.string())).to_pylist() if items else []
-        self.embeddings: dict[int, Embedding] = {}
-        self.words: dict[str, set[int]] = defaultdict(set)  # start word: length classes
-        rows: dict[int, list[tuple]] = defaultdict(list)
-        short: dict[str, list[int]] = {}
+        equal: dict[str, list[int]] = defaultdict(list)
         for n, text in enumerate(self.texts):
-            raw = text.encode()
-            if not raw:
-                continue
-            if len(raw) < config.least_bytes:
-                short.setdefault(text, []).append(n)
-                continue
-            window = max(config.least_bytes, 1 << max(0, int(len(raw) * 0.5).bit_length() - 1))
-            words, at = [], 0
-            for w in text.split(" "):
-                words.append((at, w))
-                at += len(w.encode()) + 1
-            fit = [(o, w) for o, w in words if o + window <= len(raw)] or words[:1]
-            fit.sort(key=lambda x: (-len(x[1]), x[0]))
-            for k, (o, w) in enumerate(fit[: config.starts]):
-                if k >= 6 and len(w) < 5:  # short words begin too many windows
-                    break
-                self.words[w].add(window)
-                rows[window].append((n, o, raw))
+            if text and len(text.encode()) >= config.least_bytes:
+                equal[text].append(n)
+        self.items, self.numbers = list(equal), list(equal.values())  # distinct texts, and the items that have them
+        self.limits = np.array([int(config.max_edits * len(x)) for x in self.items], np.int64)
         self.short = None
-        if short:
+        if short := {x for x in self.texts if x and len(x.encode()) < config.least_bytes}:
             self.short = ahocorasick.Automaton()
-            for text, numbers in short.items():
-                self.short.add_word(text, (text, numbers))
+            for text in short:
+                self.short.add_word(text, (text, [n for n, x in enumerate(self.texts) if x == text]))
             self.short.make_automaton()
-        self.keys, self.places = {}, {}
-        for window, found in rows.items():
-            e = self.embeddings[window] = Embedding(window, config)
-            buf = np.frombuffer(b"".join(raw for _, _, raw in found), np.uint8)
-            ends = np.cumsum([len(raw) for _, _, raw in found])
-            start = ends - [len(raw) - o for _, o, raw in found]
-            keys = e.keys(buf, start, ends, np.array([_word_code(raw[o:].split(b" ", 1)[0].decode()) for _, o, raw in found]))
-            order = np.argsort(keys, axis=1)
-            self.keys[window] = np.take_along_axis(keys, order, axis=1)
-            self.places[window] = np.array([(n, o) for n, o, _ in found], np.int64)[order]
-
-    def candidates(self, texts: pa.Array) -> dict[tuple[int, int], set[int]]:
-        """(text, item) to the byte offsets at which the item may begin. ``texts`` are normalized."""
-        words = pc.split_pattern(texts, " ")
-        flat = words.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        classes = [self.words.get(w, ()) for w in distinct]
-        codes = np.array([_word_code(w) if c else 0 for w, c in zip(distinct, classes)], np.int64)
-        which = flat.indices.to_numpy(zero_copy_only=False)
-        size = pc.binary_length(flat.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[which] + 1
-        text_size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        stops = np.cumsum(text_size)
-        per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        text_of = np.repeat(np.arange(len(texts)), per_text)
-        # a text has one blank less than words, so its words begin that much earlier
-        begin = np.cumsum(size) - size - text_of
-        buf = np.frombuffer("".join(texts.to_pylist()).encode() or b"\0", np.uint8)
+        owners: dict[tuple[str, int], list[tuple[int, int]]] = defaultdict(list)  # (block, its edits): (item, offset)
+        for n, (text, limit) in enumerate(zip(self.items, self.limits.tolist())):
+            j = _n_blocks(len(text), limit)
+            edges = _cut(len(text), j)
+            for low, high in zip(edges, edges[1:]):
+                owners[text[low:high], limit // j].append((n, low))
+        blocks = list(owners)
+        self.size = np.array([len(x) for x, _ in blocks], np.int64)
+        self.edits = np.array([k for _, k in blocks], np.int64)
+        self.owners = np.array([x for xs in owners.values() for x in xs], np.int64).reshape(-1, 2)
+        self.owner_edges = np.cumsum([0, *map(len, owners.values())])
+        # characters by frequency; the rare ones share a number, which lets distances be too small but never too large
+        common = Counter(c for x, _ in blocks for c in x).most_common()
+        self.number = np.zeros(0x110000, np.uint8)
+        for k, (c, _) in enumerate(common):
+            self.number[ord(c)] = 1 + min(k, CHARS - 2)
+        self.masks = np.zeros((len(blocks), CHARS), np.uint64)
+        grams: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # length of gram: (hash, block, offset)
+        for b, (text, k) in enumerate(blocks):
+            codes = _codes(text)
+            np.bitwise_or.at(self.masks[b], self.number[codes], np.uint64(1) << np.arange(len(text), dtype=np.uint64))
+            edges = _cut(len(text), k + 1)
+            q = min(GRAM, *np.diff(edges).tolist()) if k else min(GRAM, len(text))
+            grams[q] += [(h, b, o) for h, o in zip(_hashes(codes, q)[edges[:-1]].tolist(), edges)]
+        self.grams = {q: self._lookup(rows) for q, rows in grams.items()}
+
+    @staticmethod
+    def _lookup(rows: list[tuple[int, int, int]]) -> tuple:
+        """Sorted hashes, edges of their rows, the rows, and a bitmap of the hashes' upper bits."""
+        rows = sorted(rows)
+        hashes, first = np.unique(np.array([h for h, _, _ in rows], np.uint64), return_index=True)
+        shift = np.uint64(64 - min(24, max(16, len(hashes).bit_length() + 5)))
+        bitmap = np.zeros(1 << (64 - int(shift)), bool)
+        bitmap[hashes >> shift] = True
+        return hashes, np.append(first, len(rows)), np.array([(b, o) for _, b, o in rows], np.int64), bitmap, shift
+
+    def _near(self, codes: np.ndarray, block: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a block lies within its edits about ``start``, in the text from ``low`` to ``high`` (bit-parallel, all at once)."""
+        size, edits = self.size[block], self.edits[block]
+        top = np.uint64(1) << (size - 1).astype(np.uint64)
+        pv, mv = np.full(len(block), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(block), np.uint64)
+        score, best = size.copy(), size.copy()
+        masks, row = self.masks.reshape(-1), block * CHARS
+        low, high = np.maximum(low, start - edits), np.minimum(high, start + size + edits)
+        for j in range(int((high - low).max(initial=0))):
+            at = low + j
+            char = np.where(at < high, self.number[codes[np.minimum(at, high - 1)]], 0)
+            eq = masks[row + char]
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            score += ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0)
+            ph <<= np.uint64(1)
+            mh <<= np.uint64(1)
+            pv = mh | ~(xv | ph)
+            mv = ph & xv
+            np.minimum(best, score, out=best)
+        return best <= edits
+
+    def candidates(self, texts: list[str]) -> dict[tuple[int, int], set[int]]:
+        """(text, distinct item) to where the item may begin, in steps of its limit. ``texts`` are normalized."""
+        codes = _codes("".join(texts))
+        stops = np.cumsum([len(x) for x in texts])
         out: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for window, e in self.embeddings.items():
-            mine = np.array([window in c for c in classes], bool)
-            hit = np.flatnonzero(mine[which]) if len(which) else which
-            hit = hit[begin[hit] + self.config.least_bytes // 2 <= stops[text_of[hit]]] if len(hit) else hit
-            if not len(hit):
-                continue
-            keys = e.keys(buf, begin[hit], stops[text_of[hit]], codes[which[hit]])
-            for r in range(len(keys)):
-                low = np.searchsorted(self.keys[window][r], keys[r], side="left")
-                high = np.searchsorted(self.keys[window][r], keys[r], side="right")
-                for k in np.flatnonzero(high > low).tolist():
-                    t = int(text_of[hit[k]])
-                    for n, o in self.places[window][r][low[k]: high[k]].tolist():
-                        out[t, n].add(int(begin[hit[k]] - (stops[t] - text_size[t])) - o)
+        for q, (hashes, edges, rows, bitmap, shift) in self.grams.items():
+            for begin in range(0, len(codes) - q + 1, STEP):
+                h = _hashes(codes[begin: begin + STEP + q - 1], q)
+                hit = np.flatnonzero(bitmap[h >> shift])
+                k = np.minimum(np.searchsorted(hashes, h[hit]), len(hashes) - 1)
+                same = hashes[k] == h[hit]
+                hit, k = hit[same] + begin, k[same]
+                many = edges[k + 1] - edges[k]
+                for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1):
+                    self._add(out, codes, stops, hit[part], edges[k[part]], many[part], rows)
         return out
 
+    def _add(self, out: dict, codes: np.ndarray, stops: np.ndarray, hit: np.ndarray, first: np.ndarray, many: np.ndarray, rows: np.ndarray) -> None:
+        """Candidates of the grams found at ``hit``, of which each has ``many`` rows from ``first`` on."""
+        block, offset = rows[_ranges(first, many)].T
+        at = np.repeat(hit, many)
+        text = np.searchsorted(stops, at, side="right")
+        low = np.append(0, stops)[text]
+        for a in range(0, len(at), LANES):
+            x = slice(a, a + LANES)
+            near = a + np.flatnonzero(self._near(codes, block[x], at[x] - offset[x], low[x], stops[text[x]]))
+            b, many_owners = block[near], self.owner_edges[block[near] + 1] - self.owner_edges[block[near]]
+            item, within = self.owners[_ranges(self.owner_edges[b], many_owners)].T
+            start = np.repeat((at - offset - low)[near], many_owners) - within
+            step = self.limits[item] + 1
+            for t, n, o in np.unique(np.stack([np.repeat(text[near], many_owners), item, start // step * step], axis=1), axis=0).tolist():
+                out[t, n].add(o)
+
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
-        """(text, item, edits, end): the closest match of every item that a text holds within the limit."""
-        clean = normalize(texts)
+        """(text, item, edits, end): the closest match of every item that a text holds within the limit; ``end`` in characters."""
+        clean = normalize(texts).to_pylist()
         out = []
         if self.short is not None:
-            for t, text in enumerate(clean.to_pylist()):
+            for t, text in enumerate(clean):
                 found = {item: (end + 1, numbers) for end, (item, numbers) in self.short.iter(text)}
-                out += [(t, n, 0, len(text[:end].encode())) for end, numbers in found.values() for n in numbers]
+                out += [(t, n, 0, end) for end, numbers in found.values() for n in numbers]
         for (t, n), offsets in sorted(self.candidates(clean).items()):
-            raw, item = clean[t].as_py().encode(), self.texts[n]
-            limit = int(self.config.max_edits * len(item))
-            reach, length = limit + 8, len(item.encode())
-            best = (limit + 1, 0)
-            seen = -1
+            text, item, limit = clean[t], self.items[n], int(self.limits[n])
+            stretches: list[list[int]] = []
             for o in sorted(offsets):
-                if o <= seen:
-                    continue
-                seen = o + limit  # nearby offsets lie in the same stretch
-                low = max(0, o - reach)
-                edits, end = edit_distance_within(item, raw[low: o + length + reach + limit].decode(errors="ignore"))
+                low, high = max(0, o - limit), o + len(item) + 2 * limit
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = high
+                else:
+                    stretches.append([low, high])
+            best = (limit + 1, 0)
+            for low, high in stretches:
+                edits, end = edit_distance_within(item, text[low:high])
                 best = min(best, (edits, low + end))
             if best[0] <= limit:
-                out.append((t, n, *best))
+                out += [(t, k, *best) for k in self.numbers[n]]
         return out
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, config: LeakConfig) -> list:
     """Broadcast indexes of the benchmark, a block of bounded size each."""
     items = benchmark.filter("length(trim(text)) > 0").select("item_id", "text")
-    n_blocks = max(1, math.ceil(items.count() / (config.block_items / 2)))
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_blocks = max(1, math.ceil(max(count, chars / ITEM_CHARS) / (config.block_items / 2)))
     blocks = items.withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
     out = []
     for k in range(n_blocks):
@@ -249,8 +318,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakC
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = index.value
             for batch in batches:
-                for low in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(low, SLICE)
+                for part in slices(batch, SLICE):
                     found = known.leaks(part.column("text"))
                     yield pa.RecordBatch.from_arrays([
                         part.column("doc_id").take(pa.array([t for t, *_ in found], pa.int64())), pa.array([known.ids[n] for _, n, *_ in found], id_type),
@@ -267,8 +335,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = Leak
     for index in _indexes(docs, benchmark, config):
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(low, SLICE)
+                for part in slices(batch, SLICE):
                     clean = np.ones(part.num_rows, bool)
                     clean[[t for t, *_ in index.value.leaks(part.column("text"))]] = False
                     yield part.filter(pa.array(clean))
