@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,7 +37,7 @@ ITEM_CHARS = 512  # longer items in the mean make an index of fewer
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """The search uses ``max_edits``, ``least_bytes`` and ``block_items``, the rest is the embedding's.
+    """The search uses ``max_edits`` and ``block_items``, the rest is the embedding's.
 
     ``block_items`` bounds the index that is sent to the executors; more items go in more passes.
     """
@@ -47,7 +46,6 @@ class LeakConfig:
     target_recall: float = 0.95
     agreement: float = 0.74
     places: int = 6  # of the embedding in a key
-    least_bytes: int = 24  # shorter items are looked up as they stand
     block_items: int = 10_000
     seed: int = 11
 
@@ -160,16 +158,10 @@ class LeakIndex:
         self.texts = normalize(pa.array([t for _, t in items], pa.string())).to_pylist() if items else []
         equal: dict[str, list[int]] = defaultdict(list)
         for n, text in enumerate(self.texts):
-            if text and len(text.encode()) >= config.least_bytes:
+            if text:
                 equal[text].append(n)
         self.items, self.numbers = list(equal), list(equal.values())  # distinct texts, and the items that have them
         self.limits = np.array([int(config.max_edits * len(x)) for x in self.items], np.int64)
-        self.short = None
-        if short := {x for x in self.texts if x and len(x.encode()) < config.least_bytes}:
-            self.short = ahocorasick.Automaton()
-            for text in short:
-                self.short.add_word(text, (text, [n for n, x in enumerate(self.texts) if x == text]))
-            self.short.make_automaton()
         owners: dict[tuple[str, int], list[tuple[int, int]]] = defaultdict(list)  # (block, its edits): (item, offset)
         for n, (text, limit) in enumerate(zip(self.items, self.limits.tolist())):
             j = _n_blocks(len(text), limit)
@@ -267,10 +259,6 @@ class LeakIndex:
         """(text, item, edits, end): the closest match of every item that a text holds within the limit; ``end`` in characters."""
         clean = normalize(texts).to_pylist()
         out = []
-        if self.short is not None:
-            for t, text in enumerate(clean):
-                found = {item: (end + 1, numbers) for end, (item, numbers) in self.short.iter(text)}
-                out += [(t, n, 0, end) for end, numbers in found.values() for n in numbers]
         for (t, n), offsets in sorted(self.candidates(clean).items()):
             text, item, limit = clean[t], self.items[n], int(self.limits[n])
             stretches: list[list[int]] = []
@@ -284,6 +272,8 @@ class LeakIndex:
             for low, high in stretches:
                 edits, end = edit_distance_within(item, text[low:high])
                 best = min(best, (edits, low + end))
+                if not best[0]:
+                    break
             if best[0] <= limit:
                 out += [(t, k, *best) for k in self.numbers[n]]
         return out
@@ -306,7 +296,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakC
     """Documents that hold a benchmark item, a row per document and item.
 
     An item is held by a substring within ``max_edits`` of its length, both with ASCII letters
-    lower-cased and white space made single; one of less than ``least_bytes`` by an equal substring. Null and empty texts and items hold and are nothing;
+    lower-cased and white space made single. Null and empty texts and items hold and are nothing;
     repeated documents are reported one by one, equal items too; other columns are ignored.
     Documents are not shuffled; the benchmark is read in blocks of bounded size.
     Columns: doc_id, item_id, n_edits, item_chars.

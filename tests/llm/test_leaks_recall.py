@@ -2,9 +2,9 @@ import random
 
 import pyarrow as pa
 import pytest
-from test_leaks_toxicity import edit, items_table, words
+from test_leaks_toxicity import edit, items_table, semi_global, words
 
-from panelwright.llm.decontaminate import edit_distance_within, find_leaks, normalize
+from panelwright.llm.decontaminate import LeakConfig, drop_leaked, edit_distance_within, find_leaks, normalize
 
 
 @pytest.mark.parametrize("size", [1_000, 2_000, 4_000])
@@ -16,3 +16,37 @@ def test_edited_copies_of_long_items(spark, make_docs, size):
     within = {(i, i): e for (i, t), text in zip(items, clean) if (e := edit_distance_within(t, text)[0]) <= int(0.1 * len(t))}
     got = {(r.doc_id, r.item_id): r.n_edits for r in find_leaks(make_docs(pairs), items_table(spark, items)).collect()}
     assert len(within) > 20 and got == within
+
+
+def brute(pairs, items, share=0.1):
+    """Every item of every document by the whole table of distances."""
+    clean = lambda xs: normalize(pa.array([x for _, x in xs], pa.string())).to_pylist()
+    held = [(d, i, semi_global(t, text), len(t)) for (d, _), text in zip(pairs, clean(pairs)) for (i, _), t in zip(items, clean(items)) if t]
+    return sorted(x for x in held if x[2] <= int(share * x[3]))
+
+
+def test_copies_in_text_without_blanks_and_beside_marks(spark, make_docs):
+    items = [(1, "北京大学位于中国的首都"), (2, "https://example.org/a/very/long/path?x=1&y=2"), (3, "x**2+3*x-17==0or(y<4)"), (4, "to be or not to be, that is")]
+    pairs = [(1, "我们知道北京大学位于中国的首都，历史悠久"), (2, 'see"https://example.org/a/very/long/path?x=1&y=2".'), (3, "if(x**2+3*x-17==0or(y<4)):pass"),
+             (4, 'he said: "To be or not to be, that is" all'), (5, "我们知道北京大学位在中国的首都，历史悠久"), (6, "nothing of the kind")]
+    got = find_leaks(make_docs(pairs), items_table(spark, items))
+    assert sorted(map(tuple, got.collect())) == brute(pairs, items) == [(1, 1, 0, 11), (2, 2, 0, 44), (3, 3, 0, 21), (4, 4, 0, 27), (5, 1, 1, 11)]
+    assert [r.doc_id for r in drop_leaked(make_docs(pairs), items_table(spark, items)).collect()] == [6]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.25])
+def test_short_items_against_the_table_of_distances(spark, make_docs, share):
+    rng = random.Random(4)
+    items = [(i, words(rng, 12)[: rng.randint(1, 80)]) for i in range(30)] + [(90, "a"), (91, "Ka To"), (92, "x" * 30), (93, "x" * 30), (94, None), (95, "")]
+    pairs = [(i, f"{words(rng, 5)}{rng.choice(['', ' '])}{edit(rng, t, int(share * len(t)))}{rng.choice(['', ' ', '"'])}{words(rng, 4)}") for i, t in items if t]
+    pairs += [(100, "x" * 200), (101, "x" * 29), (102, "x"), (103, ""), (104, None)]
+    got = find_leaks(make_docs(pairs), items_table(spark, items), LeakConfig(max_edits=share, block_items=30))
+    assert sorted(map(tuple, got.collect())) == brute(pairs, items, share)
+
+
+def test_awkward_documents_against_the_table_of_distances(spark, make_docs, awkward):
+    items = [(1, "one two"), (2, "x" * 100)]
+    got = find_leaks(make_docs(awkward), items_table(spark, items))
+    assert sorted((r.doc_id, r.n_edits) for r in got.collect()) == [(-3, 0), (5, 0), (11, 1), (12, 0)]
+    assert find_leaks(make_docs(awkward), items_table(spark, [])).count() == 0
+    assert find_leaks(make_docs([]), items_table(spark, [(1, "one two three")])).count() == 0
