@@ -225,7 +225,7 @@ def c5(t):
 @query("c6_tree_scores")
 def c6(t):
     train, test = train_test(t)
-    return rounded(C.predict_scores(C.fit_trees(train, FOUR, rounds=10), test, FOUR))
+    return rounded(C.predict_scores(C.fit_trees(train, FOUR), test, FOUR))
 
 
 @query("c7_ridge_scores")
