@@ -278,7 +278,8 @@ def _with_partners(percent: int):
     reach, all others are.
     """
 
-    def solve(table: pa.Table) -> pa.Table:
+    def solve(table: pa.Table) -> tuple[np.ndarray, int]:
+        """Which members to keep, and where the last run of a label begins."""
         group, n, label = (table.column(c).to_numpy() for c in ("group", "n", "label"))
         keep = np.zeros(len(n), bool)
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (label[1:] != label[:-1])))
@@ -290,19 +291,26 @@ def _with_partners(percent: int):
             ok = (inside & (group[at] == group[start]))[run_of]
             m = n[at][run_of]
             keep |= ok & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        return table.filter(pa.array(keep))
+        return keep, int(start[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the last run, whose next neighbour is not known yet
+        known = 0  # rows before it: its last neighbour
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held and held[-1].column("group")[-1].as_py() != batch.column("group")[0].as_py():
-                yield from solve(pa.Table.from_batches(held)).to_batches()
-                held = []
             held.append(batch)
+            if len(held) > 1 and all((batch.column(c).to_numpy() == held[-2].column(c)[-1].as_py()).all() for c in ("group", "label")):
+                continue
+            table = pa.Table.from_batches(held)
+            keep, last = solve(table)
+            if last > known:
+                yield from table.slice(known, last - known).filter(pa.array(keep[known:last])).to_batches()
+                known = 1
+                held = table.slice(last - 1).to_batches()
         if held:
-            yield from solve(pa.Table.from_batches(held)).to_batches()
+            table = pa.Table.from_batches(held)
+            yield from table.slice(known).filter(pa.array(solve(table)[0][known:])).to_batches()
 
     return run
 
