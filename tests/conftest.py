@@ -4,6 +4,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pytest
+from panels import long
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -26,13 +27,6 @@ def spark():
     s.stop()
 
 
-def long(frame: pd.DataFrame, value: str = "r") -> pd.DataFrame:
-    """Wide dates-by-tickers frame to long rows, missing cells left out."""
-    out = frame.rename_axis(index="date", columns="ticker").stack().rename(value).reset_index()
-    out["date"] = pd.to_datetime(out["date"]).dt.date
-    return out.dropna(subset=[value])
-
-
 @pytest.fixture(scope="session")
 def wide_returns():
     """Two common factors, a drift and own noise per name."""

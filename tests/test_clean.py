@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import long
+from panels import long
 from panelwright.config import CleaningConfig
 from panelwright.errors import DataError
 from panelwright.operators import clean

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import long
+from panels import long
 from panelwright.config import Band, CompositeConfig, FactorConfig, ScreenConfig, SelectionConfig, StandardizeConfig
 from panelwright.errors import ConfigurationError
 from panelwright.operators import composite, factors, regime, selection, standardize, universe

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import long
+from panels import long
 from panelwright.config import DriftRule
 from panelwright.errors import ConfigurationError, DataError
 from panelwright.operators import backtest, folds, moments, portfolios, rebalance, risk, views

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import long
+from panels import long
 from panelwright.functions import dist, pairs
 from panelwright.functions.stats import normal_quantile, t_two_sided
 

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import long
+from panels import long
 from panelwright.operators import alpha, folds, mimicking, research
 from panelwright.errors import ConfigurationError
 
