@@ -1,9 +1,12 @@
 """All queries of the subpackage."""
 
-from panelwright.llm import chat, decontaminate, jaccard, licenses, packing, quality, repeats, shards, tokens, toxicity  # noqa: F401
+from panelwright.llm import (  # noqa: F401
+    chat, decontaminate, jaccard, licenses, merkle, packing, quality, repeats, shards, tokens, toxicity,
+)
 from panelwright.llm import twins
 from panelwright.llm.registry import QUERIES, SQL
 
-SQL |= {"op4_jaccard_join": twins.JACCARD, "op6_quality_rules": twins.QUALITY, "op8_licenses": twins.LICENSES}
+SQL |= {"op4_jaccard_join": twins.JACCARD, "op6_quality_rules": twins.QUALITY, "op8_licenses": twins.LICENSES,
+        "op11_merkle": twins.MERKLE}
 
 __all__ = ["QUERIES", "SQL"]

