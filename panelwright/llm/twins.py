@@ -156,3 +156,23 @@ b0 as materialized (
 select doc_id, leaf, subroot, d as root, sha256(sib) as proof_sha256, f as folded_root, f = d as verified
 from b{_TREE_LEVELS} cross join (select d from m{_TREE_LEVELS})
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+SEARCH = rf"""
+with d as materialized (select row_number() over () as r, doc_id, {_TERMS} as t from documents),
+s as materialized (select count(*) filter (len(t) > 0) as n, cast(sum(len(t)) as bigint) as l from d),
+q as materialized (
+  select item_id, text, term, count(*) as c
+  from (select item_id, text, unnest({_TERMS}) as term from (select distinct item_id, text from benchmark)) group by all),
+p as materialized (
+  select r, doc_id, n, term, count(*) as tf
+  from (select r, doc_id, cast(len(t) as bigint) as n, unnest(t) as term from d) where term in (select term from q) group by all),
+w as materialized (
+  select term, cast(floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1))) as bigint) as w from p cross join s group by term),
+z as (
+  select item_id, text, r, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * s.n) // s.l)))) as bigint) as score
+  from q join w using (term) join p using (term) cross join s group by all)
+select item_id, cast(row_number() over (partition by item_id, text order by score desc, doc_id nulls first) as integer) as rank, doc_id, score
+from z where score > 0
+qualify row_number() over (partition by item_id, text order by score desc, doc_id nulls first) <= 10
+"""
