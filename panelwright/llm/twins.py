@@ -176,3 +176,12 @@ select item_id, cast(row_number() over (partition by item_id, text order by scor
 from z where score > 0
 qualify row_number() over (partition by item_id, text order by score desc, doc_id nulls first) <= 10
 """
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+g as (select *, case when strlen(payload) >= 1000 then max(page_id) over (partition by payload) end as response from p)
+select page_id, cast(strlen(payload) as bigint) as payload_bytes, sha1(payload) as payload_digest,
+  case when response is not null and response is distinct from page_id then 'revisit' else 'response' end as record_type,
+  case when response is distinct from page_id then response end as refers_to
+from g
+"""
