@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from panelwright.llm.registry import query, slices, table
 from panelwright.llm.store import stored
 
-CACHE_CHUNKS = 150_000
-_held: dict[str, tuple] = {}
+CACHE_CHUNKS = 250_000
+_ENCODED = 20_000  # chunks that are encoded at a time
+_MARK = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,]) "
+_held: dict[str, list] = {}
 
 
 @dataclass(frozen=True)
@@ -41,32 +44,49 @@ class PackingConfig:
 
 
 def _chunk_ids(chunks: list[str], path: str) -> list[bytes]:
-    """Ids of distinct chunks as little-endian unsigned 32-bit numbers. Known ones are remembered by the process."""
+    """Ids of distinct chunks as little-endian unsigned 32-bit numbers.
+
+    The process remembers two generations: when the younger is full it becomes the older, and what
+    is met again moves up, so that frequent chunks stay.
+    """
     if path not in _held:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads hold more memory
         from tokenizers import Tokenizer
 
-        _held[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _held[path]
-    if len(known) > CACHE_CHUNKS:
-        known.clear()
-    new = [c for c in chunks if c not in known]
-    for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[c] = np.array(e.ids, "<u4").tobytes()
-    return list(map(known.__getitem__, chunks))
+        _held[path] = [Tokenizer.from_file(path), {}, {}]
+    tokenizer, young, old = _held[path]
+    if len(young) > CACHE_CHUNKS:
+        _held[path][1:] = young, old = {}, young
+    made = [young.get(c) for c in chunks]
+    missing = [i for i, x in enumerate(made) if x is None]
+    new = []
+    for i in missing:
+        c = chunks[i]
+        x = old.get(c)
+        if x is None:
+            new.append(i)
+        else:
+            made[i] = young[c] = x
+    for j in range(0, len(new), _ENCODED):
+        part = new[j: j + _ENCODED]
+        for i, e in zip(part, tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
+            made[i] = young[chunks[i]] = array("I", e.ids).tobytes()
+    return made
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, one after the other, and where each text's ids end.
 
     The vocabulary drops white space and never joins over it, so a text's ids are those of its
-    chunks between blanks and line ends. To have fewer chunks, a mark that stands between a
-    letter and a blank is set apart, as the vocabulary does, and ASCII letters are lower-cased,
-    as it does, unless there are combining characters that could make a difference.
+    chunks between blanks and line ends. To have fewer chunks, a mark that stands between a Latin
+    letter (but for İ, whose lower case ends in a mark) and a blank is set apart, as the vocabulary
+    does, and ASCII letters are lower-cased, as it does. Not so in texts with combining characters,
+    which could make a difference, or ``<|``, with which the special tokens begin: those are known
+    in their own spelling only.
     """
     texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
-    if not pc.any(pc.match_substring_regex(texts, r"\pM")).as_py():
-        texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,]) ", r"\1 \2 ")
+    as_is = pc.or_(pc.match_substring_regex(texts, r"\pM"), pc.match_substring(texts, "<|"))
+    texts = pc.if_else(as_is, texts, pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2 "))
     split = pc.split_pattern(texts, " ")
     chunks = split.flatten().dictionary_encode()
     made = _chunk_ids(chunks.dictionary.to_pylist(), path)
@@ -81,7 +101,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate(([0], ends))[per_text]
 
 
-def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 1_500_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 3_000_000) -> DataFrame:
     """Pieces of at most a window: doc_id, start, length, ids_crc32, doc_tokens."""
     size, end = 4 * config.window, int(config.end_id).to_bytes(4, "little")
     schema = docs.select("doc_id").schema

@@ -59,6 +59,24 @@ def test_awkward_rows(make_docs, awkward):
     assert pack(make_docs([])).count() == 0
 
 
+def test_special_tokens_and_dotted_capitals_have_the_ids_of_whole_texts():
+    special = ["<|ENDOFTEXT|>", "<|endoftext|>", "a <|StartOfText|>. b", "x<|startoftext|>Y, z", "<|end", "<| ENDOFTEXT |>", "<|endoftext|> <|ENDOFTEXT|>"]
+    texts = [*special, "İ. İ, Iİ. x", "Iş. IŞ, ı. Ğ, ſ. ŉ. ʼN, ß. ẞ. ", "Plain. Text, Here. ", "Ω. Я, 中. é. É, ", "a\u0301. b"]
+    ids, ends = encode(pa.array(texts), PATH)
+    assert [c.tolist() for c in np.split(ids, ends[:-1])] == [plain_ids(t) for t in texts]
+
+
+def test_chunks_that_come_again_after_the_memory_is_full(monkeypatch):
+    from panelwright.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 5)
+    monkeypatch.setattr(packing, "_ENCODED", 3)
+    for round in range(4):
+        texts = [f"hot word{round} a{i % (round + 2)}. B{i}" for i in range(9)]
+        ids, ends = encode(pa.array(texts), PATH)
+        assert [c.tolist() for c in np.split(ids, ends[:-1])] == [plain_ids(t) for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 50), max_size=20))
 def test_every_rank_has_one_place(histogram):
