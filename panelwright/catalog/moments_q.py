@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.catalog.base import part, query, rd, sql
+from panelwright.catalog.base import part, query, rd, recursive, sql
 from panelwright.catalog.sources_q import day
 from panelwright.functions.columns import rounded
 from panelwright.operators import moments as E
@@ -30,7 +30,7 @@ def e1(t):
 
 
 def _shrunk(method):
-    @query(f"e2_shrunk_mean_{method}")
+    @query(f"e2_shrunk_mean_{method}", complete=True)
     def run(t):
         return rounded(E.shrunk_mean(t.weekly_returns, method))
 
@@ -241,13 +241,23 @@ def e18(t):
     return rounded(p.select("ticker", day(), "state", "p"))
 
 
-part("fits", "SELECT ticker AS model, i AS n_states, -count(*) * ln(stddev_samp(r)) + 40 * ln(i) AS loglik FROM bret, range(2, 5) g(i) GROUP BY 1, 2", "bret")
-part("scored", "SELECT model, n_states, -2 * loglik + (n_states * (n_states - 1) + 2 * n_states) * ln(300) AS score FROM fits", "fits")
+STATE_COUNTS = (2, 3, 4)
+part("rgk", """SELECT *, CAST(floor(place * CAST(k AS DOUBLE) / n) AS INTEGER) AS s FROM (SELECT ticker, date, r, row_number() OVER (PARTITION BY ticker ORDER BY r, date) - 1 AS place,
+  row_number() OVER (PARTITION BY ticker ORDER BY date) AS idx, count(*) OVER (PARTITION BY ticker) AS n, stddev_pop(r) OVER (PARTITION BY ticker) AS sd FROM bret), range(2, 5) g(k) WHERE sd > 0 AND n >= k""", "bret")
+part("rgs", "SELECT ticker, k, s, avg(r) AS m, greatest(stddev_pop(r), 0.25 * max(sd)) AS sd FROM rgk GROUP BY 1, 2, 3", "rgk")
+part("rgm", "SELECT a.ticker, a.k, a.s AS i, b.s AS j, count(*) AS c FROM rgk a JOIN rgk b ON b.ticker = a.ticker AND b.k = a.k AND b.idx = a.idx + 1 GROUP BY 1, 2, 3, 4", "rgk")
+part("rgt", """SELECT a.ticker, a.k, a.s AS i, b.s AS j, (coalesce(c, 0) + 1) / sum(coalesce(c, 0) + 1) OVER (PARTITION BY a.ticker, a.k, a.s) AS q
+  FROM rgs a JOIN rgs b ON b.ticker = a.ticker AND b.k = a.k LEFT JOIN rgm ON rgm.ticker = a.ticker AND rgm.k = a.k AND i = a.s AND j = b.s""", "rgs", "rgm")
+part("rgp", "SELECT rgs.ticker, rgs.k, rgs.s, m, sd, list(q ORDER BY i) AS q FROM rgs JOIN rgt ON rgt.ticker = rgs.ticker AND rgt.k = rgs.k AND j = rgs.s GROUP BY 1, 2, 3, 4, 5", "rgs", "rgt")
+part("rge", """SELECT r.ticker, r.k, r.idx, list(exp(-0.5 * pow((r.r - m) / p.sd, 2)) / (p.sd * sqrt(2 * pi())) ORDER BY p.s) AS e, any_value(r.n) AS n, list(q ORDER BY p.s) AS q
+  FROM rgk r JOIN rgp p ON p.ticker = r.ticker AND p.k = r.k GROUP BY 1, 2, 3""", "rgk", "rgp")
+part("rgf", """SELECT ticker, k, idx, n, list_transform(u, lambda v: v / list_sum(u)) AS f, ln(list_sum(u)) AS ll FROM (SELECT *, list_transform(e, lambda v: v / k) AS u FROM rge WHERE idx = 1) UNION ALL
+  SELECT ticker, k, idx, n, list_transform(u, lambda v: v / list_sum(u)), ll + ln(list_sum(u)) FROM (SELECT x.ticker, x.k, x.idx, x.n, ll, list_transform(generate_series(1, CAST(x.k AS BIGINT)), lambda j: x.e[j] * list_dot_product(f, x.q[j])) AS u
+    FROM rgf JOIN rge x ON x.ticker = rgf.ticker AND x.k = rgf.k AND x.idx = rgf.idx + 1)""")
+part("scored", "SELECT ticker AS model, CAST(k AS INTEGER) AS n_states, -2 * ll + (k * (k - 1) + 2 * k) * ln(n) AS score FROM rgf WHERE idx = n")
 
 
-@query("e19_state_count", sql(f"SELECT model, n_states, {rd('score')} AS score, row_number() OVER (PARTITION BY model ORDER BY score, n_states) = 1 AS chosen FROM scored", "scored"))
+@query("e19_state_count", recursive(f"SELECT model, n_states, {rd('score')} AS score, row_number() OVER (PARTITION BY model ORDER BY score, n_states) = 1 AS chosen FROM scored", "rge", "rgf", "scored"))
 def e19(t):
-    fits = t.weekly_returns.groupBy(F.col("ticker").alias("model")).agg(F.count("*").alias("c"), F.stddev_samp("r").alias("s"))
-    fits = fits.select("model", "c", "s", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("n_states"))
-    fits = fits.select("model", "n_states", (-F.col("c") * F.ln("s") + 40 * F.ln(F.col("n_states"))).alias("loglik"))
-    return rounded(E.choose_state_count(fits, 300, 1))
+    fits = E.forward_loglik(t.weekly_returns, E.bucket_regimes(t.weekly_returns, STATE_COUNTS))
+    return rounded(E.choose_state_count(fits.withColumnRenamed("ticker", "model")))

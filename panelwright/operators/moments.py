@@ -6,19 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.errors import ConfigurationError, DataError
 from panelwright.functions.dist import attach_one, with_group_stats
-from panelwright.functions.pairs import asset_axis, blocked_pairs, mirrored, pair_sums, product_sums, with_moments
+from panelwright.functions.pairs import blocked_pairs, mirrored, pair_sums, product_sums, with_moments
+from panelwright.operators.spectral import PanelGram, Spectrum, inverse_products
 from panelwright.session import cut
 from panelwright.sources.panel import with_axis
 
-# A matrix up to this side (32 MB) may be solved in one place; larger systems iterate on the pair table.
-DENSE_SIDE = 2_000
-
 
 def mean(returns: DataFrame) -> DataFrame:
     return returns.groupBy(F.col("ticker").alias("asset")).agg(F.avg("r").alias("mu"))
@@ -61,82 +57,18 @@ def apply_matrix(cov: DataFrame, vector: DataFrame, name: str = "x") -> DataFram
     )
 
 
-def _dense(cov: DataFrame) -> tuple[list[str], np.ndarray] | None:
-    """The matrix itself when its side is within DENSE_SIDE, else None."""
-    names = cov.select("asset_i").distinct()
-    if names.count() > DENSE_SIDE:
-        return None
-    rows = cov.select("asset_i", "asset_j", "cov").toPandas()
-    wide = rows.pivot(index="asset_i", columns="asset_j", values="cov")
-    return list(wide.index), wide.to_numpy()
-
-
-def solve(cov: DataFrame, rhs: DataFrame, names: list[str], tolerance: float = 1e-12) -> DataFrame:
-    """(asset, *names): solutions of cov @ z = rhs for each named column of ``rhs``.
-
-    Small systems are solved directly; larger ones by conjugate gradients, one
-    pair-table aggregate per step.
-    """
-    spark = cov.sparkSession
-    dense = _dense(cov)
-    if dense is not None:
-        order, matrix = dense
-        b = rhs.toPandas().set_index("asset").loc[order, names].to_numpy()
-        z = np.linalg.solve(matrix, b)
-        return spark.createDataFrame(pd.DataFrame(z, columns=names).assign(asset=order)[["asset", *names]])
-    out = rhs.select("asset")
-    for name in names:
-        state = cut(rhs.select("asset", F.lit(0.0).alias("z"), F.col(name).alias("res"), F.col(name).alias("dir")))
-        rr = state.agg(F.sum(F.col("res") * F.col("res"))).first()[0]
-        stop = rr * tolerance**2
-        while rr > stop:
-            step = cut(state.join(apply_matrix(cov, state, "dir"), "asset"))
-            a = rr / step.agg(F.sum(F.col("dir") * F.col("y"))).first()[0]
-            state = step.select(
-                "asset", (F.col("z") + a * F.col("dir")).alias("z"), (F.col("res") - a * F.col("y")).alias("res"), "dir"
-            )
-            new = state.agg(F.sum(F.col("res") * F.col("res"))).first()[0]
-            state = cut(state.withColumn("dir", F.col("res") + (new / rr) * F.col("dir")))
-            rr = new
-        out = out.join(state.select("asset", F.col("z").alias(name)), "asset")
-    return out
-
-
-def largest_eigenvalue(cov: DataFrame, steps: int = 200, tolerance: float = 1e-12) -> float:
-    dense = _dense(cov)
-    if dense is not None:
-        return float(np.linalg.eigvalsh(dense[1])[-1])
-    v = cut(cov.groupBy(F.col("asset_i").alias("asset")).agg(F.sum(F.abs("cov")).alias("x")))
-    last = 0.0
-    for _ in range(steps):
-        y = cut(apply_matrix(cov, v))
-        norm = math.sqrt(y.agg(F.sum(F.col("y") * F.col("y"))).first()[0])
-        v = y.select("asset", (F.col("y") / norm).alias("x"))
-        value = v.join(apply_matrix(cov, v), "asset").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
-        if abs(value - last) <= tolerance * abs(value):
-            return value
-        last = value
-    return last
-
-
 def shrunk_mean(returns: DataFrame, method: str = "james_stein") -> DataFrame:
-    """Means pulled to the grand mean with the James-Stein, Bayes-Stein or Bodnar-Okhrin intensity."""
-    cov = cut(covariance(returns))
-    mu = cut(mean(returns))
-    size = mu.agg(F.count(F.lit(1)).alias("n"), F.avg("mu").alias("g")).first()
-    n, grand = size["n"], size["g"]
-    t = returns.select("date").distinct().count()
+    """Means pulled to the grand mean with the James-Stein, Bayes-Stein or Bodnar-Okhrin intensity; complete dates only."""
+    gram = PanelGram(returns)
+    mu = gram.rows.select(F.col("ticker").alias("asset"), F.col("m").alias("mu"))
+    grand = mu.agg(F.avg("mu")).first()[0]
+    n, t = gram.n, gram.t
     if method == "james_stein":
-        trace = cov.where("asset_i = asset_j").agg(F.sum("cov")).first()[0]
         gap = mu.agg(F.sum((F.col("mu") - grand) * (F.col("mu") - grand))).first()[0]
-        beta = (trace - 2 * largest_eigenvalue(cov)) / gap / t
+        beta = (gram.trace - 2 * Spectrum(gram, 1).values[0]) / gap / t
         alpha = 1 - beta
     elif method in ("bayes_stein", "bodnar_okhrin"):
-        rhs = mu.select("asset", "mu", F.lit(1.0).alias("one"))
-        z = solve(cov, rhs, ["mu", "one"]).select("asset", F.col("mu").alias("zm"), F.col("one").alias("zo"))
-        q = mu.join(z, "asset").agg(
-            F.sum(F.col("mu") * F.col("zm")).alias("mm"), F.sum("zm").alias("m1"), F.sum("zo").alias("one")
-        ).first()
+        q = inverse_products(gram)
         if method == "bayes_stein":
             gap = q["mm"] - 2 * grand * q["m1"] + grand * grand * q["one"]
             beta = (n + 2) / ((n + 2) + t * gap)
@@ -271,59 +203,34 @@ def gerber(returns: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def eigenpairs(returns: DataFrame, k: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-    """(assets, eigenvalues, eigenvectors as columns, dates) of the sample covariance of complete dates.
-
-    The Gram matrix is summed on the executors; the driver holds the N x N result,
-    as large as the covariance table that is asked for.
-    """
-    axis = asset_axis(returns)
-    names = [r["ticker"] for r in axis.orderBy("pos").collect()]
-    rows = (
-        returns.where(F.col("r").isNotNull()).join(axis, "ticker").groupBy("date")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("c"))
-        .where(F.size("c") == len(names))
-        .select(array_to_vector(F.col("c.r")).alias("v"))
-    )
-    rows = cut(rows)
-    t = rows.count()
-    if t < 2:
-        raise DataError("need at least 2 complete dates")
-    trace = returns.groupBy("ticker").agg(F.var_samp("r").alias("v")).agg(F.sum("v")).first()[0]
-    model = PCA(k=k or len(names), inputCol="v", outputCol="p").fit(rows)
-    return names, np.asarray(model.explainedVariance.toArray()) * trace, model.pc.toArray(), t
-
-
-def _low_rank(spark, names: list[str], columns: np.ndarray) -> DataFrame:
-    """(asset_i, asset_j, p1) of columns @ columns.T, i <= j, through the blocked product."""
-    cells = [(k, a, float(columns[i, k])) for k in range(columns.shape[1]) for i, a in enumerate(names)]
-    return product_sums(spark.createDataFrame(cells, "date int, ticker string, r double"))
+def _low_rank(loadings: DataFrame) -> DataFrame:
+    """(asset_i, asset_j, p1), i <= j: products of (ticker, k, value) summed over k, through the blocked product."""
+    return product_sums(loadings.select(F.col("k").alias("date"), "ticker", F.col("value").alias("r")))
 
 
 def denoised(returns: DataFrame) -> DataFrame:
-    """Eigenvalues at or below the Marchenko-Pastur edge are replaced by their mean.
+    """Eigenvalues at or below the Marchenko-Pastur edge are replaced by their mean; complete dates only.
 
     The sum of all eigenvector squares is the identity, so only the eigenvectors
     above the edge are needed: sum (l_k - noise) v_k v_k' + noise * I.
     """
-    names, values, vectors, t = eigenpairs(returns)
-    n = len(names)
-    edge = values.sum() / n * (1 + math.sqrt(n / t)) ** 2
-    signal = values > edge
-    noise = float(values[~signal].mean()) if (~signal).any() else 0.0
-    spark = returns.sparkSession
+    gram = PanelGram(returns)
+    edge = gram.trace / gram.n * (1 + math.sqrt(gram.n / gram.t)) ** 2
+    signal = Spectrum(gram, above=edge)
+    k = len(signal.values)
+    noise = float((gram.trace - signal.values.sum()) / (gram.n - k)) if k < gram.n else 0.0
     diagonal = F.when(F.col("asset_i") == F.col("asset_j"), noise).otherwise(0.0)
-    if signal.any():
-        part = _low_rank(spark, names, vectors[:, signal] * np.sqrt(values[signal] - noise))
+    if k:
+        part = _low_rank(signal.asset_vectors(np.sqrt(np.maximum(signal.values - noise, 0.0))))
     else:
         part = covariance(returns).select("asset_i", "asset_j", F.lit(0.0).alias("p1")).where("asset_i <= asset_j")
     return mirrored(part.select("asset_i", "asset_j", (F.col("p1") + diagonal).alias("cov")))
 
 
 def detoned(returns: DataFrame) -> DataFrame:
-    """The first eigen component removed."""
-    names, values, vectors, _ = eigenpairs(returns, 1)
-    market = _low_rank(returns.sparkSession, names, vectors[:, :1] * math.sqrt(values[0]))
+    """The first eigen component removed; it is that of the complete dates."""
+    first = Spectrum(PanelGram(returns), 1)
+    market = _low_rank(first.asset_vectors(np.sqrt(first.values)))
     cov = with_moments(pair_sums(returns))
     return mirrored(
         cov.join(market, ["asset_i", "asset_j"]).select("asset_i", "asset_j", (F.col("cov") - F.col("p1")).alias("cov"))
@@ -515,13 +422,81 @@ def regime_filter(returns: DataFrame, start: list[float], transition: list[list[
     return rows.groupBy("ticker").applyInPandas(run, "date date, ticker string, state int, p double")
 
 
-def choose_state_count(fits: DataFrame, n_dates: int, n_assets: int, criterion: str = "bic") -> DataFrame:
-    """Scores of (model, n_states, loglik) rows and the smallest per model."""
+def _let(value, use):
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def forward_loglik(returns: DataFrame, models: DataFrame) -> DataFrame:
+    """(ticker, n_states, loglik, n_dates): log-likelihood of each series under each candidate's parameters.
+
+    ``models`` has (ticker, n_states, start, transition, means, sds). The scaled forward recursion is
+    a fold over the series, sorted by date (at most one row per date): the probabilities are
+    normalized at every step and the logarithms of the normalizers are summed, with the largest
+    exponent taken out first. Null returns are left out, so dates are counted per series.
+    """
+    rows = returns.where(F.col("r").isNotNull()).groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("date", F.col("r").cast("double").alias("r")))).alias("c")).join(models, "ticker")
+    state = F.sequence(F.lit(0), F.col("n_states") - 1)
+    half = 0.5 * math.log(2 * math.pi)
+
+    def step(acc, x):
+        def weigh(i):
+            z = (x["r"] - F.col("means")[i]) / F.col("sds")[i]
+            return F.ln(F.greatest(acc["p"][i], F.lit(1e-300))) - F.ln(F.col("sds")[i]) - half - 0.5 * z * z
+
+        def normalized(scores):
+            top = F.array_max(scores)
+            return _let(F.transform(scores, lambda v: F.exp(v - top)), lambda u: _let(F.aggregate(u, F.lit(0.0), lambda a, v: a + v), lambda total: F.struct(
+                F.transform(state, lambda j: F.aggregate(state, F.lit(0.0), lambda a, i: a + u[i] / total * F.col("transition")[i][j])).alias("p"),
+                (acc["ll"] + top + F.ln(total)).alias("ll"))))
+
+        return _let(F.transform(state, weigh), normalized)
+
+    folded = F.aggregate("c", F.struct(F.col("start").alias("p"), F.lit(0.0).alias("ll")), step)
+    return rows.select("ticker", "n_states", folded["ll"].alias("loglik"), F.size("c").cast("long").alias("n_dates"))
+
+
+def bucket_regimes(returns: DataFrame, counts: tuple[int, ...] = (2, 3, 4), least_sd: float = 0.25) -> DataFrame:
+    """Candidate parameters of each series (ticker, n_states, start, transition, means, sds) from equal buckets of its returns.
+
+    A state's mean and deviation are those of its bucket, the deviation at least ``least_sd`` of the
+    series'; transitions are the bucket's followers, one added to each count. A series without
+    spread, or with fewer rows than states, gets no candidate.
+    """
+    by = Window.partitionBy("ticker")
+    rows = returns.where(F.col("r").isNotNull()).select("ticker", "date", F.col("r").cast("double").alias("r"))
+    rows = rows.withColumn("_at", F.row_number().over(by.orderBy("r", "date")) - 1).withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_sd", F.stddev_pop("r").over(by))
+    rows = rows.where("_sd > 0").withColumn("n_states", F.explode(F.array(*[F.lit(k) for k in counts]))).where("_n >= n_states")
+    rows = rows.withColumn("s", F.floor(F.col("_at") * F.col("n_states") / F.col("_n")).cast("int"))
+    before = F.lag("s").over(Window.partitionBy("ticker", "n_states").orderBy("date"))
+    keys = ["ticker", "n_states"]
+    per = rows.groupBy(*keys, "s").agg(F.avg("r").alias("m"), F.greatest(F.stddev_pop("r"), least_sd * F.max("_sd")).alias("sd"))
+    states = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "m", "sd"))).alias("x"))
+    moves = rows.withColumn("b", before).where("b IS NOT NULL").groupBy(*keys, (F.col("b") * F.col("n_states") + F.col("s")).alias("move")).agg(F.count(F.lit(1)).alias("c"))
+    moves = moves.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("move", F.col("c").cast("double").alias("c")))).alias("moves"))
+    k = F.col("n_states")
+    state = F.sequence(F.lit(0), k - 1)
+
+    def count(i, j):
+        return F.coalesce(F.col("moves")[i * k + j], F.lit(0.0)) + 1.0
+
+    transition = F.transform(state, lambda i: _let(F.aggregate(state, F.lit(0.0), lambda a, j: a + count(i, j)), lambda total: F.transform(state, lambda j: count(i, j) / total)))
+    return states.join(moves, keys, "left").select(
+        *keys, F.transform(state, lambda i: 1.0 / k).alias("start"), transition.alias("transition"), F.col("x.m").alias("means"), F.col("x.sd").alias("sds"))
+
+
+def choose_state_count(fits: DataFrame, n_dates: int | None = None, n_assets: int = 1, criterion: str = "bic") -> DataFrame:
+    """Scores of (model, n_states, loglik) rows and the smallest per model.
+
+    Without ``n_dates`` the rows tell their own (n_dates).
+    """
     if criterion not in ("aic", "bic"):
         raise ConfigurationError("criterion must be aic or bic")
     s, d = F.col("n_states"), n_assets
     k = s * (s - 1) + s * d + s * (d * (d + 1) // 2)
-    score = -2 * F.col("loglik") + k * (2.0 if criterion == "aic" else math.log(n_dates))
+    log_t = F.ln("n_dates") if n_dates is None else F.lit(math.log(n_dates))
+    score = -2 * F.col("loglik") + k * (F.lit(2.0) if criterion == "aic" else log_t)
     rows = fits.withColumn("score", score)
     best = rows.groupBy("model").agg(F.min_by("n_states", F.struct("score", "n_states")).alias("best"))
     return rows.join(best, "model").select("model", "n_states", "score", (F.col("n_states") == F.col("best")).alias("chosen"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panels import long
 from panelwright.config import DriftRule
 from panelwright.errors import ConfigurationError, DataError
-from panelwright.operators import backtest, folds, moments, portfolios, rebalance, risk, views
+from panelwright.operators import backtest, folds, moments, portfolios, rebalance, risk, spectral, views
 
 
 def matrix(df, value="cov"):
@@ -57,14 +57,43 @@ def test_shrunk_means(factor_returns, method):
     assert np.allclose(vector(moments.shrunk_mean(df, method)), shrink(wide.to_numpy(), method), rtol=1e-7)
 
 
-def test_large_systems_iterate_on_the_pair_table(factor_returns, monkeypatch):
-    wide, _, df = factor_returns
-    cov = moments.covariance(df)
-    full = np.cov(wide.T)
-    monkeypatch.setattr(moments, "DENSE_SIDE", 2)
-    assert moments.largest_eigenvalue(cov.cache()) == pytest.approx(np.linalg.eigvalsh(full)[-1], rel=1e-6)
-    z = vector(moments.solve(cov, moments.mean(df), ["mu"], 1e-9))
-    assert np.allclose(z, np.linalg.solve(full, wide.mean()), rtol=1e-4)
+def spread_panel(spark, t, n, seed, top=()):
+    """Returns with given strong components and noise; more dates than a block of vectors holds."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 0.01, (t, n)) + sum((np.outer(rng.normal(0, s, t), rng.normal(0, 1, n)) for s in top), np.zeros((t, n)))
+    wide = pd.DataFrame(x, index=pd.bdate_range("2020-01-01", periods=t), columns=[f"B{i:03d}" for i in range(n)])
+    return wide, spark.createDataFrame(long(wide), "date date, ticker string, r double")
+
+
+@pytest.mark.parametrize("t, n", [(150, 90), (80, 200)])
+def test_leading_eigenpairs_of_the_panel(spark, t, n):
+    wide, df = spread_panel(spark, t, n, 3, (0.02, 0.01, 0.005))
+    values, vectors = np.linalg.eigh(np.cov(wide.T))
+    gram = spectral.PanelGram(df.unionByName(spark.createDataFrame([(pd.Timestamp("2030-01-01").date(), "B001", 0.5)], df.schema)))  # an incomplete date
+    assert (gram.t, gram.n) == (t, n) and gram.trace == pytest.approx(values.sum())
+    found = spectral.Spectrum(gram, 3, block=8)
+    assert np.allclose(found.values, values[:-4:-1], rtol=1e-9)
+    got = found.asset_vectors().toPandas().pivot(index="ticker", columns="k", values="value").to_numpy()
+    assert np.allclose(np.abs(got.T @ vectors[:, :-4:-1]), np.eye(3), atol=1e-7)
+    edge = float(np.sqrt(values[-3] * values[-4]))
+    assert np.allclose(spectral.Spectrum(gram, above=edge, block=8).values, values[:-4:-1], rtol=1e-9)
+    assert len(spectral.Spectrum(gram, above=values[-1] * 2, block=8).values) == 0
+    with pytest.raises(DataError, match="not found"):
+        spectral.Spectrum(gram, 60, block=4, max_passes=2)
+
+
+def test_systems_over_the_panel(spark):
+    wide, df = spread_panel(spark, 150, 60, 4, (0.01,))
+    inv, mu, one = np.linalg.inv(np.cov(wide.T)), wide.mean().to_numpy(), np.ones(60)
+    got = spectral.inverse_products(spectral.PanelGram(df))
+    assert spectral.inverse_products(spectral.PanelGram(df), block=4) == pytest.approx(got, rel=1e-8)
+    assert got == pytest.approx({"mm": mu @ inv @ mu, "m1": mu @ inv @ one, "one": one @ inv @ one}, rel=1e-8)
+    with pytest.raises(DataError, match="passes"):
+        spectral.inverse_products(spectral.PanelGram(df), block=4, max_passes=3)
+    with pytest.raises(DataError):
+        spectral.inverse_products(spectral.PanelGram(spread_panel(spark, 30, 60, 4)[1]), max_passes=200)
+    with pytest.raises(DataError, match="complete"):
+        spectral.PanelGram(df.where("date = '2020-01-01'"))
 
 
 def test_denoised_and_detoned(factor_returns):
@@ -121,6 +150,49 @@ def test_regime_filter_sums_to_one_and_ignores_the_future(spark, factor_returns)
     assert np.allclose(early, full.loc[early.index])
 
 
+def regimes_in_turn(spark, means, sds, t, seed):
+    """Each regime holds for twenty dates, so that all last equally long."""
+    rng = np.random.default_rng(seed)
+    turn = [(i // 20) % len(means) for i in range(t)]
+    rows = [(day.date(), "A", float(rng.normal(means[s], sds[s]))) for day, s in zip(pd.bdate_range("2000-01-03", periods=t), turn)]
+    return spark.createDataFrame(rows, "date date, ticker string, r double")
+
+
+def plain_loglik(r, start, transition, means, sds):
+    p, total = np.array(start), 0.0
+    for x in r:
+        u = p * np.exp(-0.5 * ((x - means) / sds) ** 2) / (sds * np.sqrt(2 * np.pi))
+        total += np.log(u.sum())
+        p = u / u.sum() @ transition
+    return total
+
+
+@pytest.mark.parametrize("means, sds, want", [((-0.03, 0.03), (0.004, 0.004), 2), ((-0.05, 0.0, 0.05), (0.004, 0.004, 0.004), 3)])
+def test_likelihoods_pick_the_number_of_regimes(spark, means, sds, want):
+    df = regimes_in_turn(spark, means, sds, 600, 5)
+    df = df.unionByName(df.orderBy("date").limit(360).select("date", F.lit("B").alias("ticker"), "r")).unionByName(
+        spark.createDataFrame([(pd.Timestamp("1999-01-01").date(), "B", None), (pd.Timestamp("1999-01-01").date(), "flat", 0.0)], df.schema))
+    models = moments.bucket_regimes(df)
+    fits = moments.forward_loglik(df, models)
+    given = {(m.ticker, m.n_states): m for m in models.collect()}
+    assert set(given) == {(t, k) for t in "AB" for k in (2, 3, 4)}
+    for row in fits.collect():
+        m = given[row.ticker, row.n_states]
+        r = df.where(f"ticker = '{row.ticker}' AND r IS NOT NULL").orderBy("date").toPandas()["r"].to_numpy()
+        assert row.n_dates == len(r) and np.allclose(np.sum(m.transition, axis=1), 1)
+        assert row.loglik == pytest.approx(plain_loglik(r, m.start, np.array(m.transition), np.array(m.means), np.array(m.sds)), rel=1e-10)
+    chosen = moments.choose_state_count(fits.withColumnRenamed("ticker", "model")).where("chosen")
+    assert {r["model"]: r["n_states"] for r in chosen.collect()} == {"A": want, "B": want}
+
+
+def test_likelihood_of_a_far_away_return(spark):
+    """A return that no state explains leaves the sum finite."""
+    df = spark.createDataFrame([(1, "A", 0.0), (2, "A", 1e6), (3, "A", 0.0)], "date int, ticker string, r double")
+    models = spark.createDataFrame([("A", 2, [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]], [0.0, 0.1], [0.01, 0.01])],
+                                   "ticker string, n_states int, start array<double>, transition array<array<double>>, means array<double>, sds array<double>")
+    assert math.isfinite(moments.forward_loglik(df, models).first()["loglik"])
+
+
 def test_blended_moments(spark):
     mu = spark.createDataFrame([(0, "a", 1.0), (1, "a", 3.0), (0, "b", 0.0), (1, "b", 2.0)], "state int, asset string, mu double")
     cov = spark.createDataFrame([(s, i, j, 1.0 + s) for s in (0, 1) for i in "ab" for j in "ab"], "state int, asset_i string, asset_j string, cov double")
