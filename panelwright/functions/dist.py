@@ -1,11 +1,13 @@
 """Ranks, quantiles and statistics of groups that may not fit in one task.
 
 A cross-section (all names of one date) grows with the data, so none of the
-helpers sorts a whole group in one task. A monotone function maps each value to
-one of a bounded number of bins; counts per bin (pre-aggregated before the
-shuffle) give the rank offset of every bin, and only the values inside a bin
-are sorted together. Results are exact. Rows are never joined back on a
-computed double: two evaluations of a sum may differ in the last digit.
+helpers sorts more than ``RANGE_ROWS`` rows of a group in one task. A larger group is
+split into ranges by a monotone function, and a range that is still larger between its
+own smallest and largest value, again and again, until each is small or holds a single
+value. Counts per range (pre-aggregated before the shuffle) give its rank offset, and
+only the values inside a range are sorted together. Results are exact. Rows are written
+before the first split, as every round must meet the same doubles: two evaluations of
+a sum may differ in the last digit.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelwright.session import cut
+
 # ln(|x|) of a double lies in [-745, 710]; with 64 bins per e-fold the bin
 # number has at most 2 * 93,120 values whatever the data are.
 _BINS_PER_EFOLD = 64
@@ -40,18 +44,56 @@ def by_calendar(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return F.broadcast(table) if keys and set(keys) <= _BOUNDED_KEYS else table
 
 
-def _bin_offsets(counts: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
-    """(keys, _bin, _cnt) -> adds _off = rows in lower bins and _n = rows of the group."""
-    part = Window.partitionBy(*keys)
-    before = part.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *keys,
-        "_bin",
-        "_cnt",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long")).alias("_off"),
-        F.sum("_cnt").over(part).alias("_n"),
-        *more,
-    )
+# Rows of a range that one task sorts, and the parts a larger range is split into.
+RANGE_ROWS = 100_000
+SPLIT = 1024
+# Doubles of one first range differ in 46 bits; each round but one in the denormal numbers takes ten of them.
+MOST_ROUNDS = 32
+
+
+def large_groups(rows: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a group has more rows than one task may sort; a count per group, whatever else the rows hold."""
+    return not rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > RANGE_ROWS).isEmpty()
+
+
+def in_ranges(rows: DataFrame, keys: Sequence[str], *order: Column) -> tuple[DataFrame, list[str], DataFrame]:
+    """Rows with the numbers of their range, the names of these columns, and the ranges.
+
+    Ranges follow the numbers ``order`` (no nulls), compared one after the other. The first split is
+    by ``value_bin``; a range above ``RANGE_ROWS`` is split evenly between the least and the largest
+    value of the first number that differs in it, which always takes these two apart. There are
+    as many rounds as the data ask for, mostly none. A range has _cnt, _flat (all numbers equal),
+    _off (rows of the group before it) and _n (rows of the group).
+    """
+    rows = cut(rows).select("*", value_bin(order[0]).alias("_b0"))
+    path = ["_b0"]
+    ends = [f(x).alias(f"_{n}{i}") for i, x in enumerate(order) for n, f in (("lo", F.min), ("hi", F.max))]
+    flat = F.lit(True)
+    for i in range(len(order)):
+        flat = flat & (F.col(f"_lo{i}") == F.col(f"_hi{i}"))
+    for left in reversed(range(MOST_ROUNDS)):
+        counts = rows.groupBy(*keys, *path).agg(F.count(F.lit(1)).alias("_cnt"), *ends).withColumn("_flat", flat)
+        large = counts.where((F.col("_cnt") > RANGE_ROWS) & ~F.col("_flat"))
+        if not left or large.isEmpty():
+            break
+        level, lo, hi = F.lit(None), F.lit(None), F.lit(None)
+        for i in reversed(range(len(order))):
+            differs = F.col(f"_lo{i}") < F.col(f"_hi{i}")
+            level = F.when(differs, i).otherwise(level)
+            lo, hi = F.when(differs, F.col(f"_lo{i}")).otherwise(lo), F.when(differs, F.col(f"_hi{i}")).otherwise(hi)
+        large = cut(large.select(*keys, *path, level.alias("_level"), lo.cast("double").alias("_lo"), hi.cast("double").alias("_hi")))
+        x = F.lit(None)
+        for i, o in enumerate(order):
+            x = F.when(F.col("_level") == i, o.cast("double")).otherwise(x)
+        part = F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SPLIT), F.lit(SPLIT - 1))
+        new = f"_b{len(path)}"
+        rows = rows.join(large, [*keys, *path], "left").withColumn(new, F.coalesce(part, F.lit(-1)).cast("int")).drop("_level", "_lo", "_hi")
+        path.append(new)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.select(
+        *keys, *path, "_cnt", "_flat", F.coalesce(F.sum("_cnt").over(before), F.lit(0).cast("long")).alias("_off"), F.sum("_cnt").over(group).alias("_n"))
+    return rows, path, ranges
 
 
 def with_average_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str], n_out: str | None = None) -> DataFrame:
@@ -61,31 +103,35 @@ def with_average_ranks(df: DataFrame, keys: Sequence[str], outs: dict[str, str],
     them are dropped. The offsets of all columns come from ``df`` itself, so ranking
     two columns does not rank one on top of the other.
 
-    A bin that holds one single value needs no sort: its rows are spread over salted
-    window partitions and take the middle of the bin, so a value shared by a third of
+    A range that holds one single value needs no sort: its rows are spread over salted
+    window partitions and take the middle of the range, so a value shared by a third of
     the rows does not end up in one task.
     """
     rows = df
     for value in outs:
         rows = rows.where(F.col(value).isNotNull())
+    if not large_groups(rows, keys):
+        group = Window.partitionBy(*keys)
+        ranks = {}
+        for value, out in outs.items():
+            inside = group.orderBy(F.col(value).cast("double"))
+            peers = inside.rangeBetween(Window.currentRow, Window.currentRow)
+            ranks[out] = F.rank().over(inside) - 1 + (F.count(F.lit(1)).over(peers) + 1) / 2.0
+        if n_out:
+            ranks[n_out] = F.count(F.lit(1)).over(group)
+        return rows.select(*[c for c in rows.columns if c not in ranks], *[x.alias(c) for c, x in ranks.items()])
     ranked = rows
     for value, out in outs.items():
-        x = F.col(value).cast("double")
-        counts = rows.groupBy(*keys, value_bin(x).alias("_bin")).agg(
-            F.count(F.lit(1)).alias("_cnt"), (F.min(x) == F.max(x)).alias("_flat")
-        )
-        offsets = _bin_offsets(counts, keys, "_flat")
+        have = ranked.columns
+        dealt, path, ranges = in_ranges(ranked, keys, F.col(value).cast("double"))
         salt = F.pmod(F.xxhash64(*rows.columns), F.lit(64))
-        # bin * 64 + salt: a window key of its own, so the partitions are cut anew after the join.
-        slot = F.col("_bin") * 64 + F.when(F.col("_flat"), salt).otherwise(0)
-        inside = Window.partitionBy(*keys, "_slot").orderBy(value)
+        # a window key of its own, so the partitions are cut anew after the join
+        inside = Window.partitionBy(*keys, *path, "_slot").orderBy(value)
         peers = inside.rangeBetween(Window.currentRow, Window.currentRow)
         local = F.rank().over(inside) - 1 + (F.count(F.lit(1)).over(peers) + 1) / 2.0
-        have = ranked.columns
         ranked = (
-            ranked.withColumn("_bin", value_bin(x))
-            .join(offsets, [*keys, "_bin"])
-            .withColumn("_slot", slot)
+            dealt.join(ranges, [*keys, *path])
+            .withColumn("_slot", F.when(F.col("_flat"), salt).otherwise(0))
             .withColumn("_local", local)
             .select(
                 *[c for c in have if c != n_out],
@@ -101,14 +147,10 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
     return with_average_ranks(df, keys, {value: out}, n_out)
 
 
-# Rows of one value above which its names are cut into ranges of their own.
-HOT_TIE = 100_000
-
-
-def _text_code(c: Column) -> Column:
-    """Order-preserving number (1 or more) of the first six bytes of a string."""
-    head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("long") + 1
+def _text_code(c: Column, first: int = 1) -> Column:
+    """Order-preserving number (1 or more) of six bytes of a string from ``first`` on; 0 for a null."""
+    head = F.hex(F.substring(F.encode(c, "UTF-8"), first, 6))
+    return F.coalesce(F.conv(F.rpad(head, 12, "0"), 16, 10).cast("long") + 1, F.lit(0).cast("long"))
 
 
 def with_row_number(
@@ -121,31 +163,22 @@ def with_row_number(
 ) -> DataFrame:
     """Ascending row number of non-null values, ties broken by the string ``tie``, and the group size.
 
-    Only rows of one bin meet in one sort. A bin that is one value held by very many
-    rows is ordered by ``tie`` alone, so it is cut again by the leading bytes of ``tie``.
+    Only rows of one range meet in one sort; rows of one value are dealt by the leading bytes of
+    ``tie``, so that a value many rows share is split too.
     """
     x = F.col(value).cast("double")
-    rows = df.where(x.isNotNull()).withColumn("_bin", value_bin(x))
-    counts = rows.groupBy(*keys, "_bin").agg(
-        F.count(F.lit(1)).alias("_cnt"), (F.min(x) == F.max(x)).alias("_flat")
-    )
-    offsets = _bin_offsets(counts, keys, "_flat")
-    hot = F.col("_flat") & (F.col("_cnt") > HOT_TIE)
-    rows = rows.join(offsets, [*keys, "_bin"]).withColumn("_part", F.when(hot, _text_code(F.col(tie))).otherwise(0))
-    before = Window.partitionBy(*keys, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    inner = (
-        rows.where("_part > 0").groupBy(*keys, "_bin", "_part").agg(F.count(F.lit(1)).alias("_c"))
-        .select(*keys, "_bin", "_part", F.sum("_c").over(before).alias("_skip"))
-    )
-    inside = Window.partitionBy(*keys, "_bin", "_part").orderBy(value, tie)
+    known = df.where(x.isNotNull())
+    if not large_groups(known, keys):
+        group = Window.partitionBy(*keys)
+        return known.select(
+            *df.columns, F.row_number().over(group.orderBy(x, tie)).cast("long").alias(out), F.count(F.lit(1)).over(group).alias(n_out))
+    codes = [_text_code(F.col(tie), at) for at in (1, 7, 13, 19)]
+    rows, path, ranges = in_ranges(known, keys, x, *codes)
+    inside = Window.partitionBy(*keys, *path).orderBy(value, tie)
     return (
-        rows.join(inner, [*keys, "_bin", "_part"], "left")
+        rows.join(ranges, [*keys, *path])
         .withColumn("_in", F.row_number().over(inside))
-        .select(
-            *df.columns,
-            (F.col("_off") + F.coalesce("_skip", F.lit(0)) + F.col("_in")).cast("long").alias(out),
-            F.col("_n").alias(n_out),
-        )
+        .select(*df.columns, (F.col("_off") + F.col("_in")).cast("long").alias(out), F.col("_n").alias(n_out))
     )
 
 
@@ -154,16 +187,10 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Bins that hold none of the wanted order statistics are dropped before any
+    Ranges that hold none of the wanted order statistics are dropped before any
     value is shuffled, so the second pass moves a small part of the rows.
     """
-    rows = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v"), value_bin(F.col(value).cast("double")).alias("_bin")
-    )
-    offsets = _bin_offsets(
-        rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_cnt")), keys
-    )
-
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     def at(p: float) -> Column:
         # Snapped, so that 0.6 * 95 is position 57 and not a hair beside it.
         return F.round(F.lit(float(p)) * (F.col("_n") - 1), 9)
@@ -174,22 +201,25 @@ def group_quantiles(
     def high(p: float) -> Column:
         return F.ceil(at(p))
 
-    wanted = F.lit(False)
-    for p in probs.values():
-        for pos in (low(p), high(p)):
-            wanted = wanted | ((F.col("_off") <= pos) & (pos < F.col("_off") + F.col("_cnt")))
-    hit = offsets.where(wanted)
-    inside = (
-        Window.partitionBy(*keys, "_bin")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = (
-        rows.join(by_calendar(hit.select(*keys, "_bin", "_off", "_n"), keys), [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_off", "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    )
+    if not large_groups(known, keys):
+        group = Window.partitionBy(*keys)
+        below = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).select(
+            *keys, "_v", F.sum("_c").over(group).alias("_n"), F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_less"))
+    else:
+        rows, path, offsets = in_ranges(known, keys, F.col("_v"))
+        wanted = F.lit(False)
+        for p in probs.values():
+            for pos in (low(p), high(p)):
+                wanted = wanted | ((F.col("_off") <= pos) & (pos < F.col("_off") + F.col("_cnt")))
+        hit = offsets.where(wanted).select(*keys, *path, "_off", "_n")
+        inside = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = (
+            rows.join(by_calendar(hit, keys), [*keys, *path])
+            .groupBy(*keys, *path, "_off", "_n", "_v")
+            .agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+        )
     picks: list[Column] = [F.max("_n").alias("_n")]
     for name, p in probs.items():
         picks.append(F.max(F.when(F.col("_less") <= low(p), F.col("_v"))).alias(f"_lo_{name}"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright.config import CleaningConfig
 from panelwright.errors import DataError
 from panelwright.functions.columns import clip
-from panelwright.functions.dist import attach_one, by_calendar, value_bin
+from panelwright.functions.dist import attach_one, by_calendar, in_ranges
 from panelwright.functions.pairs import mirrored, pair_sums, with_moments
 from panelwright.session import cut
 from panelwright.sources.panel import date_axis, dense, with_axis
@@ -221,13 +221,14 @@ def pareto_front(points: DataFrame) -> DataFrame:
 
     Sorted by (sd, mean descending) a row survives when its mean is a new maximum;
     exact duplicates of a survivor survive too. The running maximum goes across
-    bins of sd first and inside a bin next, so no task sorts all assets.
+    ranges of sd first and inside a range next, so no task sorts all assets.
     """
-    rows = points.withColumn("_bin", value_bin(F.col("sd")))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy("_bin").agg(F.max("mean").alias("top")).select("_bin", F.max("top").over(before).alias("lower"))
+    known = points.where(F.col("mean").isNotNull() & F.col("sd").isNotNull())
+    rows, path, _ = in_ranges(known, [], F.col("sd"), -F.col("mean"))
+    before = Window.orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*path).agg(F.max("mean").alias("top")).select(*path, F.max("top").over(before).alias("lower"))
     inside = (
-        Window.partitionBy("_bin").orderBy("sd", F.col("mean").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*path).orderBy("sd", F.col("mean").desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
     prev = F.max(F.struct(F.col("mean").alias("m"), (-F.col("sd")).alias("s"))).over(inside)
     here = F.col("prev").isNull() | (F.col("mean") > F.col("prev.m")) | (
@@ -235,7 +236,7 @@ def pareto_front(points: DataFrame) -> DataFrame:
     )
     return (
         rows.withColumn("prev", prev)
-        .join(bins, "_bin")
+        .join(bins, path)
         .where(here & (F.col("lower").isNull() | (F.col("mean") > F.col("lower"))))
         .select("ticker", "mean", "sd")
     )

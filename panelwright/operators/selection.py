@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelwright.config import SelectionConfig
 from panelwright.functions.dist import attach_one, by_calendar, group_quantiles, top_k, with_row_number
 from panelwright.operators.universe import flag_members
+from panelwright.session import cut
 from panelwright.sources.panel import with_axis
 
 
@@ -68,12 +69,12 @@ def sector_balance(selected: DataFrame, scores: DataFrame, sectors: DataFrame, t
     named = universe.where(F.col("sector").isNotNull())
     shares = named.groupBy("sector").agg(F.count(F.lit(1)).alias("_c"))
     shares = attach_one(shares, shares.agg(F.sum("_c").alias("_all"))).select("sector", (F.col("_c") / F.col("_all")).alias("share"))
-    rows = (
-        sectors.join(scores.select("ticker", "score"), "ticker", "left")
-        .join(selected.select("ticker").distinct().withColumn("_sel", F.lit(True)), "ticker", "left")
-        .withColumn("_sel", F.coalesce("_sel", F.lit(False)))
+    picked = selected.select("ticker").distinct().withColumn("_sel", F.lit(True))
+    rows = cut(
+        sectors.join(picked, "ticker", "full").join(scores.select("ticker", "score"), "ticker", "left")
+        .select("ticker", "sector", F.coalesce("_sel", F.lit(False)).alias("_sel"), F.when(F.col("_sel"), F.col("score")).otherwise(-F.col("score")).alias("_order"))
     )
-    size = selected.select("ticker").distinct().agg(F.count(F.lit(1)).alias("_size"))
+    size = rows.where("_sel").agg(F.count_distinct("ticker").alias("_size"))
     have = rows.where("_sel").groupBy("sector").agg(F.count(F.lit(1)).alias("_have"))
     bounds = attach_one(shares.join(have, "sector", "left"), size).select(
         "sector",
@@ -81,20 +82,11 @@ def sector_balance(selected: DataFrame, scores: DataFrame, sectors: DataFrame, t
         F.greatest(F.lit(0.0), F.bround((F.col("share") - tolerance) * F.col("_size"), 0)).cast("long").alias("_min"),
         F.bround((F.col("share") + tolerance) * F.col("_size"), 0).cast("long").alias("_max"),
     )
-    open_rows = rows.where(~F.col("_sel")).withColumn("_order", -F.col("score"))
-    held = rows.where("_sel").withColumn("_order", F.col("score"))
-    add = (
-        with_row_number(open_rows, ["sector"], "_order", "ticker", "_rn", "_n")
-        .join(bounds, "sector")
-        .where((F.col("_have") < F.col("_min")) & (F.col("_rn") <= F.col("_min") - F.col("_have")))
-    )
-    drop = (
-        with_row_number(held, ["sector"], "_order", "ticker", "_rn", "_n")
-        .join(bounds, "sector")
-        .where((F.col("_have") > F.col("_max")) & (F.col("_rn") <= F.col("_have") - F.col("_max")))
-    )
-    kept = selected.select("ticker").distinct().join(drop.select("ticker"), "ticker", "left_anti")
-    return kept.unionByName(add.select("ticker"))
+    # the best of the others and the worst of the selected come first
+    moved = with_row_number(rows, ["sector", "_sel"], "_order", "ticker", "_rn", "_n").join(bounds, "sector").where(
+        F.col("_rn") <= F.when(F.col("_sel"), F.col("_have") - F.col("_max")).otherwise(F.col("_min") - F.col("_have")))
+    kept = rows.where("_sel").select("ticker").distinct().join(moved.where("_sel").select("ticker"), "ticker", "left_anti")
+    return kept.unionByName(moved.where("NOT _sel").select("ticker"))
 
 
 def turnover(current: DataFrame, new: DataFrame, universe: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ def test_average_rank(skewed):
     assert (got.loc[want.index, "n"] == want.groupby("g")["x"].transform("size")).all()
 
 
-@pytest.mark.parametrize("hot", [100_000, 50])
-def test_row_number(skewed, monkeypatch, hot):
-    monkeypatch.setattr(dist, "HOT_TIE", hot)
+@pytest.mark.parametrize("rows", [100_000, 50])
+def test_row_number(skewed, monkeypatch, rows):
+    monkeypatch.setattr(dist, "RANGE_ROWS", rows)
     frame, df = skewed
     got = dist.with_row_number(df, ["g"], "x", "name", "rn", "n").toPandas()
     for _, part in got.groupby("g"):
@@ -74,6 +74,51 @@ def test_text_code_keeps_the_order(spark):
     assert codes == sorted(codes) and codes[0] >= 1
 
 
+@pytest.fixture
+def clustered(spark, monkeypatch):
+    """Distinct values inside a billionth of each other, a value that many share, and clusters within clusters."""
+    monkeypatch.setattr(dist, "RANGE_ROWS", 60)
+    monkeypatch.setattr(dist, "SPLIT", 8)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([1 + 1e-9 * rng.random(900), 1 + 1e-9 * 2.0 ** -rng.integers(1, 20, 900), np.full(700, 1 + 5e-10), [np.nextafter(1, 2), 1.0], -rng.random(200), [0.0, 5e-324, 1e300]])
+    frame = pd.DataFrame({"g": np.where(rng.random(len(x)) < 0.9, "a", "b"), "name": [f"a common beginning {i:05d}" for i in rng.permutation(len(x))], "x": x})
+    return frame, spark.createDataFrame(frame, "g string, name string, x double").repartition(5)
+
+
+def test_ranges_are_small_or_of_one_value(clustered):
+    frame, df = clustered
+    rows, path, ranges = dist.in_ranges(df, ["g"], F.col("x"))
+    found = ranges.collect()
+    assert len(path) > 3 and all(r["_cnt"] <= 60 or r["_flat"] for r in found) and sum(r["_cnt"] for r in found) == len(frame)
+    assert rows.join(ranges, ["g", *path]).count() == len(frame)
+    # shared values are dealt on by the text, whose first eighteen bytes are the same
+    named = dist.in_ranges(df, ["g"], F.col("x"), *[dist._text_code(F.col("name"), at) for at in (1, 7, 13, 19)])[2]
+    assert named.agg(F.max("_cnt")).first()[0] <= 60
+
+
+def test_ranks_of_clustered_values(clustered):
+    frame, df = clustered
+    by = frame.set_index("name")
+    ranks = dist.with_average_rank(df, ["g"], "x", "rk", "n").toPandas().set_index("name")
+    assert np.array_equal(ranks.loc[by.index, "rk"], by.groupby("g")["x"].rank(method="average"))
+    order = frame.sort_values(["g", "x", "name"])
+    numbers = dist.with_row_number(df, ["g"], "x", "name", "rn", "n").toPandas().set_index("name")
+    assert np.array_equal(numbers.loc[order["name"], "rn"], order.groupby("g").cumcount() + 1)
+    got = dist.group_quantiles(df, ["g"], "x", {"a": 0.1, "b": 0.37, "c": 0.9}).toPandas().set_index("g")
+    for g, part in frame.groupby("g"):
+        assert np.allclose(got.loc[g, ["a", "b", "c"]].to_numpy(float), np.quantile(part["x"], [0.1, 0.37, 0.9]), rtol=1e-15)
+
+
+def test_pareto_front_of_clustered_points(spark, clustered):
+    from panelwright.operators.clean import pareto_front
+
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"ticker": [f"p{i}" for i in range(600)], "mean": rng.integers(0, 40, 600) / 8, "sd": np.where(rng.random(600) < 0.5, 0.25, 0.25 + 1e-12 * rng.integers(1, 99, 600))})
+    beaten = [((frame["mean"] >= r.mean_) & (frame["sd"] <= r.sd) & ((frame["mean"] > r.mean_) | (frame["sd"] < r.sd))).any() for r in frame.rename(columns={"mean": "mean_"}).itertuples()]
+    got = {r["ticker"] for r in pareto_front(spark.createDataFrame(frame)).collect()}
+    assert got == set(frame["ticker"][~np.array(beaten)])
+
+
 def test_group_quantiles(skewed):
     frame, df = skewed
     probs = {"q0": 0.0, "q01": 0.01, "q25": 0.25, "q50": 0.5, "q99": 0.99, "q100": 1.0}
