@@ -9,10 +9,11 @@ cells are handled by multiplying the presence masks the same way.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.functions.dist import attach_one
@@ -165,3 +166,61 @@ def mirrored(pairs: DataFrame) -> DataFrame:
         )
     )
     return pairs.select(F.explode(both).alias("_p"), *rest).select("_p.asset_i", "_p.asset_j", *rest)
+
+
+def _numbered(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row among the distinct combinations of the columns, and where each first stands."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        coded = c.dictionary_encode(null_encoding="encode")
+        codes = codes * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+    _, first, number = np.unique(codes, return_index=True, return_inverse=True)
+    return number, first
+
+
+def rectangular(left: DataFrame, right: DataFrame, keys: Sequence[str], inner: str, col: str, out: str) -> DataFrame:
+    """(keys, col, out): sums of a * b over ``inner``, for ``left`` (keys, inner, a) and ``right`` (inner, col, b).
+
+    Both sides are cut into blocks of about ``BLOCK`` distinct keys and inner values and ``CHUNK``
+    columns, by hash. A task multiplies two blocks as matrices and emits a row per key and column
+    that meet, so a row per key, inner value and column never exists; partial sums over the
+    inner blocks are then added. Absent cells count as zero, nulls are absent.
+    """
+    left = left.where(F.col("a").isNotNull()).select(*keys, inner, F.col("a").cast("double").alias("a"))
+    right = right.where(F.col("b").isNotNull()).select(inner, col, F.col("b").cast("double").alias("b"))
+    sizes = attach_one(
+        left.agg(F.ceil(F.approx_count_distinct(F.struct(*keys)) / BLOCK).cast("int").alias("_nk")),
+        right.agg(F.ceil(F.approx_count_distinct(inner) / BLOCK).cast("int").alias("_ni"), F.ceil(F.approx_count_distinct(col) / CHUNK).cast("int").alias("_nc")),
+    )
+
+    def number(names: Sequence[str], n: str):
+        return F.pmod(F.xxhash64(*names), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+    rows = attach_one(left, sizes).withColumn("_i", number([inner], "_ni")).withColumn("_k", number(keys, "_nk"))
+    rows = rows.groupBy("_i", "_k").agg(F.collect_list(F.struct(*keys, inner, "a")).alias("l"), F.max("_nc").alias("_nc"))
+    rows = rows.select("_i", "_k", F.explode(F.sequence(F.lit(0), F.greatest("_nc", F.lit(1)) - 1)).alias("_c"), "l")
+    cells = attach_one(right, sizes).withColumn("_i", number([inner], "_ni")).withColumn("_c", number([col], "_nc"))
+    cells = cells.groupBy("_i", "_c").agg(F.collect_list(F.struct(inner, col, "b")).alias("r"), F.max("_nk").alias("_nk"))
+    cells = cells.select("_i", "_c", F.explode(F.sequence(F.lit(0), F.greatest("_nk", F.lit(1)) - 1)).alias("_k"), "r")
+    schema = left.select(*keys).schema
+    schema = schema.add(right.schema[col]).add("v", "double")
+    names = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                l, r = (batch.column(c).slice(n, 1).flatten() for c in ("l", "r"))
+                at, _ = _numbered([pa.concat_arrays([l.field(inner), r.field(inner)])])
+                who, first = _numbered([l.field(k) for k in names])
+                when, day = _numbered([r.field(col)])
+                a, b = (np.zeros((len(first), at.max() + 1)) for _ in range(2))
+                x, y = (np.zeros((at.max() + 1, len(day))) for _ in range(2))
+                np.add.at(a, (who, at[: len(l)]), l.field("a").to_numpy(zero_copy_only=False))
+                np.add.at(x, (at[len(l):], when), r.field("b").to_numpy(zero_copy_only=False))
+                b[who, at[: len(l)]], y[at[len(l):], when] = 1.0, 1.0
+                i, j = np.nonzero(b @ y)
+                columns = [l.field(k).take(pa.array(first[i])) for k in names]
+                yield pa.RecordBatch.from_arrays([*columns, r.field(col).take(pa.array(day[j])), pa.array((a @ x)[i, j])], names=[*names, col, "v"])
+
+    parts = rows.join(cells, ["_i", "_k", "_c"]).select("l", "r").mapInArrow(run, schema)
+    return parts.groupBy(*keys, col).agg(F.sum("v").alias(out))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.errors import ConfigurationError
 from panelwright.functions.dist import attach_one
+from panelwright.functions.pairs import rectangular
 from panelwright.operators.moments import last_probabilities
+from panelwright.session import cut
 
 # Exponents over which the entropic measures are minimized.
 Z_GRID = [round(0.1 * 1.5**k, 6) for k in range(21)]
@@ -25,13 +27,9 @@ MEASURES = (
 
 
 def portfolio_returns(returns: DataFrame, weights: DataFrame, keys: Sequence[str] = ("portfolio",)) -> DataFrame:
-    """sum(w * r) per portfolio and date; partial sums are formed before the shuffle."""
-    return (
-        returns.where(F.col("r").isNotNull())
-        .join(weights.select(*keys, F.col("asset").alias("ticker"), "w"), "ticker")
-        .groupBy(*keys, "date")
-        .agg(F.sum(F.col("w") * F.col("r")).alias("r"))
-    )
+    """sum(w * r) per portfolio and date, as a blocked product; no row per asset, date and portfolio."""
+    left = weights.select(*keys, F.col("asset").alias("ticker"), F.col("w").alias("a"))
+    return rectangular(left, returns.select("ticker", "date", F.col("r").alias("b")), keys, "ticker", "date", "r")
 
 
 def _entropic(loss: Column, beta: float) -> Column:
@@ -189,11 +187,10 @@ def dominant_state(probs: DataFrame) -> DataFrame:
 def risk_contributions(cov: DataFrame, weights: DataFrame, budgets: DataFrame | None = None) -> DataFrame:
     """Per portfolio and asset: share of risk, gap to the budget (equal if none), diversification ratio."""
     wi = weights.select("portfolio", F.col("asset").alias("asset_i"), F.col("w").alias("wi"))
-    wj = weights.select("portfolio", F.col("asset").alias("asset_j"), F.col("w").alias("wj"))
-    rows = cov.join(wj, "asset_j").groupBy("portfolio", "asset_i").agg(
-        F.sum(F.col("cov") * F.col("wj")).alias("cw"),
-        F.max(F.when(F.col("asset_i") == F.col("asset_j"), F.col("cov"))).alias("var"),
-    )
+    cov = cut(cov.select("asset_i", "asset_j", "cov"))  # read for the product, its sizes and the diagonal
+    own = cov.where("asset_i = asset_j").select("asset_i", F.col("cov").alias("var"))
+    left = weights.select("portfolio", F.col("asset").alias("asset_j"), F.col("w").alias("a"))
+    rows = rectangular(left, cov.select("asset_j", "asset_i", F.col("cov").alias("b")), ["portfolio"], "asset_j", "asset_i", "cw").join(own, "asset_i")
     rows = rows.join(wi, ["portfolio", "asset_i"])
     total = rows.groupBy("portfolio").agg(
         F.sum(F.col("wi") * F.col("cw")).alias("pv"), F.sum(F.col("wi") * F.sqrt("var")).alias("ws"), F.count(F.lit(1)).alias("k")

@@ -1,6 +1,7 @@
 """Distribution functions, distributed ranks and pair sums against numpy and pandas."""
 
 import math
+import re
 from statistics import NormalDist
 
 import numpy as np
@@ -150,3 +151,22 @@ def test_pair_moments_over_blocks_and_gaps(spark, wide_returns, monkeypatch):
 def test_mirrored_keeps_diagonal_once(spark):
     df = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 2.0)], "asset_i string, asset_j string, v double")
     assert sorted(map(tuple, pairs.mirrored(df).collect())) == [("a", "a", 1.0), ("a", "b", 2.0), ("b", "a", 2.0)]
+
+
+def test_rectangular_product_over_blocks_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    monkeypatch.setattr(pairs, "CHUNK", 7)
+    rng = np.random.default_rng(6)
+    w = pd.DataFrame({"fold": rng.integers(0, 3, 300), "name": rng.choice(["p", "q", "r", "s"], 300), "ticker": rng.choice([f"t{i}" for i in range(20)], 300), "a": rng.normal(size=300)})
+    w = w.drop_duplicates(["fold", "name", "ticker"])
+    x = pd.DataFrame([(f"t{i}", d, rng.normal()) for i in range(2, 25) for d in range(30) if rng.random() < 0.3], columns=["ticker", "day", "b"])
+    df, dx = spark.createDataFrame(w), spark.createDataFrame(x)
+    df = df.unionByName(spark.createDataFrame([(0, "lonely", "none", 1.0), (1, "p", None, 1.0), (2, "q", "t3x", None)], df.schema))
+    dx = dx.unionByName(spark.createDataFrame([("t5", 99, None)], dx.schema))
+    product = pairs.rectangular(df, dx, ["fold", "name"], "ticker", "day", "r")
+    want = w.merge(x, on="ticker").assign(r=lambda f: f["a"] * f["b"]).groupby(["fold", "name", "day"])["r"].sum()
+    got = product.toPandas().set_index(["fold", "name", "day"])["r"]
+    assert len(got) == len(want) and np.allclose(got.loc[want.index], want, atol=1e-12)
+    plan = product._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"_i#\d+ = _i#\d+", plan) and not re.search(r"ticker#\d+ = ticker#\d+", plan)  # sides meet block by block only
+    assert pairs.rectangular(df.limit(0), dx, ["fold", "name"], "ticker", "day", "r").count() == 0
