@@ -128,7 +128,7 @@ def j2_weights(t):
 BEST = "(SELECT portfolio FROM {} ORDER BY round({}, 12) DESC, portfolio LIMIT 1)"
 part("pari", "SELECT portfolio, -sum((w * cw / pv - 1.0 / k) * (w * cw / pv - 1.0 / k)) AS parity, max(ws / sqrt(pv)) AS div FROM rc GROUP BY 1", "rc")
 part("tailp", "SELECT portfolio, date FROM pd WHERE rn <= worst", "pd")
-part("cvp", """SELECT portfolio, -sum((c / t - 0.04) * (c / t - 0.04)) AS parity FROM (SELECT portfolio, c, sum(c) OVER (PARTITION BY portfolio) AS t FROM (SELECT portfolio, asset, sum(w * r) AS c FROM tailp JOIN bret USING (date)
+part("cvp", """SELECT portfolio, -sum((c / t - 1.0 / n) * (c / t - 1.0 / n)) AS parity FROM (SELECT portfolio, c, sum(c) OVER (PARTITION BY portfolio) AS t, count(*) OVER (PARTITION BY portfolio) AS n FROM (SELECT portfolio, asset, sum(w * r) AS c FROM tailp JOIN bret USING (date)
   JOIN cw ON cw.asset = bret.ticker AND cw.portfolio = tailp.portfolio GROUP BY tailp.portfolio, cw.portfolio, asset)) GROUP BY 1""".replace("SELECT portfolio, asset, sum", "SELECT tailp.portfolio, asset, sum"), "tailp", "bret", "cw")
 part("inn2", "SELECT substr(ticker, 1, 7) AS cluster, ticker AS asset, 1 / v / sum(1 / v) OVER (PARTITION BY substr(ticker, 1, 7)) AS w FROM (SELECT ticker, var_samp(r) AS v FROM bret GROUP BY 1)", "bret")
 part("out2", "SELECT cluster, 1 / v / sum(1 / v) OVER () AS v FROM (SELECT cluster, var_samp(r) AS v FROM (SELECT cluster, date, sum(w * r) AS r FROM inn2 JOIN bret ON ticker = asset GROUP BY 1, 2) GROUP BY 1)", "inn2", "bret")

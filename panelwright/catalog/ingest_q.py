@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.catalog.base import part, query, rd, sql
+from panelwright.catalog.base import SQL, part, query, rd, sql
 from panelwright.catalog.sources_q import day
 from panelwright.functions.columns import rounded
 from panelwright.session import fresh_path
@@ -36,12 +36,15 @@ def s9_table(t):
     return rounded(t.spark.read.parquet(path).select("instrument_id", day("month"), "value", "ingest_ts", "created_at"))
 
 
-@query("s10_statement_to_rows", sql(f"SELECT ticker, line_item, CAST(period_date AS VARCHAR) AS period_date, {rd('value', 2)} AS value FROM stm WHERE period_type = 'annual' AND period_date IN (DATE '1998-12-31', DATE '1999-12-31')", "stm"))
+@query("s10_statement_to_rows", sql(f"SELECT ticker, line_item, CAST(period_date AS VARCHAR) AS period_date, {rd('value', 2)} AS value FROM stm WHERE period_type = 'annual' AND value IS NOT NULL", "stm"))
 def s10(t):
-    s = t.statements.where("period_type = 'annual'").groupBy("ticker", "line_item")
-    at = lambda d: F.max(F.when(F.col("period_date") == F.lit(d).cast("date"), F.col("value")))
-    wide = s.agg(at("1998-12-31").alias("1998-12-31"), at("1999-12-31").alias("1999-12-31 00:00:00"), at("2000-12-31").alias("note"))
-    return rounded(I.statement_to_rows(wide, ["1998-12-31", "1999-12-31 00:00:00", "note"], ["ticker"]).select("ticker", "line_item", day("period_date"), "value"), 2)
+    s = t.statements.where("period_type = 'annual'").withColumn("p", F.date_format("period_date", "yyyy-MM-dd"))
+    periods = sorted(r["p"] for r in s.select("p").distinct().collect())  # bounded by the calendar
+    wide = s.groupBy("ticker", "line_item").pivot("p", periods).agg(F.max("value"))
+    # as providers name them: plain days, days with a time, and a column that is no period
+    named = {p: p if i % 2 else f"{p} 00:00:00" for i, p in enumerate(periods)}
+    wide = wide.withColumnsRenamed(named).withColumn("note", F.lit(1.0))
+    return rounded(I.statement_to_rows(wide, [*named.values(), "note"], ["ticker"]).select("ticker", "line_item", day("period_date"), "value"), 2)
 
 
 @query("s11_value_cleaning", sql(f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE value END AS f, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE CAST(trunc(value) AS BIGINT) END AS i,
@@ -125,6 +128,39 @@ def s17(t):
     return I.news_feed(articles(t), "2024-03-31 00:00:00").withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm:ss"))
 
 
+RAW_FEED = SQL["s17_news_feed"].replace(" FROM art WHERE ", " FROM art WHERE article_id % 5 <> 3 AND ")
+
+
+@query("s17_raw_news_feed", RAW_FEED)
+def s17_raw(t):
+    p = F.col("published")
+    at = lambda f: F.date_format(p, f)
+    raw = (
+        F.when(F.col("article_id") % 5 == 0, F.unix_timestamp(p).cast("string")).when(F.col("article_id") % 5 == 1, at("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(F.col("article_id") % 5 == 2, F.concat(at("yyyy-MM-dd HH:mm:ss.SSS"), F.lit("+02:00"))).when(F.col("article_id") % 5 == 3, "N/A").otherwise(at("yyyy-MM-dd'T'HH:mm"))
+    )
+    return I.news_feed(articles(t).withColumn("published", raw), "2024-03-31 00:00:00").withColumn("published", F.date_format("published", "yyyy-MM-dd HH:mm:ss"))
+
+
+# Dates of macro rows as different providers write them.
+part("rawd", """SELECT o_orderkey, k, CASE k WHEN 0 THEN strftime(d, '%b %Y') WHEN 1 THEN strftime(d, '%m/ ') || substr(strftime(d, '%Y'), 3) WHEN 2 THEN strftime(d, '%B') || '/' || day(d) WHEN 3 THEN ' ' || strftime(d, '%Y-%m-%d') || ' '
+  WHEN 4 THEN month(d) || '/' || day(d) || '/' || year(d) WHEN 5 THEN day(d) || '/' || month(d) || '/' || year(d) WHEN 6 THEN strftime(d, '%Y%m%d') WHEN 7 THEN upper(strftime(d, '%B')) || '  ' || year(d) WHEN 8 THEN '31/02/' || year(d) WHEN 9 THEN 'soon' END AS raw, d
+  FROM (SELECT o_orderkey, o_orderkey % 11 AS k, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+
+
+@query("s7_reference_dates", sql("""SELECT o_orderkey, raw, strftime(CASE WHEN k IN (0, 7) THEN date_trunc('month', d) WHEN k = 1 THEN make_date(2000 + year(d) % 100, month(d), 1) WHEN k = 2 THEN try_cast(printf('1999-%02d-%02d', month(d), day(d)) AS DATE)
+  WHEN k IN (3, 4, 6) THEN d WHEN k = 5 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END END, '%Y-%m-%d') AS date FROM rawd""", "rawd"))
+def s7_dates(t):
+    d, k = F.col("d"), F.col("k")
+    at = lambda f: F.date_format(d, f)
+    forms = [at("MMM yyyy"), at("MM/ yy"), at("MMMM/d"), at(" yyyy-MM-dd "), at("M/d/yyyy"), at("d/M/yyyy"), at("yyyyMMdd"), F.upper(at("MMMM  yyyy")), at("'31/02/'yyyy"), F.lit("soon")]
+    raw = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        raw = F.when(k == i, f).otherwise(raw)
+    rows = t.raw("orders").select("o_orderkey", (F.col("o_orderkey") % 11).alias("k"), F.to_date("o_orderdate").alias("d")).withColumn("raw", raw)
+    return rows.select("o_orderkey", "raw", F.date_format(I.reference_date(F.col("raw"), 1999), "yyyy-MM-dd").alias("date"))
+
+
 def plain_sql(x):
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
@@ -158,10 +194,10 @@ def s18_number(t):
     return t.raw("documents").select("doc_id", I.first_number(F.col("text")).alias("value"))
 
 
-@query("s19_weights_sink", sql(f"SELECT as_of, asset, {rd('w')} AS w FROM (SELECT CAST(date AS VARCHAR) AS as_of, ticker AS asset, volume / sum(volume) OVER (PARTITION BY date) AS w FROM px WHERE date >= DATE '2001-01-01')", "px"))
+@query("s19_weights_sink", sql(f"SELECT as_of, asset, {rd('w')} AS w FROM (SELECT CAST(date AS VARCHAR) AS as_of, ticker AS asset, volume / sum(volume) OVER (PARTITION BY date) AS w FROM px)", "px"))
 def s19(t):
     total = t.panel.groupBy("date").agg(F.sum("volume").alias("v"))
-    w = t.panel.where("date >= date'2001-01-01'").join(total, "date").select(
+    w = t.panel.join(total, "date").select(
         F.date_format("date", "yyyy-MM-dd").alias("as_of"), F.col("ticker").alias("asset"), (F.col("volume") / F.col("v")).alias("w"))
     path = fresh_path(t.spark, "weights")
     I.write_weights(w, path)

@@ -8,6 +8,7 @@ from panelwright.catalog.sources_q import day
 from panelwright.catalog.universe_q import members
 from panelwright.config import CORE_GROUPS, FACTOR_GROUPS, GROUPS, REGIME_TILTS, SPREAD_BANDS, CompositeConfig, SelectionConfig
 from panelwright.functions.columns import rounded
+from panelwright.functions.dist import attach_one
 from panelwright.operators import alpha as A, composite as C, folds as O, mimicking as M, regime as R, research as V, selection as L, standardize as Z
 from panelwright.session import cut
 
@@ -203,15 +204,17 @@ def c4(t):
 
 
 def training_table(t):
-    """Standardized monthly scores with the forward return, before 2001."""
+    """Standardized monthly scores with the forward return."""
     z = cut(Z.standardize(t.score_history, KEY))
     wide = z.groupBy("date", "ticker").pivot("factor", FOUR).agg(F.first("x"))
     return wide.join(t.forward_returns, ["date", "ticker"])
 
 
 def train_test(t):
+    """All dates before the last one, and the last one, which is scored."""
     rows = cut(training_table(t))
-    return rows.where("date < date'2001-01-01'"), rows.where("date = date'2001-06-01'")
+    dated = attach_one(rows, rows.agg(F.max("date").alias("_last")))
+    return dated.where("date < _last").drop("_last"), dated.where("date = _last").drop("_last")
 
 
 @query("c5_ridge_fit")
@@ -483,7 +486,7 @@ def a4(t):
     return rounded(A.factor_premia(M.long_short(pairs(t))))
 
 
-part("vb", "SELECT factor, ticker, x FROM sh WHERE date = DATE '2001-06-01' AND x IS NOT NULL AND ticker IN (SELECT ticker FROM investable)", "sh", "investable")
+part("vb", "SELECT factor, ticker, x FROM sh WHERE date = (SELECT max(date) FROM sh) AND x IS NOT NULL AND ticker IN (SELECT ticker FROM investable)", "sh", "investable")
 
 
 @query("a5_view_baskets", sql(f"""SELECT factor, ticker, leg, {rd('abs(premium)')} AS confidence FROM (SELECT factor, ticker, unnest(list_filter([CASE WHEN x >= hi THEN 'top' END, CASE WHEN x <= lo THEN 'bottom' END], lambda v: v IS NOT NULL)) AS leg
@@ -492,7 +495,8 @@ part("vb", "SELECT factor, ticker, x FROM sh WHERE date = DATE '2001-06-01' AND
 def a5(t):
     from panelwright.catalog.universe_q import investable
 
-    s = t.score_history.where("date = date'2001-06-01'").select("factor", "ticker", "x")
+    s = t.score_history
+    s = attach_one(s, s.agg(F.max("date").alias("_last"))).where("date = _last").select("factor", "ticker", "x")
     return rounded(A.view_baskets(s, A.factor_premia(M.long_short(pairs(t))), investable(t)))
 
 

@@ -8,17 +8,25 @@ from panelwright.catalog.moments_q import probabilities
 from panelwright.catalog.sources_q import day
 from panelwright.config import DriftRule
 from panelwright.functions.columns import rounded
+from panelwright.functions.dist import attach_one
+from panelwright.functions.pairs import asset_axis
 from panelwright.operators import backtest as T, folds as O, moments as E, portfolios as W, rebalance as Q, risk as K
 from panelwright.operators.risk import MEASURES, Z_GRID
 from panelwright.session import cut
 
-N_CANDIDATES = 200
+N_CANDIDATES = 1000
 
 
 def asset_list(t):
     return t.weekly_returns.select(F.col("ticker").alias("asset")).distinct()
 
 
+def numbered_assets(t):
+    """(ticker, pos, n): the assets numbered from 0, and how many there are."""
+    pos = asset_axis(t.weekly_returns)
+    return attach_one(pos, pos.agg(F.count("*").alias("n")))
+
+
 def candidate_weights(t, n=N_CANDIDATES):
     return W.candidates(asset_list(t), n)
 
@@ -99,12 +107,10 @@ def k7(t):
     return rounded(K.blended_risk(rows, probabilities(t), ["semi_deviation", "cvar"]))
 
 
-@query("k8_regime_budget", sql(f"""SELECT asset, {rd('sum(p * b) / sum(sum(p * b)) OVER ()')} AS budget FROM (SELECT asset, 0 AS state, pos + 1 AS b FROM apos UNION ALL SELECT asset, 1, 25 - pos FROM apos) JOIN lastp USING (state) GROUP BY 1""", "apos", "lastp"))
+@query("k8_regime_budget", sql(f"""SELECT asset, {rd('sum(p * b) / sum(sum(p * b)) OVER ()')} AS budget FROM (SELECT asset, 0 AS state, pos + 1 AS b FROM apos UNION ALL SELECT asset, 1, count(*) OVER () - pos FROM apos) JOIN lastp USING (state) GROUP BY 1""", "apos", "lastp"))
 def k8(t):
-    from panelwright.functions.pairs import asset_axis
-
-    pos = asset_axis(t.weekly_returns)
-    both = F.array(F.struct(F.lit(0).alias("state"), (F.col("pos") + 1).alias("b")), F.struct(F.lit(1).alias("state"), (25 - F.col("pos")).alias("b")))
+    pos = numbered_assets(t)
+    both = F.array(F.struct(F.lit(0).alias("state"), (F.col("pos") + 1).alias("b")), F.struct(F.lit(1).alias("state"), (F.col("n") - F.col("pos")).alias("b")))
     budgets = pos.select(F.col("ticker").alias("asset"), F.explode(both).alias("x")).select("asset", "x.state", "x.b")
     return rounded(K.regime_budget(budgets, probabilities(t)))
 
@@ -144,14 +150,13 @@ _objective("k12_min_drawdown_at_risk", W.Objective("min_risk", "cdar"), "-cdar")
 
 
 @query("k12_constrained", sql(f"""SELECT portfolio, {rd('mean')} AS mean, {rd('variance')} AS risk, {rd('mean - 0.002 * moved - 0.001 - 0.5 * variance - 0.01 - 0.05 * n2')} AS score FROM rt
-  JOIN (SELECT portfolio, sum(w * w) AS n2, sum(abs(w - 0.04)) AS moved, sum(w * (pos - 12) / 12.0) AS ex FROM cw JOIN apos USING (asset) GROUP BY 1) USING (portfolio)
+  JOIN (SELECT portfolio, sum(w * w) AS n2, sum(abs(w - 1.0 / n)) AS moved, sum(w * (2 * pos - n + 1) / (n - 1)) AS ex FROM cw JOIN (SELECT *, count(*) OVER () AS n FROM apos) USING (asset) GROUP BY 1) USING (portfolio)
   JOIN (SELECT portfolio, stddev_samp(r - b) AS te FROM pr JOIN bench USING (date) GROUP BY 1) USING (portfolio) WHERE te <= 0.14 AND ex BETWEEN -0.1 AND 0.1""", "rt", "cw", "apos", "pr", "bench"))
 def k12_constrained(t):
-    from panelwright.functions.pairs import asset_axis
-
     r = t.weekly_returns
-    z = asset_axis(r).select(F.lit("slope").alias("factor"), "ticker", ((F.col("pos") - 12) / 12.0).alias("x"))
-    prev = asset_list(t).withColumn("w", F.lit(0.04))
+    pos, n = numbered_assets(t), F.col("n")
+    z = pos.select(F.lit("slope").alias("factor"), "ticker", ((2 * F.col("pos") - n + 1) / (n - 1)).alias("x"))
+    prev = pos.select(F.col("ticker").alias("asset"), (1.0 / n).alias("w"))
     o = W.Objective("max_utility", "variance", risk_aversion=0.5, l1=0.01, l2=0.05, cost=0.002, fee=0.001)
     return rounded(W.score_candidates(r, cut(candidate_weights(t)), o, prev, z, {"slope": (-0.1, 0.1)}, bench(t), 0.14))
 
@@ -176,7 +181,7 @@ def k14(t):
 
 
 part("bsk", """SELECT r.i AS rep, idx - 1 AS k, t, (r.i * 7919 + (idx - 1) * 104729 + 15485863) % 1000003 AS h1, (r.i * 6151 + (idx - 1) * 49157 + 15485863) % 1000003 AS h2
-  FROM (SELECT DISTINCT idx FROM bidx), (SELECT max(idx) AS t FROM bidx), range(1, 21) r(i)""", "bidx")
+  FROM (SELECT DISTINCT idx FROM bidx), (SELECT max(idx) AS t FROM bidx), range(1, 501) r(i)""", "bidx")
 part("bsi", """SELECT rep, (fr + k - at_) % t + 1 AS idx FROM (SELECT rep, k, t, last_value(CASE WHEN fresh THEN k END IGNORE NULLS) OVER w AS at_, last_value(CASE WHEN fresh THEN ((h2 * h2) % 999983) % t END IGNORE NULLS) OVER w AS fr
   FROM (SELECT *, k = 0 OR ((h1 * h1) % 999983) % 21 = 0 AS fresh FROM bsk) WINDOW w AS (PARTITION BY rep ORDER BY k))""", "bsk")
 part("bscov", "SELECT rep, a.ticker AS asset_i, b.ticker AS asset_j, covar_samp(a.r, b.r) AS cov FROM bsi JOIN bidx a USING (idx) JOIN bidx b USING (idx) GROUP BY 1, 2, 3", "bsi", "bidx")
@@ -185,12 +190,12 @@ part("bsd", "SELECT rep, sqrt(sum((s.cov - c.cov) * (s.cov - c.cov))) AS distanc
 
 @query("k15_bootstrap_distances", sql(f"SELECT rep AS replicate, {rd('distance')} AS distance FROM bsd", "bsd"), complete=True)
 def k15d(t):
-    return rounded(W.bootstrap_distances(t.weekly_returns, 20))
+    return rounded(W.bootstrap_distances(t.weekly_returns))
 
 
 @query("k15_bootstrap_radius", sql(f"SELECT {rd('quantile_cont(distance, 0.95)')} AS delta FROM bsd", "bsd"), complete=True)
 def k15(t):
-    return rounded(W.bootstrap_radius(t.weekly_returns, 20))
+    return rounded(W.bootstrap_radius(t.weekly_returns))
 
 
 part("brk", "SELECT date, ticker, rank() OVER (PARTITION BY ticker ORDER BY r) + (count(*) OVER (PARTITION BY ticker, r) - 1) / 2.0 AS k, r FROM bret", "bret")
@@ -310,9 +315,9 @@ def t3(t):
 
 @query("t4_fold_count_search", sql(f"""SELECT n AS n_blocks, k AS n_test, paths AS n_paths, {rd('t / n * (n - k)')} AS train_size, {rd('cost')} AS cost, row_number() OVER (ORDER BY round(cost, 9), n, k) = 1 AS best FROM (
   SELECT n, k, t, paths, abs(t / n * (n - k) - 60) / 60 + abs(paths - 8) / 8 AS cost FROM (SELECT n, k, (SELECT max(idx) FROM ax) AS t,
-    CAST(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) AS BIGINT) * k // n AS paths FROM range(3, 13) a(n), range(2, 12) b(k) WHERE k < n))""", "ax"))
+    CAST(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) AS BIGINT) * k // n AS paths FROM range(3, 21) a(n), range(2, 20) b(k) WHERE k < n))""", "ax"))
 def t4(t):
-    return rounded(O.fold_count_search(t.panel, 60, 8, max_blocks=12))
+    return rounded(O.fold_count_search(t.panel, 60, 8))
 
 
 part("wfw", "SELECT fold, ticker, 1 / s / sum(1 / s) OVER (PARTITION BY fold) AS w FROM (SELECT fold, ticker, stddev_samp(r) AS s FROM bret JOIN wf USING (date) WHERE role = 'train' GROUP BY 1, 2)", "bret", "wf")

@@ -52,14 +52,14 @@ twin("e2_shrunk_mean_bodnar_okhrin", recursive(f"SELECT asset, {rd('a * mu + (1
 
 # Ridge: centred normal equations with the penalty on the diagonal.
 part("zw", "SELECT date, ticker, " + ", ".join(f"max(x) FILTER (factor = '{f}') AS f{i}" for i, f in enumerate(FOUR)) + " FROM zs GROUP BY 1, 2", "zs")
-part("rtr", "SELECT f0, f1, f2, f3, fwd AS y FROM zw JOIN fwd USING (date, ticker) WHERE date < DATE '2001-01-01' AND f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND fwd IS NOT NULL", "zw", "fwd")
+part("rtr", "SELECT f0, f1, f2, f3, fwd AS y FROM zw JOIN fwd USING (date, ticker) WHERE date < (SELECT max(date) FROM zw JOIN fwd USING (date, ticker)) AND f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND fwd IS NOT NULL", "zw", "fwd")
 part("rm", "SELECT [" + ", ".join("[" + ", ".join(f"count(*) * covar_pop(f{i}, f{j})" + (" + 1" if i == j else "") for j in range(4)) + "]" for i in range(4)) + "] AS m FROM rtr", "rtr")
 part("rb", "SELECT [" + ", ".join(f"count(*) * covar_pop(f{i}, y)" for i in range(4)) + "] AS b FROM rtr", "rtr")
 conjugate("cgr", "rm", "rb")
 part("rw", "SELECT z, my - list_dot_product(z, mx) AS c FROM cgr_z, (SELECT avg(y) AS my, [avg(f0), avg(f1), avg(f2), avg(f3)] AS mx FROM rtr)")
 RIDGE = ("rtr", "rm", "rb", "cgr", "cgr_z", "rw")
 twin("c5_ridge_fit", recursive("SELECT term, " + rd("coefficient") + " AS coefficient FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS term, z[{i + 1}] AS coefficient FROM rw" for i, f in enumerate(FOUR)) + " UNION ALL SELECT 'intercept', c FROM rw)", *RIDGE))
-part("rte", "SELECT * FROM zw JOIN fwd USING (date, ticker) WHERE date = DATE '2001-06-01'", "zw", "fwd")
+part("rte", "SELECT * FROM zw JOIN fwd USING (date, ticker) WHERE date = (SELECT max(date) FROM zw JOIN fwd USING (date, ticker))", "zw", "fwd")
 part("rp", "SELECT ticker, f0 IS NULL OR f1 IS NULL OR f2 IS NULL OR f3 IS NULL AS hole, c + " + " + ".join(f"z[{i + 1}] * coalesce(f{i}, avg(f{i}) OVER ())" for i in range(4)) + " AS raw FROM rte, rw", "rte")
 twin("c7_ridge_scores", recursive(f"SELECT ticker, {rd('CASE WHEN NOT hole THEN (raw - avg(raw) OVER ()) / stddev_pop(raw) OVER () END')} AS composite FROM rp", *RIDGE, "rte", "rp"))
 

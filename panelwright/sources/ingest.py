@@ -37,6 +37,63 @@ def safe_date(c: Column) -> Column:
     return F.coalesce(F.to_date(iso), F.to_date(F.timestamp_seconds(F.floor(epoch))))
 
 
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """The day, null if there is none such."""
+    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    known = year.isNotNull() & month.isNotNull() & day.isNotNull()
+    return F.to_date(F.try_to_timestamp(F.when(known, text), F.lit("yyyy-MM-dd")))
+
+
+def reference_date(c: Column, year: int | Column) -> Column:
+    """Dates of macro rows in the forms providers use; the first form that gives a day wins, else null.
+
+    ``Dec 2024`` (first of the month, any word that begins with the month's three letters), ``12/ 25``
+    (month and two-digit year), ``Mar/15`` (in the given ``year``), ``2024-12-01`` or ``20241201``,
+    ``1/15/2025`` and, where that is no day, day first. Blanks around are ignored.
+    """
+    s = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    tight = F.replace(s, F.lit(" "), F.lit(""))
+
+    def group(x: Column, pattern: str, n: int) -> Column:
+        return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, n))
+
+    def month(x: Column) -> Column:
+        name = F.substring(F.lower(x), 1, 3)
+        at = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), name)
+        return F.when(at > 0, at.cast("string"))
+
+    one = F.lit("1")
+    word_year = r"^(\S+)\s+([0-9]{1,4})$"
+    month_year = r"^([0-9]{1,2})/([0-9]{2})$"
+    month_day = r"^([^/]*)/([0-9]{1,2})$"
+    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
+    plain = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
+    slashes = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
+    this_year = (F.lit(year) if isinstance(year, int) else year).cast("string")
+    return F.coalesce(
+        _date(group(s, word_year, 2), month(group(s, word_year, 1)), one),
+        _date(F.concat(F.lit("20"), group(tight, month_year, 2)), group(tight, month_year, 1), one),
+        _date(this_year, month(group(tight, month_day, 1)), group(tight, month_day, 2)),
+        *[_date(*[group(s, p, n) for n in (1, 2, 3)]) for p in (iso, plain)],
+        _date(*[group(s, slashes, n) for n in (3, 1, 2)]),
+        _date(*[group(s, slashes, n) for n in (3, 2, 1)]),
+    )
+
+
+def article_time(c: Column) -> Column:
+    """Publication time of an article: epoch seconds or ISO text, whose zone is dropped; ``N/A`` and the like are null."""
+    s = F.trim(c.cast("string"))
+    day = s.rlike("^[0-9]{8}$")
+    epoch = F.when(s.rlike("^-?[0-9]{1,12}$") & ~day, s.try_cast("long"))
+    iso = F.when(
+        s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"),
+        F.regexp_replace(s, r"(:[0-9]{2}(?:[.][0-9]+)?)(?:Z|[+-][0-9]{2}:?[0-9]{2})$", "$1"))
+    return F.coalesce(F.timestamp_seconds(epoch), F.try_to_timestamp(iso), F.try_to_timestamp(F.when(day, s), F.lit("yyyyMMdd")))
+
+
 # Upsert
 
 
@@ -157,10 +214,16 @@ def country_summary(indicators: DataFrame, bonds: DataFrame) -> DataFrame:
 def news_feed(articles: DataFrame, as_of, days: int = 60, per_country: int = 50) -> DataFrame:
     """Recent articles, the first of each title per country, the newest N of each country.
 
+    ``published`` may be a timestamp or raw text (``article_time``); articles without a time are left out.
+
     Repeated titles collapse in a partial aggregate; the final ranking keeps N rows per
     country in every map task.
     """
     now = F.lit(as_of).cast("timestamp")
+    kind = articles.schema["published"].dataType.typeName()
+    if kind in ("string", "long", "integer"):
+        at = article_time(F.col("published")) if kind == "string" else F.timestamp_seconds("published")
+        articles = articles.withColumn("published", at)
     recent = articles.where((F.col("published") > now - F.make_dt_interval(F.lit(days))) & (F.col("published") <= now))
     first = recent.groupBy("country", "title").agg(F.min_by(F.struct("article_id", "published"), "article_id").alias("a"))
     rows = first.select("country", "title", "a.article_id", "a.published")

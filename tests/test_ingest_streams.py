@@ -139,3 +139,29 @@ def test_drift_events(spark):
     holdings = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.5)], "portfolio long, asset string, w double")
     got = streams.drain(streams.drift_monitor(source(spark, path), holdings, DriftRule(0.2)), "out").orderBy("end").collect()
     assert [(round(r["max_drift"], 6), r["fires"]) for r in got][:3] == [(0.0, False), (0.25, True), (0.0, False)]
+
+
+def test_reference_dates_in_every_form(spark):
+    cases = {
+        "Dec 2024": "2024-12-01", "  september 1999 ": "1999-09-01", "12/ 25": "2025-12-01", "1/26": "2026-01-01", "01/26": "2026-01-01", "13/25": None, "0/25": None,
+        "Mar/15": "2023-03-15", "feb/30": None, "March / 5": "2023-03-05", "2024-12-01": "2024-12-01", "20241201": "2024-12-01", "2024-13-01": None, "1/15/2025": "2025-01-15",
+        "15/1/2025": "2025-01-15", "02/03/2025": "2025-02-03", "31/02/2025": None, "Foo 2024": None, "Dec": None, "Dec 2024 x": None, "": None, "  ": None, "n/a": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r["raw"]: r["d"] and str(r["d"]) for r in df.select("raw", ingest.reference_date(F.col("raw"), 2023).alias("d")).collect()}
+    assert got == cases
+    days = spark.createDataFrame([(dt.date(2024, 2, 29),), (None,)], "d date")
+    assert [r[0] for r in days.select(ingest.reference_date(F.col("d"), 2023)).collect()] == [dt.date(2024, 2, 29), None]
+
+
+def test_article_times_in_every_form(spark):
+    cases = {
+        "1704067200": "2024-01-01 00:00:00", "2024-01-01": "2024-01-01 00:00:00", "2024-01-01T10:20:30Z": "2024-01-01 10:20:30", "2024-01-01 10:20:30.5+02:00": "2024-01-01 10:20:30",
+        "2024-01-01T10:20+0530": "2024-01-01 10:20:00", "20240101": "2024-01-01 00:00:00", "2024-01-01T10:20": "2024-01-01 10:20:00", "N/A": None, "": None, "2024-02-30": None, "yesterday": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r["raw"]: r["t"] for r in df.select("raw", F.date_format(ingest.article_time(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
+    assert got == cases
+    rows = [(1, "de", "a", 1704067200), (2, "de", "b", None), (3, "de", "c", 1600000000)]
+    feed = ingest.news_feed(spark.createDataFrame(rows, "article_id int, country string, title string, published long"), "2024-01-05 00:00:00")
+    assert [r["article_id"] for r in feed.collect()] == [1]
