@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import suffix
-from panelwright.llm.registry import query, table
+from panelwright.llm.registry import query, slices, table
 from panelwright.session import cut
 
 GRAM = 32
 BLOCK = 7  # bytes that a rank of the lowest level holds, beside their number
-CHUNK = 1 << 21  # bytes that are hashed at a time; longer documents are cut into overlapping parts
+CHUNK = 1 << 18  # bytes that are hashed at a time; longer documents are cut into overlapping parts
+SLICE = 2_000_000  # bytes of text that a worker takes from an Arrow batch at a time
 PLACE_BITS = 22
+_MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
@@ -43,10 +45,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    """The first n powers modulo 2**64, kept by the process up to the length of a buffer."""
+    p = _known.get(base)
+    if p is None or len(p) < n:
+        p = np.full(max(n, CHUNK + 1), base, np.uint64)
+        p[0] = 1
+        p = np.cumprod(p, dtype=np.uint64)
+        if n <= CHUNK + 1:
+            _known[base] = p
+    return p[:n]
 
 
 class _Hashes:
@@ -138,7 +149,7 @@ def _run_rows(length: int):
     """Arrow function: documents to their runs. Runs that repeat one of the same batch are merged to removed spans at once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4 * SLICE)):
             doc_id, sub = batch.column("d").to_numpy(zero_copy_only=False), batch.column("sub").to_numpy(zero_copy_only=False)
             r = runs([(t or "").encode() for t in batch.column("text").to_pylist()], length)
             order = np.lexsort((r["at"], sub[r["doc"]], doc_id[r["doc"]], r["context"], r["key"]))
@@ -163,7 +174,7 @@ def _context_rows(length: int):
     """Arrow function: documents with the runs they must look into, to one row per run with its bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             key, d, sub, at, context = [], [], [], [], []
             for doc_id, s, text, open_runs in zip(*(batch.column(c).to_pylist() for c in ("d", "sub", "text", "open"))):
                 raw = (text or "").encode()
@@ -307,23 +318,23 @@ def removed_spans(keyed: DataFrame, length: int = 100, group_limit: int = 4096)
     return whole.unionByName(spans)
 
 
-def _cut_rows(columns: list[str]):
+def _cut_rows(columns: list[str], with_bytes: bool):
     """Arrow function: texts and spans to what is left."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             out = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw = (text or "").encode()
                 a = np.array(sorted((s["start"], s["stop"]) for s in spans or ()), np.int64).reshape(-1, 2)
                 start, stop = suffix.union_spans(a[:, 0], a[:, 1])
                 edges = [0, *np.column_stack((start, stop)).ravel().tolist(), len(raw)]
-                out.append((len(raw), int((stop - start).sum()), len(start), b"".join(raw[edges[i]: edges[i + 1]] for i in range(0, len(edges), 2))))
-            n, gone, spans, left = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array(left, pa.binary())],
-                names=[*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                left = b"".join(raw[edges[i]: edges[i + 1]] for i in range(0, len(edges), 2)) if len(start) else raw
+                out.append((len(raw), int((stop - start).sum()), len(start), hashlib.sha256(left).hexdigest(), left if with_bytes else None))
+            n, gone, spans, digests, left = zip(*out)
+            made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made][: len(columns) + 4 + with_bytes],
+                                             names=[*columns, *_MADE][: len(columns) + 4 + with_bytes])
 
     return rows
 
@@ -335,38 +346,48 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep: tuple[str, ...] = (
     the input and don't cross documents; overlaps count. A null text is empty. Rows of the same id
     are ordered by their text and carried columns, a null id stands before all. Texts shorter than
     ``length`` stay whole. Columns: doc_id, those of ``keep``, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256 and, unless ``with_bytes`` is off, kept (the bytes that are left).
+    removed runs), kept_sha256 and, unless ``with_bytes`` is off, kept (the bytes that are left). A
+    kept column with one of these names is called in_<name>.
     """
     carried = [c for c in keep if c not in ("doc_id", "text")]
-    source = _keyed(docs, ["text", *carried])
+    inner = [f"_{i}" for i in range(len(carried))]  # names of their own, as columns may be called like those made here
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(i) for c, i in zip(carried, inner)])
+    source = _keyed(named, ["text", *inner])
     spans = removed_spans(source, length, group_limit)
     per_doc = spans.groupBy("d", "sub").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = source.join(per_doc, ["d", "sub"], "left")
-    columns = ["d", *carried]
+    columns = ["d", *inner]
     schema = joined.select(*columns).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
-        schema = schema.add(name, kind)
-    out = joined.mapInArrow(_cut_rows(columns), schema)
+    made = _MADE if with_bytes else _MADE[:-1]
+    for name in made:
+        schema = schema.add(name, "string" if name == "kept_sha256" else "binary" if name == "kept" else "long")
+    out = joined.mapInArrow(_cut_rows(columns, with_bytes), schema)
     doc_id = F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id")
-    return out.select(doc_id, *carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_bytes else []))
+    return out.select(doc_id, *[F.col(i).alias(f"in_{c}" if c in made else c) for c, i in zip(carried, inner)], *made)
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """The documents with what is left of their texts; those of which nothing is left go.
 
-    A character that loses some of its bytes goes whole. n_chars, if there, is counted anew.
+    Null and empty texts leave nothing and go; an empty table gives no rows; rows that repeat an id
+    stay rows of their own. All columns stay, whatever their names. A character that loses some of
+    its bytes goes whole. n_chars, if there, is counted anew.
     """
-    kept = remove_repeats(docs, length, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
     schema = docs.schema
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"c{i}" for i, c in enumerate(carried)}
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    kept = remove_repeats(rows, length, keep=tuple(names.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [raw.decode(errors="ignore") for raw in batch.column("kept").to_pylist()]
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in schema.names], names=schema.names)
-            yield out.filter(pa.array([bool(t) for t in texts], pa.bool_()))
-
-    return kept.drop("n_bytes", "n_removed", "n_spans", "kept_sha256").mapInArrow(run, schema)
+        for whole in batches:
+            for batch in slices(whole, SLICE, "kept"):
+                texts = [raw.decode(errors="ignore") for raw in batch.column("kept").to_pylist()]
+                new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "doc_id": batch.column("doc_id")}
+                out = pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(names[c]) for c in schema.names], names=schema.names)
+                yield out.filter(pa.array([bool(t) for t in texts], pa.bool_()))
+
+    return kept.select("doc_id", *names.values(), "kept").mapInArrow(run, schema)
 
 
 @query("op2_repeats")

@@ -57,7 +57,7 @@ def test_stages_of_an_empty_table(spark, make_docs, corpus):
 
 def test_one_query_per_operator():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries() and set(catalog.SQL) <= set(catalog.QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries() and set(catalog.SQL) <= set(catalog.QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the generated tables")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from panelwright.llm import suffix
+from panelwright.llm import repeats, suffix
 from panelwright.llm.repeats import previous_matches, remove_repeats, without_repeats
 
 
@@ -59,6 +59,29 @@ def test_without_repeats_drops_what_is_empty_and_keeps_columns(make_docs):
     assert set(out) == {1, 3} and out[3].text == "new words, " and out[3].n_chars == 11 and out[1].lang == "en"
 
 
+def test_columns_named_like_inner_ones(spark):
+    names = ["d", "sub", "kept", "n_bytes", "spans", "_0", "c0", "open", "n_removed"]
+    docs = spark.createDataFrame([(i, "a b " * 60 if i else "tail " * 30, *[f"{c}{i}" for c in names]) for i in range(3)], ["doc_id", "text", *names])
+    got = without_repeats(docs).collect()
+    assert docs.columns == list(got[0].asDict()) and {r.doc_id: [r[c] for c in names] for r in got} == {i: [f"{c}{i}" for c in names] for i in (0, 1)}
+    kept = remove_repeats(docs, keep=("d", "n_bytes")).filter("doc_id = 2").first()
+    assert (kept.d, kept.in_n_bytes, kept.n_bytes, kept.n_removed) == ("d2", "n_bytes2", 240, 240)
+
+
+def test_documents_longer_than_a_buffer(make_docs, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcd ") for _ in range(900))
+    pairs = [(d, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 2500))) + passage[rng.randint(0, 400):] + "z" * rng.randint(0, 300)) for d in range(12)]
+    texts = [t.encode() for _, t in pairs]
+    made = repeats.runs(texts, 100)
+    for d, t in enumerate(texts):
+        mine = made["doc"] == d
+        windows = sorted(w for a, n in zip(made["at"][mine], made["n"][mine]) for w in range(a, a + n))
+        assert windows == list(range(max(0, len(t) - 99)))
+    assert rows(remove_repeats(make_docs(pairs))) == brute(pairs, 100)
+
+
 def test_longest_previous_factor_against_brute_force():
     rng = random.Random(1)
     for _ in range(150):
