@@ -45,7 +45,8 @@ class JoinConfig:
     heavy_local: int = 3
     heavy_tokens: int = 200_000
     filter_words: int = 1 << 19
-    batch_bytes: int = 4_000_000
+    batch_bytes: int = 1_500_000
+    heavy_bytes: int = 3_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ def heavy_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(pa.RecordBatch.from_arrays([pc.unique(batch.column("text"))], names=["text"]), config.batch_bytes):
+            for part in slices(pa.RecordBatch.from_arrays([pc.unique(batch.column("text"))], names=["text"]), config.heavy_bytes):
                 h = np.sort(shingle_sets(part.column("text"), config.words)[0])
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(h)))
