@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from panelwright.llm.registry import query, slices, table
 from panelwright.llm.store import stored
 
-CACHE_CHUNKS = 250_000
 _ENCODED = 20_000  # chunks that are encoded at a time
 _MARK = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,]) "
 _held: dict[str, list] = {}
@@ -33,7 +32,10 @@ _held: dict[str, list] = {}
 
 @dataclass(frozen=True)
 class PackingConfig:
-    """``common`` lengths make up the triples; ``spread`` buckets number the pieces of one length in parallel."""
+    """``common`` lengths make up the triples; ``spread`` buckets number the pieces of one length in parallel.
+
+    ``cache_chunks`` bounds a generation of chunks whose ids a process remembers.
+    """
 
     window: int = 2048
     end_id: int = 1
@@ -41,9 +43,10 @@ class PackingConfig:
     common: int = 64
     sweeps: int = 200
     spread: int = 64
+    cache_chunks: int = 250_000
 
 
-def _chunk_ids(chunks: list[str], path: str) -> list[bytes]:
+def _chunk_ids(chunks: list[str], path: str, most: int) -> list[bytes]:
     """Ids of distinct chunks as little-endian unsigned 32-bit numbers.
 
     The process remembers two generations: when the younger is full it becomes the older, and what
@@ -55,7 +58,7 @@ def _chunk_ids(chunks: list[str], path: str) -> list[bytes]:
 
         _held[path] = [Tokenizer.from_file(path), {}, {}]
     tokenizer, young, old = _held[path]
-    if len(young) > CACHE_CHUNKS:
+    if len(young) > most:
         _held[path][1:] = young, old = {}, young
     made = [young.get(c) for c in chunks]
     missing = [i for i, x in enumerate(made) if x is None]
@@ -74,7 +77,7 @@ def _chunk_ids(chunks: list[str], path: str) -> list[bytes]:
     return made
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, path: str, cache_chunks: int = PackingConfig.cache_chunks) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, one after the other, and where each text's ids end.
 
     The vocabulary drops white space and never joins over it, so a text's ids are those of its
@@ -89,7 +92,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.if_else(as_is, texts, pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2 "))
     split = pc.split_pattern(texts, " ")
     chunks = split.flatten().dictionary_encode()
-    made = _chunk_ids(chunks.dictionary.to_pylist(), path)
+    made = _chunk_ids(chunks.dictionary.to_pylist(), path, cache_chunks)
     sizes = np.array([len(x) for x in made], np.int64) // 4
     ids = np.frombuffer(b"".join(made), "<u4")
     which = chunks.indices.to_numpy(zero_copy_only=False)
@@ -109,7 +112,7 @@ def cut_pieces(docs: DataFrame, config: PackingConfig, batch_bytes: int = 3_000_
         schema = schema.add(name, "long")
 
     def pieces(doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        ids, ends = encode(texts, config.tokenizer)
+        ids, ends = encode(texts, config.tokenizer, config.cache_chunks)
         rows, begin = [], 0
         for i, stop in enumerate(ends.tolist()):
             raw = ids[begin:stop].tobytes() + end

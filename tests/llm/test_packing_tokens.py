@@ -69,11 +69,10 @@ def test_special_tokens_and_dotted_capitals_have_the_ids_of_whole_texts():
 def test_chunks_that_come_again_after_the_memory_is_full(monkeypatch):
     from panelwright.llm import packing
 
-    monkeypatch.setattr(packing, "CACHE_CHUNKS", 5)
     monkeypatch.setattr(packing, "_ENCODED", 3)
     for round in range(4):
         texts = [f"hot word{round} a{i % (round + 2)}. B{i}" for i in range(9)]
-        ids, ends = encode(pa.array(texts), PATH)
+        ids, ends = encode(pa.array(texts), PATH, 5)
         assert [c.tolist() for c in np.split(ids, ends[:-1])] == [plain_ids(t) for t in texts]
 
 
