@@ -27,6 +27,15 @@ def test_bytes_are_near_equal_with_a_hot_text(make_docs):
     assert len(load) == 24 and max(load.values()) - min(load.values()) < 0.02 * mean + 2 * 160
 
 
+def test_rows_that_repeat_id_and_text_are_dealt_one_by_one(make_docs):
+    load = check([(7, "one row")] * 480, shard_by_bytes(make_docs([(7, "one row")] * 480, 5), 24).collect(), 24)
+    assert set(load.values()) == {20 * 15}
+    pairs = [(7, "one row " * 4)] * 400 + [(None, None)] * 300 + [(i, f"text {i} " * (i % 9)) for i in range(800)]
+    load = check(pairs, shard_by_bytes(make_docs(pairs, 6), 24, runs=4).collect(), 24)
+    mean = sum(load.values()) / 24
+    assert len(load) == 24 and max(load.values()) - min(load.values()) < 0.02 * mean + 2 * 90
+
+
 def test_equal_texts_lie_next_to_each_other(make_docs):
     pairs = [(i, f"t{i % 50}") for i in range(500)]
     got = shard_by_bytes(make_docs(pairs), 4).collect()
