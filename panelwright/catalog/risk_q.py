@@ -451,6 +451,17 @@ def q5(t):
     return Q.hybrid_rule(drifted(t), targets(t), reviews(t), DriftRule(0.06, period_days=21))
 
 
+part("cal", """SELECT portfolio, (SELECT count(*) FROM range(0, CAST(portfolio * 7 % 400 AS BIGINT)) d(i) WHERE isodow(today - CAST(portfolio * 7 % 400 AS INTEGER) + CAST(i AS INTEGER)) <= 5) AS elapsed
+  FROM (SELECT DISTINCT portfolio FROM cw), (SELECT CAST(max(date) AS DATE) AS today FROM bret)""", "cw", "bret")
+
+
+@query("q5_calendar_rule", sql("""SELECT portfolio, frequency, elapsed, elapsed >= days AS due FROM cal, (VALUES ('monthly', 21), ('quarterly', 63), ('semiannual', 126), ('annual', 252)) f(frequency, days)""", "cal"))
+def q5c(t):
+    today = t.weekly_returns.agg(F.max("date").cast("date").alias("today"))
+    p = attach_one(candidate_weights(t).select("portfolio").distinct(), today)
+    return Q.calendar_rule(p.select("portfolio", F.date_sub("today", (F.col("portfolio") * 7 % 400).cast("int")).alias("last_review"), "today"))
+
+
 part("prev", "SELECT tg.portfolio, tg.asset, tg.w AS t, coalesce(dw.w, 0) / sum(coalesce(dw.w, 0)) OVER (PARTITION BY tg.portfolio) AS c FROM tg LEFT JOIN dw ON dw.portfolio = tg.portfolio AND dw.asset = tg.asset", "tg", "dw")
 
 

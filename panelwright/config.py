@@ -159,6 +159,10 @@ class SelectionConfig:
     sector_tolerance: float = 0.05
 
 
+# Business days per calendar rule.
+CALENDAR_DAYS = {"monthly": 21, "quarterly": 63, "semiannual": 126, "annual": 252}
+
+
 @dataclass(frozen=True)
 class DriftRule:
     """Threshold rule; the calendar period turns it into the hybrid rule."""
@@ -167,9 +171,12 @@ class DriftRule:
     relative: bool = False
     period_days: int | None = None
 
-
-# Business days per calendar rule.
-CALENDAR_DAYS = {"monthly": 21, "quarterly": 63, "semiannual": 126, "annual": 252}
+    @classmethod
+    def every(cls, frequency: str, threshold: float = 0.05, relative: bool = False) -> DriftRule:
+        """The hybrid rule of a calendar frequency."""
+        if frequency not in CALENDAR_DAYS:
+            raise ConfigurationError(f"unknown frequency {frequency!r}")
+        return cls(threshold, relative, CALENDAR_DAYS[frequency])
 
 
 @dataclass(frozen=True)

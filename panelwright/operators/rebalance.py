@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.config import DriftRule
+from panelwright.config import CALENDAR_DAYS, DriftRule
+from panelwright.errors import ConfigurationError
 
 _KEYS = ["portfolio", "asset"]
 
@@ -71,6 +74,18 @@ def weekdays_between(start: Column, end: Column) -> Column:
     return (upto(end) - upto(start)).cast("long")
 
 
+def calendar_rule(reviews: DataFrame, frequencies: Sequence[str] = tuple(CALENDAR_DAYS)) -> DataFrame:
+    """(portfolio, frequency, elapsed, due): whether the frequency's business days have passed since the last review.
+
+    ``reviews`` is (portfolio, last_review, today); a portfolio without a last review is due.
+    """
+    if unknown := set(frequencies) - set(CALENDAR_DAYS):
+        raise ConfigurationError(f"unknown frequencies {sorted(unknown)}")
+    periods = F.explode(F.create_map(*[F.lit(x) for f in frequencies for x in (f, CALENDAR_DAYS[f])])).alias("frequency", "_days")
+    rows = reviews.select("portfolio", weekdays_between(F.col("last_review"), F.col("today")).alias("elapsed"), periods)
+    return rows.select("portfolio", "frequency", "elapsed", F.coalesce(F.col("elapsed") >= F.col("_days"), F.lit(True)).alias("due"))
+
+
 def hybrid_rule(current: DataFrame, target: DataFrame, reviews: DataFrame, rule: DriftRule) -> DataFrame:
     """(portfolio, elapsed, due, fires): the threshold counts only once the period has passed.
 

@@ -97,6 +97,7 @@ def tilt_to_mean(scenarios: DataFrame, target: float, steps: int = 30, tolerance
     """(s, p): the probabilities closest to the given ones (s, x, p0) under which x has mean ``target``.
 
     p is proportional to p0 * exp(l * x); Newton's method finds l, each step one aggregate.
+    Not within ``tolerance`` of the range of x after ``steps`` steps: ``DataError``.
     """
     span = scenarios.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("c")).first()
     if span["lo"] is None:
@@ -112,9 +113,13 @@ def tilt_to_mean(scenarios: DataFrame, target: float, steps: int = 30, tolerance
         m = scenarios.agg(F.sum(w).alias("a"), F.sum(w * z).alias("b"), F.sum(w * z * z).alias("d")).first()
         mean = m["b"] / m["a"]
         var = m["d"] / m["a"] - mean * mean
-        if abs(want - mean) < tolerance or var <= 0:
+        if abs(want - mean) < tolerance:
             break
+        if var <= 0:
+            raise DataError("the probabilities met in one scenario before the target mean was reached")
         lam += max(-2.0 / var**0.5, min(2.0 / var**0.5, (want - mean) / var))
+    else:
+        raise DataError(f"the target mean was not reached in {steps} steps")
     rows = scenarios.withColumn("w", F.col("p0") * F.exp(F.lit(lam) * z))
     total = rows.agg(F.sum("w").alias("t"))
     return attach_one(rows, total).select("s", (F.col("w") / F.col("t")).alias("p"))

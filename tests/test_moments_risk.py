@@ -398,6 +398,8 @@ def test_tilting_reaches_the_mean(spark):
     assert np.allclose(np.log(p), np.polyval(slope, x))
     with pytest.raises(ConfigurationError):
         views.tilt_to_mean(s, 1.0)
+    with pytest.raises(DataError):
+        views.tilt_to_mean(s, 0.01, steps=1)
 
 
 def test_stress_patch_only_without_a_severe_scenario(spark):
@@ -433,3 +435,16 @@ def test_indicators_need_a_year(spark):
     assert got["from_high"] == pytest.approx(c[-1] / max(c[-252:]) - 1)
     short = views.indicators(df.where("date < date'2023-12-01'")).first()
     assert short["momentum_12_1"] is None and short["momentum_1m"] is None and short["rsi"] is not None
+
+
+def test_calendar_rule_by_frequency(spark):
+    rows = [(1, "2024-01-01", "2024-01-29"), (2, "2024-01-01", "2024-01-30"), (3, "2023-01-02", "2024-01-02"), (4, None, "2024-01-02")]
+    r = spark.createDataFrame(rows, "portfolio int, last_review string, today string").select(
+        "portfolio", F.col("last_review").cast("date"), F.col("today").cast("date"))
+    got = {(x.portfolio, x.frequency): (x.elapsed, x.due) for x in rebalance.calendar_rule(r).collect()}
+    assert got[1, "monthly"] == (20, False) and got[2, "monthly"] == (21, True) and got[2, "quarterly"] == (21, False)
+    assert got[3, "semiannual"] == (261, True) and got[3, "annual"] == (261, True) and got[4, "annual"] == (None, True) and len(got) == 16
+    assert DriftRule.every("quarterly", 0.1) == DriftRule(0.1, False, 63)
+    for call in (lambda: rebalance.calendar_rule(r, ["weekly"]), lambda: DriftRule.every("weekly")):
+        with pytest.raises(ConfigurationError):
+            call()
