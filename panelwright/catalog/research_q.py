@@ -252,6 +252,24 @@ def _dispatch(method, name):
 for _m in ("equal_weight", "ic_weighted", "icir_weighted"):
     _dispatch(_m, f"c8_composite_{_m}")
 
+
+def _fitted(t, method):
+    """The dispatcher's fitted methods: long scores of the last date, trained on the dates before."""
+    train, test = train_test(t)
+    scores = test.unpivot("ticker", FOUR, "factor", "x")
+    return rounded(C.composite(scores, CompositeConfig(method=method), training=train))
+
+
+@query("c8_composite_ridge")
+def c8_ridge(t):
+    return _fitted(t, "ridge")
+
+
+@query("c8_composite_trees")
+def c8_trees(t):
+    return _fitted(t, "trees")
+
+
 # Regimes
 
 part("mseq", "SELECT country, date, gdp_growth, unemployment_rate, yield_spread, row_number() OVER (PARTITION BY country ORDER BY date) AS rn FROM macro", "macro")

@@ -61,7 +61,9 @@ RIDGE = ("rtr", "rm", "rb", "cgr", "cgr_z", "rw")
 twin("c5_ridge_fit", recursive("SELECT term, " + rd("coefficient") + " AS coefficient FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS term, z[{i + 1}] AS coefficient FROM rw" for i, f in enumerate(FOUR)) + " UNION ALL SELECT 'intercept', c FROM rw)", *RIDGE))
 part("rte", "SELECT * FROM zw JOIN fwd USING (date, ticker) WHERE date = (SELECT max(date) FROM zw JOIN fwd USING (date, ticker))", "zw", "fwd")
 part("rp", "SELECT ticker, f0 IS NULL OR f1 IS NULL OR f2 IS NULL OR f3 IS NULL AS hole, c + " + " + ".join(f"z[{i + 1}] * coalesce(f{i}, avg(f{i}) OVER ())" for i in range(4)) + " AS raw FROM rte, rw", "rte")
-twin("c7_ridge_scores", recursive(f"SELECT ticker, {rd('CASE WHEN NOT hole THEN (raw - avg(raw) OVER ()) / stddev_pop(raw) OVER () END')} AS composite FROM rp", *RIDGE, "rte", "rp"))
+RIDGE_SCORES = recursive(f"SELECT ticker, {rd('CASE WHEN NOT hole THEN (raw - avg(raw) OVER ()) / stddev_pop(raw) OVER () END')} AS composite FROM rp", *RIDGE, "rte", "rp")
+twin("c7_ridge_scores", RIDGE_SCORES)
+twin("c8_composite_ridge", RIDGE_SCORES)
 
 
 def eigen(tag, matrix, count, steps):
