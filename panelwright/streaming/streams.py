@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -125,24 +127,34 @@ class _Drift(StatefulProcessor):
         self.held = handle.getMapState("held", "asset string", "base double, last double, w double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: list(v) for k, v in self.held.iterator()}
-        out, moved = [], set()
-        for end, part in _as_batches(rows).sort_values(["end", "asset"]).groupby("end", sort=True):
-            for r in part.itertuples(index=False):
-                held.setdefault(r.asset, [r.open, r.open, r.w])[1] = r.close
-                moved.add(r.asset)
-            worst = self._worst(held)
-            out.append((key[0], end, worst, worst > self.rule.threshold))
-        for asset in moved:
-            self.held.updateValue((asset,), tuple(held[asset]))
+        given = _as_batches(rows).sort_values(["end", "asset"])
+        known = {k[0]: v for k, v in self.held.iterator()}
+        names = pd.Index([*known, *given["asset"].unique()]).unique()
+        base, last, w = np.full((3, len(names)), np.nan)
+        base[: len(known)], last[: len(known)], w[: len(known)] = np.array(list(known.values()), float).reshape(-1, 3).T
+        held, moved = np.arange(len(names)) < len(known), np.zeros(len(names), bool)
+        out = []
+        for end, part in given.groupby("end", sort=True):
+            at = names.get_indexer(part["asset"])
+            new = ~held[at]
+            base[at[new]], w[at[new]] = part["open"].to_numpy(float)[new], part["w"].to_numpy(float)[new]
+            last[at] = part["close"].to_numpy(float)
+            held[at] = moved[at] = True
+            worst = self._worst(base[held], last[held], w[held])
+            infinite = math.isnan(worst) and not np.isnan(base[held] + last[held]).any()
+            out.append((key[0], end, worst, worst > self.rule.threshold or infinite))
+        for i in np.flatnonzero(moved):
+            self.held.updateValue((names[i],), (float(base[i]), float(last[i]), float(w[i])))
         yield pd.DataFrame(out, columns=["portfolio", "end", "max_drift", "fires"])
 
-    def _worst(self, held: dict) -> float:
-        """Largest drift of the known assets, their weights scaled as a portfolio of their own."""
-        grown = {a: w * last / base for a, (base, last, w) in held.items()}
-        scale = sum(w for _, _, w in held.values()) / sum(grown.values())
-        gaps = [(abs(grown[a] * scale - w), abs(w)) for a, (_, _, w) in held.items()]
-        return max((g / w if w else 0.0) if self.rule.relative else g for g, w in gaps)
+    def _worst(self, base: np.ndarray, last: np.ndarray, w: np.ndarray) -> float:
+        """Largest drift of the known assets, their weights scaled as a portfolio of their own; NaN if one has no finite growth."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            grown = w * last / base
+            gaps = np.abs(grown / grown.sum() * w.sum() - w)
+            if self.rule.relative:
+                gaps = np.where(w != 0, gaps / np.abs(w), 0.0 * gaps)
+        return float(gaps.max())
 
     def close(self) -> None:
         pass
@@ -153,7 +165,8 @@ def drift_monitor(q: DataFrame, holdings: DataFrame, rule: DriftRule, every: str
 
     Quotes are first reduced to one close per symbol and window, so the state of a
     portfolio sees at most one row per held asset and window. ``holdings`` is
-    (portfolio, asset, w).
+    (portfolio, asset, w). Once a held asset has grown from a price of zero, its
+    portfolio has no finite drift: max_drift is null and the monitor fires.
     """
     closes = bars(q, every, watermark=watermark).select(F.col("symbol").alias("asset"), "end", "open", "close")
     rows = closes.join(holdings.select("portfolio", "asset", "w"), "asset")

@@ -141,6 +141,18 @@ def test_drift_events(spark):
     assert [(round(r["max_drift"], 6), r["fires"]) for r in got][:3] == [(0.0, False), (0.25, True), (0.0, False)]
 
 
+def test_drift_from_a_price_of_zero(spark):
+    path = fresh_path(spark, "src")
+    put(spark, path, [("2024-01-01 00:00", "A", 10), ("2024-01-01 00:05", "B", 0), ("2024-01-01 00:06", "C", 10)], 1)
+    put(spark, path, [("2024-01-01 01:30", "A", 30), ("2024-01-01 01:40", "B", 5)], 2)
+    put(spark, path, [("2024-01-02 00:00", "C", 30)], 3)
+    put(spark, path, [("2024-01-03 00:00", "C", 30)], 4)
+    holdings = spark.createDataFrame([(1, "A", 0.5), (1, "B", 0.5), (2, "C", 1.0)], "portfolio long, asset string, w double")
+    got = streams.drain(streams.drift_monitor(source(spark, path), holdings, DriftRule(0.2)), "out").orderBy("end").collect()
+    assert all(r["max_drift"] is None and r["fires"] for r in got if r["portfolio"] == 1)
+    assert [(r["max_drift"], r["fires"]) for r in got if r["portfolio"] == 2][:2] == [(0.0, False)] * 2
+
+
 def test_reference_dates_in_every_form(spark):
     cases = {
         "Dec 2024": "2024-12-01", "  september 1999 ": "1999-09-01", "12/ 25": "2025-12-01", "1/26": "2026-01-01", "01/26": "2026-01-01", "13/25": None, "0/25": None,
