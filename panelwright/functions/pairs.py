@@ -1,10 +1,10 @@
 """Sums over asset pairs as a blocked matrix product.
 
-Assets are cut into blocks and dates into chunks. A task holds one block of one
-chunk as a matrix (bounded by BLOCK x CHUNK cells), multiplies two blocks and
-emits one row per asset pair of its blocks; partial sums over the chunks are
-then added. No row is ever emitted per pair and date, and pairs with missing
-cells are handled by multiplying the presence masks the same way.
+Assets are cut into blocks that hold whole series (bounded by CELLS observed cells). A task
+meets two blocks, multiplies them tile by tile (BLOCK x BLOCK assets, CHUNK dates at a time)
+and emits finished rows, one per asset pair, so pairs are never shuffled; measures that
+only need some of the pairs drop the others there. No row is ever emitted per pair and date,
+and pairs with missing cells are handled by multiplying the presence masks the same way.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.functions.dist import attach_one
+from panelwright.session import cut
 
 BLOCK = 256
 CHUNK = 1024
+CELLS = 1 << 20  # observed cells of a block, in the mean
+SPREAD = 24  # blocks that larger panels have at least; each block is copied once per block
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
@@ -31,48 +34,56 @@ def asset_axis(cells: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(cells: DataFrame, value: str, chunk: int | None) -> DataFrame:
+def _blocks(cells: DataFrame, value: str) -> DataFrame:
+    """A row per block: its number, the number of blocks, the names, and the observed cells sorted by asset and date."""
+    known = cells.where(F.col(value).isNotNull())
     dates = cells.select("date").distinct().select(
         "date", (F.row_number().over(Window.orderBy("date")) - 1).alias("t")
     )
+    size = known.agg(F.count(F.lit(1)).alias("_cells"))
     names = asset_axis(cells)
-    block = F.floor(F.col("pos") / BLOCK).cast("int").alias("block")
-    slot = F.lit(0) if chunk is None else F.floor(F.col("t") / chunk)
-    labels = names.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("pos", "ticker"))).alias("l"))
+    count = names.agg(F.count(F.lit(1)).alias("_n"))
+    names = attach_one(attach_one(names, count), size)
+    nb = F.least(
+        F.greatest(F.ceil(F.col("_cells") / CELLS), F.least(F.ceil(F.col("_n") / BLOCK), F.lit(SPREAD))), F.col("_n")
+    ).cast("int")
+    block = F.floor(F.col("pos") * F.col("nb") / F.col("_n")).cast("int")
+    names = names.withColumn("nb", nb).select("ticker", "pos", "nb", block.alias("block"))
+    labels = names.groupBy("block").agg(
+        F.min("pos").alias("first"), F.max("nb").alias("nb"), F.sort_array(F.collect_list(F.struct("pos", "ticker"))).alias("l"))
     rows = (
-        cells.where(F.col(value).isNotNull())
+        known
         .join(dates, "date")
-        .join(names, "ticker")
-        .groupBy(slot.cast("int").alias("slot"), block)
+        .join(names.select("ticker", "pos", "block"), "ticker")
+        .groupBy("block")
         .agg(
-            F.collect_list(
-                F.struct((F.col("pos") % BLOCK).cast("int").alias("a"), F.col("t").cast("int").alias("t"), F.col(value).cast("double").alias("v"))
-            ).alias("c")
+            F.sort_array(F.collect_list(
+                F.struct(F.col("pos").cast("int").alias("a"), F.col("t").cast("int").alias("t"), F.col(value).cast("double").alias("v"))
+            )).alias("c")
         )
     )
     return rows.join(labels, "block").select(
-        "slot", "block", F.col("l.ticker").alias("names"), F.col("c.a").alias("a"), F.col("c.t").alias("t"), F.col("c.v").alias("v")
+        "block", "nb", F.col("l.ticker").alias("names"), F.transform("c.a", lambda a: a - F.col("first").cast("int")).alias("a"),
+        F.col("c.t").alias("t"), F.col("c.v").alias("v"),
     )
 
 
-def pair_tasks(cells: DataFrame, value: str, chunk: int | None) -> DataFrame:
-    """One row per (slot, i, j), i <= j: the two blocks whose product the task computes.
+def pair_tasks(cells: DataFrame, value: str) -> DataFrame:
+    """One row per (i, j), i <= j: the two blocks whose product the task computes.
 
-    Each block is copied to the pairs it takes part in, so the tasks spread over
-    (slot, i, j) and not over the few slots.
+    Each block is copied to the pairs it takes part in, so the tasks spread over (i, j).
     """
-    n_blocks = asset_axis(cells).agg(F.ceil((F.max("pos") + 1) / BLOCK).cast("int").alias("nb"))
-    b = attach_one(_blocks(cells, value, chunk), n_blocks)
+    b = _blocks(cells, value)
     names = ["names", "a", "t", "v"]
     left = b.select(
-        "slot", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("nb") - 1)).alias("j"),
+        F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("nb") - 1)).alias("j"),
         *[F.col(c).alias(f"{c}1") for c in names],
     )
     right = b.select(
-        "slot", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"),
+        F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"),
         *[F.col(c).alias(f"{c}2") for c in names],
     )
-    return left.join(right, ["slot", "i", "j"])
+    return left.join(right, ["i", "j"])
 
 
 def _matrix(a, t, v, n: int, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,43 +95,68 @@ def _matrix(a, t, v, n: int, first: int, width: int) -> tuple[np.ndarray, np.nda
     return x, m
 
 
+def tiles(n1: int, n2: int, same: bool) -> Iterator[tuple[slice, slice, bool]]:
+    """Tiles of at most BLOCK x BLOCK assets of two blocks and whether the tile lies on the diagonal; of one block with itself the upper half."""
+    for a in range(0, n1, BLOCK):
+        for b in range(a if same else 0, n2, BLOCK):
+            yield slice(a, a + BLOCK), slice(b, b + BLOCK), same and a == b
+
+
+def _dense(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values and presence of the two blocks of a task over the dates that they span."""
+    first = int(min(np.min(row.t1), np.min(row.t2)))
+    width = int(max(np.max(row.t1), np.max(row.t2))) - first + 1
+    one = _matrix(row.a1, row.t1, row.v1, len(row.names1), first, width)
+    return (*one, *(one if row.i == row.j else _matrix(row.a2, row.t2, row.v2, len(row.names2), first, width)))
+
+
+def _total(kernel: Kernel, x1, m1, x2, m2, chunk: int | None) -> dict[str, np.ndarray]:
+    """The kernel's matrices, added over chunks of dates."""
+    total = kernel(x1[:, :chunk], m1[:, :chunk], x2[:, :chunk], m2[:, :chunk])
+    for t in range(chunk or x1.shape[1], x1.shape[1], chunk or 1):
+        part = (x[:, t: t + chunk] for x in (x1, m1, x2, m2))
+        total = {o: total[o] + v for o, v in kernel(*part).items()}
+    return total
+
+
 def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: str = "r", chunk: int | None = CHUNK) -> DataFrame:
-    """Run ``kernel(x_i, m_i, x_j, m_j)`` on block pairs and add its matrices over the chunks.
+    """Run ``kernel(x_i, m_i, x_j, m_j)`` on tiles of asset pairs and add its matrices over the chunks.
 
     Returns (asset_i, asset_j, *outputs) for asset_i <= asset_j. ``chunk=None``
     hands whole series to the kernel, for measures that do not add up over dates.
     """
-    tasks = pair_tasks(cells, value, chunk)
     schema = "asset_i string, asset_j string, " + ", ".join(f"{o} double" for o in outputs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 names1, names2 = np.asarray(row.names1), np.asarray(row.names2)
-                first = int(min(np.min(row.t1), np.min(row.t2)))
-                width = int(max(np.max(row.t1), np.max(row.t2))) - first + 1
-                x1, m1 = _matrix(row.a1, row.t1, row.v1, len(names1), first, width)
-                same = row.i == row.j
-                x2, m2 = (x1, m1) if same else _matrix(row.a2, row.t2, row.v2, len(names2), first, width)
-                got = kernel(x1, m1, x2, m2)
-                keep = (m1 @ m2.T) > 0
-                if same:
-                    keep &= np.triu(np.ones(keep.shape, dtype=bool))
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame(
-                    {"asset_i": names1[i], "asset_j": names2[j], **{o: got[o][i, j] for o in outputs}}
-                )
-
-    parts = tasks.mapInPandas(run, schema)
-    if chunk is None:
-        return parts
-    return parts.groupBy("asset_i", "asset_j").agg(*[F.sum(o).alias(o) for o in outputs])
+                x1, m1, x2, m2 = _dense(row)
+                for a, b, diagonal in tiles(len(names1), len(names2), row.i == row.j):
+                    got = _total(kernel, x1[a], m1[a], x2[b], m2[b], chunk)
+                    keep = (m1[a] @ m2[b].T) > 0
+                    if diagonal:
+                        keep &= np.triu(np.ones(keep.shape, dtype=bool))
+                    i, j = np.nonzero(keep)
+                    yield pd.DataFrame(
+                        {"asset_i": names1[a][i], "asset_j": names2[b][j], **{o: got[o][i, j] for o in outputs}}
+                    )
+
+    return pair_tasks(cells, value).mapInPandas(run, schema)
 
 
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
 def _sum_kernel(x1, m1, x2, m2):
+    if m1.all() and m2.all():
+        shape = (len(x1), len(x2))
+        rows, columns = x1.sum(axis=1), x2.sum(axis=1)
+        squares = (x1 * x1).sum(axis=1), (x2 * x2).sum(axis=1)
+        return {
+            "n": np.full(shape, float(x1.shape[1])), "sx": np.broadcast_to(rows[:, None], shape), "sy": np.broadcast_to(columns, shape),
+            "sxx": np.broadcast_to(squares[0][:, None], shape), "syy": np.broadcast_to(squares[1], shape), "sxy": x1 @ x2.T,
+        }
     return {
         "n": m1 @ m2.T, "sx": x1 @ m2.T, "sy": m1 @ x2.T,
         "sxx": (x1 * x1) @ m2.T, "syy": m1 @ (x2 * x2).T, "sxy": x1 @ x2.T,
@@ -154,6 +190,45 @@ def with_moments(sums: DataFrame) -> DataFrame:
     )
 
 
+def correlations_above(cells: DataFrame, threshold: float, absolute: bool = False, value: str = "r") -> tuple[DataFrame, DataFrame]:
+    """Pairs (asset_i, asset_j, corr), i < j, above the threshold, and (asset, m): the mean correlation with all assets, itself included.
+
+    Correlations (of ``absolute`` size, if asked for) are rounded to 12 digits; undefined ones count
+    nowhere. The tasks keep the pairs above the threshold and one sum per asset and pair of
+    blocks, so the table of all pairs does not exist.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                names1, names2 = np.asarray(row.names1), np.asarray(row.names2)
+                same = row.i == row.j
+                x1, m1, x2, m2 = _dense(row)
+                sums1, sums2 = np.zeros((2, len(names1))), np.zeros((2, len(names2)))
+                for a, b, diagonal in tiles(len(names1), len(names2), same):
+                    s = _total(_sum_kernel, x1[a], m1[a], x2[b], m2[b], CHUNK)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        vx, vy = s["sxx"] - s["sx"] * s["sx"] / s["n"], s["syy"] - s["sy"] * s["sy"] / s["n"]
+                        corr = (s["sxy"] - s["sx"] * s["sy"] / s["n"]) / np.sqrt(vx * vy)
+                    known = (vx > 0) & (vy > 0)
+                    corr = np.round(np.where(known, np.abs(corr) if absolute else corr, 0.0), 12)
+                    sums1[:, a] += corr.sum(axis=1), known.sum(axis=1)
+                    if not diagonal:
+                        sums2[:, b] += corr.sum(axis=0), known.sum(axis=0)
+                    above = known & (corr > threshold)
+                    if diagonal:
+                        above &= np.triu(np.ones(above.shape, dtype=bool), 1)
+                    i, j = np.nonzero(above)
+                    if len(i):
+                        yield pd.DataFrame({"asset_i": names1[a][i], "asset_j": names2[b][j], "corr": corr[i, j], "n": 0})
+                for names, sums in ((names1, sums1), (names2, sums2)):
+                    yield pd.DataFrame({"asset_i": names, "asset_j": None, "corr": sums[0], "n": sums[1].astype(np.int64)})
+
+    parts = cut(pair_tasks(cells, value).mapInPandas(run, "asset_i string, asset_j string, corr double, n long"))
+    mean = parts.where("asset_j IS NULL").groupBy(F.col("asset_i").alias("asset")).agg(F.try_divide(F.sum("corr"), F.sum("n")).alias("m"))
+    return parts.where("asset_j IS NOT NULL").drop("n"), mean
+
+
 def mirrored(pairs: DataFrame) -> DataFrame:
     """All ordered pairs from the i <= j half, without reading it twice."""
     rest = [c for c in pairs.columns if c not in ("asset_i", "asset_j")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +13,12 @@ from panelwright.config import CleaningConfig
 from panelwright.errors import DataError
 from panelwright.functions.columns import clip
 from panelwright.functions.dist import attach_one, by_calendar, in_ranges
-from panelwright.functions.pairs import mirrored, pair_sums, with_moments
+from panelwright.functions.pairs import correlations_above, mirrored, pair_sums, with_moments
 from panelwright.session import cut
 from panelwright.sources.panel import date_axis, dense, with_axis
 
+GROUP_PAIRS = 4_000_000  # correlated pairs that one task goes through in order
+
 
 def validate(returns: DataFrame, max_abs: float = 10.0) -> DataFrame:
     """NaN, infinities and |r| above the limit become null."""
@@ -172,18 +175,17 @@ def correlated_assets(returns: DataFrame, threshold: float = 0.95, absolute: boo
     down, and of two assets still present the one with the higher mean correlation goes.
 
     Done in rounds: a pair that is the highest open pair of both its assets can be
-    decided at once, which gives the same result as one pass over the sorted pairs.
+    decided at once, which gives the same result as one pass over the sorted pairs. Assets
+    with the same first neighbour are a group, whose inner pairs one task goes through in
+    order, as far as no open pair to another group ranks above them.
     """
-    table = with_moments(pair_sums(returns)).where(F.col("corr").isNotNull())
-    half = table.withColumn("corr", F.round(F.abs("corr") if absolute else F.col("corr"), 12))
-    above = cut(half.where((F.col("asset_i") != F.col("asset_j")) & (F.col("corr") > threshold)))
+    above, mean = correlations_above(returns, threshold, absolute)
     dropped = above.select(F.col("asset_i").alias("ticker")).limit(0)
     if above.isEmpty():
         return dropped
-    mean = cut(mirrored(half).groupBy("asset_i").agg(F.avg("corr").alias("m")))
     open_pairs = (
-        above.join(mean.select("asset_i", F.col("m").alias("m_i")), "asset_i")
-        .join(mean.select(F.col("asset_i").alias("asset_j"), F.col("m").alias("m_j")), "asset_j")
+        above.join(mean.select(F.col("asset").alias("asset_i"), F.col("m").alias("m_i")), "asset_i")
+        .join(mean.select(F.col("asset").alias("asset_j"), F.col("m").alias("m_j")), "asset_j")
         .select(
             "asset_i", "asset_j",
             F.struct("corr", "asset_i", "asset_j").alias("rank"),
@@ -192,14 +194,7 @@ def correlated_assets(returns: DataFrame, threshold: float = 0.95, absolute: boo
     )
     open_pairs = cut(open_pairs)
     while not open_pairs.isEmpty():
-        ends = open_pairs.select(F.explode(F.array("asset_i", "asset_j")).alias("asset"), "rank")
-        best = ends.groupBy("asset").agg(F.max("rank").alias("best"))
-        tops = (
-            open_pairs.join(best.select(F.col("asset").alias("asset_i"), F.col("best").alias("best_i")), "asset_i")
-            .join(best.select(F.col("asset").alias("asset_j"), F.col("best").alias("best_j")), "asset_j")
-            .where((F.col("rank") == F.col("best_i")) & (F.col("rank") == F.col("best_j")))
-        )
-        gone = cut(tops.select(F.col("loser").alias("ticker")).distinct())
+        gone = cut(_decided(open_pairs))
         dropped = dropped.unionByName(gone)
         # The winner's decided pair ends with its loser, so it leaves the table too.
         open_pairs = cut(
@@ -209,6 +204,50 @@ def correlated_assets(returns: DataFrame, threshold: float = 0.95, absolute: boo
     return dropped.distinct()
 
 
+def _on_both(pairs: DataFrame, assets: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+    """The columns of the two assets of a pair, as ``<column>_i`` and ``<column>_j``."""
+    for end in "ij":
+        pairs = pairs.join(assets.select(F.col("asset").alias(f"asset_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in columns]), f"asset_{end}", how)
+    return pairs
+
+
+def _decided(open_pairs: DataFrame) -> DataFrame:
+    """(ticker): losers of the pairs that can be decided in this round, among them the highest of all."""
+    both = F.explode(F.array(F.struct(F.col("asset_i").alias("asset"), F.col("asset_j").alias("other")), F.struct(F.col("asset_j").alias("asset"), F.col("asset_i").alias("other"))))
+    ends = open_pairs.select(both.alias("_e"), "rank").select("_e.*", "rank")
+    per = ends.groupBy("asset").agg(F.min(F.least("asset", "other")).alias("label"), F.max("rank").alias("best"))
+    tagged = _on_both(open_pairs, per, "label", "best").withColumn("grp", F.when(F.col("label_i") == F.col("label_j"), F.col("label_i")))
+    large = tagged.where("grp IS NOT NULL").groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_PAIRS)
+    tagged = tagged.join(large, "grp", "left").withColumn("grp", F.when(F.col("_n").isNull(), F.col("grp")))
+    tagged = cut(tagged.select("grp", "asset_i", "asset_j", "rank", "loser", ((F.col("rank") == F.col("best_i")) & (F.col("rank") == F.col("best_j"))).alias("top")))
+    outer = tagged.where("grp IS NULL")
+    limit = outer.select(F.explode(F.array("asset_i", "asset_j")).alias("asset"), "rank").groupBy("asset").agg(F.max("rank").alias("limit"))
+    inner = _on_both(tagged.where("grp IS NOT NULL"), limit, "limit", how="left")
+    for end in "ij":
+        inner = inner.withColumn(f"free_{end}", F.coalesce(F.col("rank") > F.col(f"limit_{end}"), F.lit(True)))
+    rows = inner.select("grp", "asset_i", "asset_j", "loser", "rank", (F.col("free_i") & F.col("free_j")).alias("free"))
+    rows = rows.repartition("grp").sortWithinPartitions("grp", F.col("rank").desc()).drop("rank")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, gone, waiting = None, set(), set()
+        for frame in frames:
+            lost = []
+            for g, i, j, loser, free in zip(*(frame[c].tolist() for c in ("grp", "asset_i", "asset_j", "loser", "free"))):
+                if g != group:
+                    group, gone, waiting = g, set(), set()
+                if i in gone or j in gone:
+                    continue
+                if free and i not in waiting and j not in waiting:
+                    gone.add(loser)
+                    lost.append(loser)
+                else:
+                    waiting |= {i, j}
+            yield pd.DataFrame({"ticker": lost}, dtype=object)
+
+    found = rows.mapInPandas(run, "ticker string")
+    return outer.where("top").select(F.col("loser").alias("ticker")).unionByName(found).distinct()
+
+
 def best_assets(returns: DataFrame, k: int, top: bool = True) -> DataFrame:
     """Top (or bottom) k by mean return; every task keeps only its own k rows."""
     mean = returns.groupBy("ticker").agg(F.avg("r").alias("m"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.errors import ConfigurationError
 from panelwright.functions.dist import attach_one, group_quantiles
-from panelwright.functions.pairs import _matrix, asset_axis, blocked_pairs, pair_sums, pair_tasks, with_moments
+from panelwright.functions.pairs import _matrix, asset_axis, blocked_pairs, pair_sums, pair_tasks, tiles, with_moments
 from panelwright.operators.risk import MEASURES, portfolio_returns, risk_table
 from panelwright.sources.panel import date_axis
 
@@ -198,7 +198,7 @@ def bootstrap_distances(returns: DataFrame, replicates: int = 500, block: int =
     )
     counts = counts.select("group", F.col("cs.replicate").alias("replicate"), F.col("cs.i").alias("at"), F.col("cs.c").alias("c"))
     groups = F.sequence(F.lit(0), F.lit(replicates // 50))
-    tasks = pair_tasks(returns, "r", None).withColumn("group", F.explode(groups)).join(counts, "group")
+    tasks = pair_tasks(returns, "r").withColumn("group", F.explode(groups)).join(counts, "group")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -207,13 +207,14 @@ def bootstrap_distances(returns: DataFrame, replicates: int = 500, block: int =
                 x1, _ = _matrix(row.a1, row.t1, row.v1, len(row.names1), 0, width)
                 same = row.i == row.j
                 x2 = x1 if same else _matrix(row.a2, row.t2, row.v2, len(row.names2), 0, width)[0]
-                base = _weighted_cov(x1, x2, np.ones(width))
-                out = []
-                for at, c in zip(row.at, row.c):
-                    w = np.zeros(width)
-                    w[np.asarray(at) - 1] = c
-                    gap = _weighted_cov(x1, x2, w) - base
-                    out.append(float((gap * gap).sum()) * (1.0 if same else 2.0))
+                out = np.zeros(len(row.at))
+                for a, b, diagonal in tiles(len(x1), len(x2), same):
+                    base = _weighted_cov(x1[a], x2[b], np.ones(width))
+                    for k, (at, c) in enumerate(zip(row.at, row.c)):
+                        w = np.zeros(width)
+                        w[np.asarray(at) - 1] = c
+                        gap = _weighted_cov(x1[a], x2[b], w) - base
+                        out[k] += float((gap * gap).sum()) * (1.0 if diagonal else 2.0)
                 yield pd.DataFrame({"replicate": np.asarray(row.replicate), "sq": out})
 
     parts = tasks.mapInPandas(run, "replicate long, sq double")

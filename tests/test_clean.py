@@ -143,3 +143,30 @@ def test_delisting_price(spark):
     got = frame_of(P.append_delisting_prices(prices, d), "close")
     assert got["A"].iloc[2] == pytest.approx(11 * 0.7)
     assert got["B"].iloc[2] == 7.0
+
+
+def test_correlated_groups_match_one_sorted_pass(spark, monkeypatch):
+    """Equal series, chains across groups and gaps: as one pass over the sorted pairs, and a group of equal series takes one round, not one per asset."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (60, 4))
+    x = np.column_stack([base[:, [k]].repeat(12, axis=1) for k in range(4)] + [base @ rng.normal(0, 1, (4, 16)) + 0.3 * rng.normal(0, 1, (60, 16))])
+    r = pd.DataFrame(x, columns=[f"T{i:02d}" for i in rng.permutation(x.shape[1])], index=pd.bdate_range("2024-01-01", periods=60))
+    r = r[sorted(r.columns)]
+    r.iloc[:5, 7] = np.nan
+    names, corr = list(r.columns), r.corr().round(12).to_numpy()
+    mean = corr.mean(axis=1)
+    pairs = sorted(((corr[i, j], names[i], names[j], i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if corr[i, j] > 0.5), reverse=True)
+    want = set()
+    for _, a, b, i, j in pairs:
+        if a not in want and b not in want:
+            want.add(a if round(mean[i] - mean[j], 12) > 0 else b)
+    rounds = []
+    decided = clean._decided
+    monkeypatch.setattr(clean, "_decided", lambda p: rounds.append(1) or decided(p))
+    for limit in (clean.GROUP_PAIRS, 40):
+        monkeypatch.setattr(clean, "GROUP_PAIRS", limit)
+        rounds.clear()
+        got = {x["ticker"] for x in clean.correlated_assets(to_spark(spark, r), 0.5).collect()}
+        assert got == want and len(want) > 40
+        if limit > 40:
+            assert len(rounds) < 8

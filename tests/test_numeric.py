@@ -170,3 +170,17 @@ def test_rectangular_product_over_blocks_and_gaps(spark, monkeypatch):
     plan = product._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"_i#\d+ = _i#\d+", plan) and not re.search(r"ticker#\d+ = ticker#\d+", plan)  # sides meet block by block only
     assert pairs.rectangular(df.limit(0), dx, ["fold", "name"], "ticker", "day", "r").count() == 0
+
+
+def test_pairs_are_not_shuffled(spark, wide_returns, monkeypatch):
+    """Sums over several chunks of dates leave the tasks as finished pairs."""
+    monkeypatch.setattr(pairs, "BLOCK", 6)
+    monkeypatch.setattr(pairs, "CELLS", 900)
+    gaps = wide_returns.mask(np.random.default_rng(2).random(wide_returns.shape) < 0.2)
+    df = spark.createDataFrame(long(gaps), "date date, ticker string, r double")
+    got = pairs.with_moments(pairs.blocked_pairs(df, pairs._sum_kernel, pairs.SUMS, chunk=50))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "asset_i" in plan and not re.search(r"(hashpartitioning|HashAggregate)\([^\n]*asset_i", plan)
+    rows = got.toPandas().set_index(["asset_i", "asset_j"])["cov"]
+    want = gaps.cov().stack()
+    assert len(rows) == 18 * 19 // 2 and np.allclose(rows, want.loc[rows.index], atol=1e-12)
