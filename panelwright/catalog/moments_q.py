@@ -30,7 +30,7 @@ def e1(t):
 
 
 def _shrunk(method):
-    @query(f"e2_shrunk_mean_{method}", complete=True)
+    @query(f"e2_shrunk_mean_{method}", complete=method == "bodnar_okhrin")
     def run(t):
         return rounded(E.shrunk_mean(t.weekly_returns, method))
 

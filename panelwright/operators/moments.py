@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelwright.errors import ConfigurationError, DataError
 from panelwright.functions.dist import attach_one, with_group_stats
 from panelwright.functions.pairs import blocked_pairs, mirrored, pair_sums, product_sums, with_moments
-from panelwright.operators.spectral import PanelGram, Spectrum, inverse_products
+from panelwright.operators.spectral import PanelGram, Spectrum, inverse_product, inverse_products, largest_eigenvalue
 from panelwright.session import cut
 from panelwright.sources.panel import with_axis
 
@@ -58,25 +58,38 @@ def apply_matrix(cov: DataFrame, vector: DataFrame, name: str = "x") -> DataFram
 
 
 def shrunk_mean(returns: DataFrame, method: str = "james_stein") -> DataFrame:
-    """Means pulled to the grand mean with the James-Stein, Bayes-Stein or Bodnar-Okhrin intensity; complete dates only."""
-    gram = PanelGram(returns)
-    mu = gram.rows.select(F.col("ticker").alias("asset"), F.col("m").alias("mu"))
-    grand = mu.agg(F.avg("mu")).first()[0]
-    n, t = gram.n, gram.t
-    if method == "james_stein":
-        gap = mu.agg(F.sum((F.col("mu") - grand) * (F.col("mu") - grand))).first()[0]
-        beta = (gram.trace - 2 * Spectrum(gram, 1).values[0]) / gap / t
-        alpha = 1 - beta
-    elif method in ("bayes_stein", "bodnar_okhrin"):
-        q = inverse_products(gram)
-        if method == "bayes_stein":
-            gap = q["mm"] - 2 * grand * q["m1"] + grand * grand * q["one"]
-            beta = (n + 2) / ((n + 2) + t * gap)
-            alpha = 1 - beta
+    """Means pulled to the grand mean with the James-Stein, Bayes-Stein or Bodnar-Okhrin intensity.
+
+    The first two take every return: means over an asset's own dates and the covariance over the
+    dates that two assets share. Bodnar-Okhrin takes complete dates only.
+    """
+    if method == "bodnar_okhrin":
+        gram = PanelGram(returns)
+        mu = gram.rows.select(F.col("ticker").alias("asset"), F.col("m").alias("mu"))
+        grand = mu.agg(F.avg("mu")).first()[0]
+        n, t, q = gram.n, gram.t, inverse_products(gram)
+        u, v, w = q["mm"], grand * grand * q["one"], grand * q["m1"]
+        alpha = ((u - n / (t - n)) * v - w * w) / (u * v - w * w)
+        beta = (1 - alpha) * w / v
+    elif method in ("james_stein", "bayes_stein"):
+        # a ticker that is null is an asset too, so the assets meet by a key
+        key = F.coalesce(F.concat(F.lit("="), "ticker"), F.lit(""))
+        rows = cut(returns.where(F.col("r").isNotNull()).select("date", F.col("ticker").alias("asset"), key.alias("ticker"), "r"))
+        mu = cut(rows.groupBy("asset", "ticker").agg(F.avg("r").alias("mu")))
+        cov = cut(covariance(rows.select("date", "ticker", "r")).select("asset_i", "asset_j", "cov"))
+        size = mu.agg(F.count(F.lit(1)).alias("n"), F.avg("mu").alias("g")).first()
+        n, grand = size["n"], size["g"]
+        t = rows.select("date").distinct().count()
+        if cov.where("cov IS NOT NULL").count() < n * n or not n:
+            raise DataError("two assets share fewer than 2 dates")
+        gaps = mu.select(F.col("ticker").alias("asset"), (F.col("mu") - grand).alias("x"))
+        if method == "james_stein":
+            trace = cov.where("asset_i = asset_j").agg(F.sum("cov")).first()[0]
+            gap = gaps.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
+            beta = (trace - 2 * largest_eigenvalue(cov)) / gap / t
         else:
-            u, v, w = q["mm"], grand * grand * q["one"], grand * q["m1"]
-            alpha = ((u - n / (t - n)) * v - w * w) / (u * v - w * w)
-            beta = (1 - alpha) * w / v
+            beta = (n + 2) / ((n + 2) + t * inverse_product(cov, gaps))
+        alpha = 1 - beta
     else:
         raise ConfigurationError(f"unknown shrinkage {method!r}")
     return mu.select("asset", (alpha * F.col("mu") + beta * grand).alias("mu"))

@@ -4,6 +4,9 @@ With the centred returns X (dates by assets) the covariance is X'X / (T - 1). No
 of the assets squared is built, and nothing of the size of the assets leaves the tasks: blocks of
 vectors over the dates are multiplied by XX' in one pass over the assets' series, whose partial
 sums have a row per date. The driver holds dates-by-vectors matrices, bounded by the calendar.
+
+A panel with gaps has no such X: its pairwise-complete covariance is a table of pairs, and ``lanczos``
+multiplies that with one vector over the assets at a time.
 """
 
 from __future__ import annotations
@@ -175,3 +178,68 @@ def inverse_products(gram: PanelGram, block: int = BLOCK, tolerance: float = 1e-
             raise DataError("the covariance is singular")
     products = y.T @ y * (gram.t - 1)
     return {"mm": products[0, 0], "m1": products[0, 1], "one": products[1, 1]}
+
+
+def lanczos(cov: DataFrame, start: DataFrame, done, max_steps: int = 200) -> tuple[np.ndarray, float]:
+    """(T, size): the pair table ``cov`` (asset_i, asset_j, cov) in an orthonormal basis of the powers of cov on ``start``, and the size of ``start``.
+
+    ``start`` is (asset, x). T grows by one row and column and one pass over the pairs per step, until
+    ``done(T, b)`` is true, b being the size of what the next vector adds, or nothing is added.
+    Vectors over the assets stay tables, each made orthogonal to all before twice. Raises
+    ``DataError`` after ``max_steps``.
+    """
+    size = float(start.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0])
+    t = np.zeros((0, 0))
+    if size == 0.0:
+        return t, size
+    basis = start.select("asset", F.array(F.col("x") / size).alias("q"))
+    for k in range(max_steps):
+        basis = cut(basis)
+        last = basis.select(F.col("asset").alias("asset_j"), F.element_at("q", -1).alias("_x"))
+        image = cov.join(last, "asset_j").groupBy(F.col("asset_i").alias("asset")).agg(F.sum(F.col("cov") * F.col("_x")).alias("y"))
+        rows = cut(basis.join(image, "asset"))
+        parts = [0.0] * (k + 1)
+        for _ in range(2):
+            found = rows.agg(*[F.sum(F.col("q")[i] * F.col("y")).alias(f"c{i}") for i in range(k + 1)], F.sum(F.col("y") * F.col("y")).alias("yy")).first()
+            for i in range(k + 1):
+                parts[i] += found[i]
+            shadow = F.aggregate(F.zip_with("q", F.array(*[F.lit(float(found[i])) for i in range(k + 1)]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+            rows = rows.withColumn("y", F.col("y") - shadow)
+        b = float(np.sqrt(max(found["yy"] - sum(found[i] ** 2 for i in range(k + 1)), 0.0)))
+        t = np.pad(t, (0, 1))
+        t[k, k] = parts[k]
+        if k:
+            t[k, k - 1] = t[k - 1, k] = before
+        if b <= 1e-12 * np.abs(t).max() or done(t, b):
+            return t, size
+        before = b
+        basis = rows.select("asset", F.concat("q", F.array(F.col("y") / b)).alias("q"))
+    raise DataError(f"the covariance is not resolved after {max_steps} steps")
+
+
+def largest_eigenvalue(cov: DataFrame, tolerance: float = 1e-11) -> float:
+    """Largest eigenvalue of a pair table, to ``tolerance`` of itself."""
+    noise = F.pmod(F.xxhash64("asset"), F.lit(2_000_003)) / 1_000_001.0 - 1.0
+    start = cov.select(F.col("asset_i").alias("asset")).distinct().withColumn("x", noise)
+
+    def done(t: np.ndarray, b: float) -> bool:
+        values, turn = np.linalg.eigh(t)
+        return b * abs(turn[-1, -1]) <= tolerance * abs(values[-1])
+
+    t, _ = lanczos(cov, start, done)
+    return float(np.linalg.eigvalsh(t)[-1])
+
+
+def inverse_product(cov: DataFrame, vector: DataFrame, tolerance: float = 1e-11) -> float:
+    """b'C^-1 b for a pair table C and ``vector`` (asset, x); the system is solved to ``tolerance`` of b. Raises ``DataError`` where C is singular."""
+
+    def solved(t: np.ndarray) -> np.ndarray:
+        if np.linalg.cond(t) > 1e12:
+            raise DataError("the covariance is singular")
+        return np.linalg.solve(t, np.eye(len(t))[0])
+
+    def done(t: np.ndarray, b: float) -> bool:
+        return np.linalg.cond(t) < 1e12 and b * abs(solved(t)[-1]) <= tolerance
+
+    t, size = lanczos(cov, vector, done)
+    return size * size * float(solved(t)[0]) if len(t) else 0.0
