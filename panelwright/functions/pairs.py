@@ -1,28 +1,47 @@
 """Sums over asset pairs as a blocked matrix product.
 
-Assets are cut into blocks that hold whole series (bounded by CELLS observed cells). A task
-meets two blocks, multiplies them tile by tile (BLOCK x BLOCK assets, CHUNK dates at a time)
-and emits finished rows, one per asset pair, so pairs are never shuffled; measures that
-only need some of the pairs drop the others there. No row is ever emitted per pair and date,
-and pairs with missing cells are handled by multiplying the presence masks the same way.
+Assets are cut into blocks that hold whole series. The blocks are the points of a projective
+plane and a task is a line: any two blocks meet on one line only, so a block is copied to the
+few lines through it (8 of 57) and not once for every other block. A task multiplies its blocks
+tile by tile (BLOCK x BLOCK assets, CHUNK dates at a time) and emits finished rows, one per
+asset pair, so pairs are never shuffled; measures that only need some of the pairs drop the
+others there. No row is ever emitted per pair and date, and pairs with missing cells are
+handled by multiplying the presence masks the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions.dist import attach_one
 from panelwright.session import cut
 
 BLOCK = 256
 CHUNK = 1024
-CELLS = 1 << 20  # observed cells of a block, in the mean
-SPREAD = 24  # blocks that larger panels have at least; each block is copied once per block
+CELLS = 1 << 20  # observed cells of a block of ``pair_tasks``, in the mean
+SPREAD = 24  # blocks that larger panels have at least; ``pair_tasks`` copies each once per block
+LINES = 57  # blocks, and lines, that larger panels have at least
+LINE_CELLS = 6 << 20  # observed cells of a line, in the mean; the largest plane holds more
+# Points of a plane: the points of its first line; adding 1 to all of them gives the next line.
+# Two points differ by one number, which is the difference of two points of the line in one way only.
+PLANES = {
+    1: [0],
+    3: [0, 1],
+    7: [0, 1, 3],
+    13: [0, 1, 3, 9],
+    31: [0, 1, 3, 8, 12, 18],
+    57: [0, 1, 3, 13, 32, 36, 43, 52],
+    133: [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109],
+    307: [0, 1, 3, 44, 56, 61, 67, 75, 82, 91, 95, 124, 160, 178, 200, 210, 237, 262],
+    993: [0, 1, 3, 22, 37, 57, 69, 143, 231, 257, 303, 308, 347, 351, 358, 449, 458, 529, 596, 621, 634, 674, 753, 782, 798, 840, 857, 863,
+          871, 881, 933, 966],
+}
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
@@ -34,8 +53,24 @@ def asset_axis(cells: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(cells: DataFrame, value: str) -> DataFrame:
-    """A row per block: its number, the number of blocks, the names, and the observed cells sorted by asset and date."""
+def _even(assets: Column, cells: Column) -> Column:
+    """Blocks of CELLS cells, at least SPREAD of larger panels."""
+    return F.least(F.greatest(F.ceil(cells / CELLS), F.least(F.ceil(assets / BLOCK), F.lit(SPREAD))), assets)
+
+
+def _plane(assets: Column, cells: Column) -> Column:
+    """Points of the smallest plane with LINES blocks, or fewer of BLOCK assets, and LINE_CELLS cells on a line."""
+    number = F.lit(max(PLANES))
+    for n, line in sorted(PLANES.items(), reverse=True)[1:]:
+        number = F.when((F.least(F.ceil(assets / BLOCK), F.lit(LINES)) <= n) & (cells * (len(line) / n) <= LINE_CELLS), F.lit(n)).otherwise(number)
+    return number
+
+
+def _blocks(cells: DataFrame, value: str, number: Callable[[Column, Column], Column] = _even) -> DataFrame:
+    """A row per block: its number, the number of blocks, the names, and the observed cells sorted by asset and date.
+
+    ``number`` tells how many blocks there are from the numbers of assets and of cells.
+    """
     known = cells.where(F.col(value).isNotNull())
     dates = cells.select("date").distinct().select(
         "date", (F.row_number().over(Window.orderBy("date")) - 1).alias("t")
@@ -44,9 +79,7 @@ def _blocks(cells: DataFrame, value: str) -> DataFrame:
     names = asset_axis(cells)
     count = names.agg(F.count(F.lit(1)).alias("_n"))
     names = attach_one(attach_one(names, count), size)
-    nb = F.least(
-        F.greatest(F.ceil(F.col("_cells") / CELLS), F.least(F.ceil(F.col("_n") / BLOCK), F.lit(SPREAD))), F.col("_n")
-    ).cast("int")
+    nb = number(F.col("_n"), F.col("_cells")).cast("int")
     block = F.floor(F.col("pos") * F.col("nb") / F.col("_n")).cast("int")
     names = names.withColumn("nb", nb).select("ticker", "pos", "nb", block.alias("block"))
     labels = names.groupBy("block").agg(
@@ -86,6 +119,20 @@ def pair_tasks(cells: DataFrame, value: str) -> DataFrame:
     return left.join(right, ["i", "j"])
 
 
+def line_tasks(cells: DataFrame, value: str) -> DataFrame:
+    """One row per line of the plane: ``points``, its blocks by number, and of which of them the task also computes the inner pairs (``own``).
+
+    Every two blocks are on one line, and every block is the own one of one line.
+    """
+    lines = F.lit(None).cast("array<int>")
+    for n, line in PLANES.items():
+        lines = F.when(F.col("nb") == n, F.array(*[F.pmod(F.col("block") - d, F.lit(n)) for d in line])).otherwise(lines)
+    b = _blocks(cells, value, _plane)
+    b = b.select(F.posexplode(lines).alias("k", "line"), F.struct("block", "names", "a", "t", "v").alias("point"))
+    return b.groupBy("line").agg(
+        F.sort_array(F.collect_list("point")).alias("points"), F.max(F.when(F.col("k") == 0, F.col("point.block"))).alias("own"))
+
+
 def _matrix(a, t, v, n: int, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((n, width))
     m = np.zeros((n, width))
@@ -102,12 +149,16 @@ def tiles(n1: int, n2: int, same: bool) -> Iterator[tuple[slice, slice, bool]]:
             yield slice(a, a + BLOCK), slice(b, b + BLOCK), same and a == b
 
 
-def _dense(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values and presence of the two blocks of a task over the dates that they span."""
-    first = int(min(np.min(row.t1), np.min(row.t2)))
-    width = int(max(np.max(row.t1), np.max(row.t2))) - first + 1
-    one = _matrix(row.a1, row.t1, row.v1, len(row.names1), first, width)
-    return (*one, *(one if row.i == row.j else _matrix(row.a2, row.t2, row.v2, len(row.names2), first, width)))
+def _met(row) -> Iterator[tuple]:
+    """Pairs of blocks that a line computes: names, values and presence of each, over the dates that the line spans, and whether they are one block."""
+    first = int(min(np.min(p["t"]) for p in row.points))
+    width = int(max(np.max(p["t"]) for p in row.points)) - first + 1
+    blocks = [(np.asarray(p["names"]), *_matrix(p["a"], p["t"], p["v"], len(p["names"]), first, width)) for p in row.points]
+    for i, one in enumerate(blocks):
+        if row.points[i]["block"] == row.own:
+            yield (*one, *one, True)
+        for other in blocks[i + 1:]:
+            yield (*one, *other, False)
 
 
 def _total(kernel: Kernel, x1, m1, x2, m2, chunk: int | None) -> dict[str, np.ndarray]:
@@ -129,10 +180,8 @@ def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                names1, names2 = np.asarray(row.names1), np.asarray(row.names2)
-                x1, m1, x2, m2 = _dense(row)
-                for a, b, diagonal in tiles(len(names1), len(names2), row.i == row.j):
+            for names1, x1, m1, names2, x2, m2, same in chain.from_iterable(map(_met, frame.itertuples(index=False))):
+                for a, b, diagonal in tiles(len(names1), len(names2), same):
                     got = _total(kernel, x1[a], m1[a], x2[b], m2[b], chunk)
                     keep = (m1[a] @ m2[b].T) > 0
                     if diagonal:
@@ -142,7 +191,7 @@ def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: s
                         {"asset_i": names1[a][i], "asset_j": names2[b][j], **{o: got[o][i, j] for o in outputs}}
                     )
 
-    return pair_tasks(cells, value).mapInPandas(run, schema)
+    return line_tasks(cells, value).mapInPandas(run, schema)
 
 
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
@@ -200,10 +249,7 @@ def correlations_above(cells: DataFrame, threshold: float, absolute: bool = Fals
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                names1, names2 = np.asarray(row.names1), np.asarray(row.names2)
-                same = row.i == row.j
-                x1, m1, x2, m2 = _dense(row)
+            for names1, x1, m1, names2, x2, m2, same in chain.from_iterable(map(_met, frame.itertuples(index=False))):
                 sums1, sums2 = np.zeros((2, len(names1))), np.zeros((2, len(names2)))
                 for a, b, diagonal in tiles(len(names1), len(names2), same):
                     s = _total(_sum_kernel, x1[a], m1[a], x2[b], m2[b], CHUNK)
@@ -224,7 +270,7 @@ def correlations_above(cells: DataFrame, threshold: float, absolute: bool = Fals
                 for names, sums in ((names1, sums1), (names2, sums2)):
                     yield pd.DataFrame({"asset_i": names, "asset_j": None, "corr": sums[0], "n": sums[1].astype(np.int64)})
 
-    parts = cut(pair_tasks(cells, value).mapInPandas(run, "asset_i string, asset_j string, corr double, n long"))
+    parts = cut(line_tasks(cells, value).mapInPandas(run, "asset_i string, asset_j string, corr double, n long"))
     mean = parts.where("asset_j IS NULL").groupBy(F.col("asset_i").alias("asset")).agg(F.try_divide(F.sum("corr"), F.sum("n")).alias("m"))
     return parts.where("asset_j IS NOT NULL").drop("n"), mean
 

@@ -184,3 +184,28 @@ def test_pairs_are_not_shuffled(spark, wide_returns, monkeypatch):
     rows = got.toPandas().set_index(["asset_i", "asset_j"])["cov"]
     want = gaps.cov().stack()
     assert len(rows) == 18 * 19 // 2 and np.allclose(rows, want.loc[rows.index], atol=1e-12)
+
+
+@pytest.mark.parametrize("points", sorted(pairs.PLANES))
+def test_two_blocks_meet_on_one_line(points):
+    line = pairs.PLANES[points]
+    assert sorted((a - b) % points for a in line for b in line if a != b) == list(range(1, points))
+
+
+@pytest.mark.parametrize("block, lines, copies", [(100, 57, 1), (8, 57, 2), (4, 57, 3), (1, 13, 4), (1, 57, 6)])
+def test_blocks_are_copied_to_the_lines_through_them_only(spark, wide_returns, monkeypatch, block, lines, copies):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    monkeypatch.setattr(pairs, "LINES", lines)
+    gaps = wide_returns.mask(np.random.default_rng(3).random(wide_returns.shape) < 0.2)
+    df = spark.createDataFrame(long(gaps), "date date, ticker string, r double")
+    rows = pairs.line_tasks(df, "r").collect()
+    held = [p["block"] for r in rows for p in r.points]
+    assert set(np.unique(held, return_counts=True)[1].tolist()) == {copies}
+    got = pairs.with_moments(pairs.pair_sums(df)).toPandas().set_index(["asset_i", "asset_j"])["cov"]
+    want = gaps.cov().stack()
+    assert len(got) == 18 * 19 // 2 and got.index.is_unique and np.allclose(got, want.loc[got.index], atol=1e-12)
+    above, mean = pairs.correlations_above(df, 0.1)
+    corr = gaps.corr()
+    assert {(r.asset_i, r.asset_j) for r in above.collect()} == {(i, j) for i in corr for j in corr if i < j and corr.loc[i, j] > 0.1}
+    mean = mean.toPandas().set_index("asset")["m"]
+    assert np.allclose(mean, corr.mean().loc[mean.index], atol=1e-9)
