@@ -12,6 +12,7 @@ from panelwright.config import CompositeConfig
 from panelwright.errors import ConfigurationError
 from panelwright.functions.dist import attach_one
 from panelwright.operators.factors import group_of
+from panelwright.session import cut
 
 
 def group_scores(scores: DataFrame, keys: Sequence[str] = (), x: str = "x") -> DataFrame:
@@ -52,8 +53,12 @@ def _with_fallback(groups: DataFrame, strength: DataFrame, tiers: DataFrame) ->
 
 
 def ic_weighted(groups: DataFrame, ic: DataFrame, config: CompositeConfig | None = None, given: dict[str, float] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Weights max(mean IC over the last rows, 0) * tier; ``ic`` has (date, grp, ic)."""
+    """Weights max(mean IC over the last rows, 0) * tier; ``ic`` has (date, grp, ic).
+
+    Scores and ICs are read twice, so both are written once.
+    """
     c = config or CompositeConfig()
+    groups, ic = cut(groups), cut(ic)
     dates = ic.select("date").distinct().orderBy(F.col("date").desc()).limit(c.ic_lookback)
     strength = (
         ic.join(dates, "date", "left_semi").groupBy("grp").agg(F.greatest(F.avg("ic"), F.lit(0.0)).alias("strength"))
@@ -63,8 +68,9 @@ def ic_weighted(groups: DataFrame, ic: DataFrame, config: CompositeConfig | None
 
 
 def icir_weighted(groups: DataFrame, ic: DataFrame, config: CompositeConfig | None = None, given: dict[str, float] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Weights |ICIR| * tier."""
+    """Weights |ICIR| * tier; the scores are read twice, so they are written once."""
     c = config or CompositeConfig()
+    groups = cut(groups)
     ratio = F.try_divide(F.avg("ic"), F.stddev_samp("ic"))
     strength = ic.groupBy("grp").agg(F.abs(F.coalesce(ratio, F.lit(0.0))).alias("strength"))
     w = _with_fallback(groups, strength, tier_weights(groups.sparkSession, c, given))

@@ -15,3 +15,19 @@ def test_tree_scores_grow_as_many_trees_as_the_operator(spark, monkeypatch):
     monkeypatch.setattr(composite, "fit_trees", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
     entry.queries()["c6_tree_scores"](spark, FOLDER)
     assert [m.getNumTrees for m in made] == [inspect.signature(fit).parameters["rounds"].default] == [50]
+
+
+@pytest.mark.parametrize("method", [composite.ic_weighted, composite.icir_weighted])
+def test_scores_behind_a_weighted_composite_are_worked_out_once(spark, method):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    rows = [(t, g, float(k)) for k, t in enumerate("abcd") for g in ("value", "momentum")]
+    groups = spark.createDataFrame(rows, "ticker string, grp string, score double").mapInPandas(count, "ticker string, grp string, score double")
+    ic = spark.createDataFrame([(d, g, v + 0.01 * d) for d in range(3) for g, v in (("value", 0.1), ("momentum", 0.05))], "date int, grp string, ic double")
+    got = {r.ticker: r.composite for r in method(groups, ic).collect()}
+    assert got == pytest.approx({"a": 0.0, "b": 1.0, "c": 2.0, "d": 3.0}) and read.value == len(rows)
