@@ -55,11 +55,13 @@ class MarketTables:
 
     @cached_property
     def weekly(self) -> DataFrame:
-        """Weekly brand panel; pre-aggregated per part and week before the brand join."""
-        line = (
-            self.raw("lineitem")
-            .groupBy("l_partkey", F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"))
-            .agg(F.sum("l_extendedprice").alias("ext"), F.sum("l_quantity").alias("qty"))
+        """Weekly brand panel.
+
+        Parts have hardly a line a week, so lines are not aggregated before they meet their
+        brand; after it a task keeps a row per brand and week.
+        """
+        line = self.raw("lineitem").select(
+            "l_partkey", F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), F.col("l_extendedprice").alias("ext"), F.col("l_quantity").alias("qty")
         )
         part = self.raw("part").select("p_partkey", F.col("p_brand").alias("ticker"))
         return (

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from panelwright.operators import composite
+from panelwright.sources.tables import MarketTables
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -31,3 +32,16 @@ def test_scores_behind_a_weighted_composite_are_worked_out_once(spark, method):
     ic = spark.createDataFrame([(d, g, v + 0.01 * d) for d in range(3) for g, v in (("value", 0.1), ("momentum", 0.05))], "date int, grp string, ic double")
     got = {r.ticker: r.composite for r in method(groups, ic).collect()}
     assert got == pytest.approx({"a": 0.0, "b": 1.0, "c": 2.0, "d": 3.0}) and read.value == len(rows)
+
+
+def test_weekly_panel_aggregates_lines_with_their_brand_only(spark, tmp_path):
+    import datetime as dt
+
+    days = [dt.datetime(2001, 1, d) for d in (1, 2, 9)]
+    lines = [(1, days[0], 10.0, 2.0), (2, days[1], 30.0, 2.0), (1, days[2], 5.0, 1.0), (3, days[0], 8.0, 4.0), (None, days[0], 9.0, 1.0), (9, days[0], 9.0, 1.0)]
+    spark.createDataFrame(lines, "l_partkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (None, "C")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    weekly = MarketTables(spark, str(tmp_path)).weekly
+    got = {(r.ticker, str(r.date)): (r.close, r.volume) for r in weekly.collect()}
+    assert got == {("A", "2001-01-01"): (10.0, 4.0), ("A", "2001-01-08"): (5.0, 1.0), ("B", "2001-01-01"): (2.0, 4.0)}
+    assert weekly._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
