@@ -45,20 +45,25 @@ def treat_outliers(returns: DataFrame, stats: DataFrame, winsor_z: float = 3.0,
     return rows.withColumn("r", fixed).select(*returns.columns)
 
 
-def impute_by_sector(returns: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Null cells take the sector mean of the date, else the mean of the date.
+def impute_by_sector(returns: DataFrame, sectors: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Null cells take the sector mean of the date, else the mean of the date; cells of the tickers in ``only``, if given.
 
-    The filled cell is null itself, so the leave-one-out mean is the plain mean.
-    Names without a sector form one group.
+    The filled cell is null itself, so the leave-one-out mean is the plain mean. Means are those of
+    all tickers. Names without a sector form one group. The means, a row per calendar day and sector,
+    are broadcast, so the cells stay with their ticker.
     """
-    cells = dense(returns.select("date", "ticker", "r"), "r").join(
-        sectors.select("ticker", "sector"), "ticker", "left"
-    ).withColumn("sector", F.coalesce("sector", F.lit("")))
-    by_sector = cells.groupBy("date", "sector").agg(F.sum("r").alias("_s"), F.count("r").alias("_n"))
+    returns = returns.select("date", "ticker", "r")
+
+    def with_sector(rows: DataFrame) -> DataFrame:
+        return rows.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("")))
+
+    known = with_sector(returns.where(F.col("r").isNotNull() & F.col("date").isNotNull() & F.col("ticker").isNotNull()))
+    by_sector = known.groupBy("date", "sector").agg(F.sum("r").alias("_s"), F.count("r").alias("_n"))
     by_date = by_sector.groupBy("date").agg(F.sum("_s").alias("_ds"), F.sum("_n").alias("_dn"))
     return (
-        cells.join(by_sector, ["date", "sector"])
-        .join(by_calendar(by_date, ["date"]), "date")
+        with_sector(dense(returns, "r", only)).where(F.col("date").isNotNull())
+        .join(F.broadcast(by_sector), ["date", "sector"], "left")
+        .join(by_calendar(by_date, ["date"]), "date", "left")
         .select(
             "date", "ticker",
             F.coalesce("r", F.try_divide(F.col("_s"), F.col("_n")), F.try_divide(F.col("_ds"), F.col("_dn"))).alias("r"),
@@ -314,7 +319,7 @@ class FittedPreSelection:
     def transform(self, returns: DataFrame) -> DataFrame:
         c = self.config
         rows = treat_outliers(validate(returns, c.max_abs_return), self.stats, c.winsor_z, c.remove_z)
-        return impute_by_sector(rows, self.sectors).join(self.assets, "ticker", "left_semi")
+        return impute_by_sector(rows, self.sectors, self.assets)
 
 
 def fit_pre_selection(
@@ -324,14 +329,14 @@ def fit_pre_selection(
     """Validate, treat outliers, impute, then drop incomplete, flat and correlated assets;
     optional top k, Pareto front and expiry steps. Everything is learned on ``train``."""
     c = config or CleaningConfig()
-    stats = outlier_stats(validate(train, c.max_abs_return))
+    stats = cut(outlier_stats(validate(train, c.max_abs_return)))
     rows = impute_by_sector(treat_outliers(validate(train, c.max_abs_return), stats, c.winsor_z, c.remove_z), sectors)
-    rows = cut(rows)
-    # Complete and varying in one aggregate.
-    width = date_axis(rows).agg(F.max("idx").alias("n_dates"))
-    per = rows.groupBy("ticker").agg(F.count("r").alias("n"), F.var_samp("r").alias("v"))
-    good = attach_one(per, width).where((F.col("n") == F.col("n_dates")) & (F.col("v") > c.variance_floor))
-    rows = rows.join(good.select("ticker"), "ticker", "left_semi")
+    # Complete and varying by windows over the ticker, where the cells lie already; only these are written.
+    width = date_axis(train.where(F.col("date").isNotNull())).agg(F.max("idx").alias("n_dates"))
+    mine = Window.partitionBy("ticker")
+    rows = attach_one(rows.withColumn("_n", F.count("r").over(mine)).withColumn("_v", F.var_samp("r").over(mine)), width)
+    good = F.col("ticker").isNotNull() & (F.col("_n") == F.col("n_dates")) & (F.col("_v") > c.variance_floor)
+    rows = cut(rows.where(good).select("date", "ticker", "r"))
     gone = correlated_assets(rows, c.correlation_threshold, c.absolute_correlation)
     assets = rows.select("ticker").distinct().join(gone, "ticker", "left_anti")
     if c.top_k is not None:

@@ -78,22 +78,24 @@ def simple_returns(panel: DataFrame, log: bool = False) -> DataFrame:
     )
 
 
-def dense(panel: DataFrame, value: str) -> DataFrame:
-    """Every (date, ticker) cell, null where nothing was observed.
+def dense(panel: DataFrame, value: str, only: DataFrame | None = None) -> DataFrame:
+    """Every (date, ticker) cell, null where nothing was observed; of the tickers in ``only``, if given.
 
-    Used only where the result itself has a row per cell. Each ticker's row
-    explodes the array of index numbers; the axis is then an equi join.
+    Used only where the result itself has a row per cell. A ticker's rows are collected, and the
+    index numbers it lacks are added there, so the cells are not shuffled to meet the panel.
     """
     axis = date_axis(panel)
     width = axis.agg(F.max("idx").alias("n_dates"))
-    cells = attach_one(panel.select("ticker").distinct(), width).select(
-        "ticker", F.explode(F.sequence(F.lit(1), F.col("n_dates"))).alias("idx")
-    )
-    return (
-        cells.join(axis.select("date", "idx"), "idx")
-        .join(panel.select("date", "ticker", value), ["date", "ticker"], "left")
-        .select("date", "ticker", "idx", value)
+    axis = axis.select("date", "idx")
+    rows = panel if only is None else panel.join(only, "ticker", "left_semi")
+    cell = F.struct("idx", F.col(value).alias("v"))
+    seen = rows.select("date", "ticker", value).join(F.broadcast(axis), "date", "left").groupBy("ticker").agg(
+        F.collect_list(F.when(F.col("idx").isNotNull() & F.col("ticker").isNotNull(), cell)).alias("seen")
     )
+    number = F.sequence(F.lit(1), F.col("n_dates"))
+    lacking = F.transform(F.array_except(number, F.col("seen.idx")), lambda i: F.struct(i.alias("idx"), F.lit(None).cast(panel.schema[value].dataType).alias("v")))
+    cells = attach_one(seen, width).select("ticker", F.explode(F.concat("seen", lacking)).alias("c")).select("ticker", "c.idx", F.col("c.v").alias(value))
+    return cells.join(F.broadcast(axis), "idx").select("date", "ticker", "idx", value)
 
 
 def append_delisting_prices(prices: DataFrame, delistings: DataFrame, default: float = DEFAULT_DELISTING_RETURN) -> DataFrame:

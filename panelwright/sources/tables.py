@@ -39,14 +39,12 @@ class MarketTables:
         """
         return cut(
             self.raw("lineitem")
-            .groupBy(
-                F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
-                F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"),
-            )
+            .groupBy("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"))
             .agg(
                 (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
                 F.sum("l_quantity").alias("volume"),
             )
+            .select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "date", "close", "volume")
         )
 
     @cached_property

@@ -1,10 +1,11 @@
 import inspect
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry
-from panelwright.operators import composite
+from panelwright.operators import clean, composite
 from panelwright.sources.tables import MarketTables
 
 FOLDER = "/root/testdata/sf0.01"
@@ -45,3 +46,18 @@ def test_weekly_panel_aggregates_lines_with_their_brand_only(spark, tmp_path):
     got = {(r.ticker, str(r.date)): (r.close, r.volume) for r in weekly.collect()}
     assert got == {("A", "2001-01-01"): (10.0, 4.0), ("A", "2001-01-08"): (5.0, 1.0), ("B", "2001-01-01"): (2.0, 4.0)}
     assert weekly._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_imputed_cells_stay_with_their_ticker(spark):
+    rows = [(1, "A", 0.1), (1, "B", 0.3), (1, "C", 0.8), (2, "A", None), (2, "B", 0.5), (2, "B", 0.7), (3, "C", None), (3, None, 9.0), (None, "A", 9.0), (None, "D", None)]
+    returns = spark.createDataFrame(rows, "date int, ticker string, r double")
+    sectors = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "ticker string, sector string")
+    only = spark.createDataFrame([("A",), ("C",), ("E",)], "ticker string")
+    key = lambda x: (str(x[1]), x[0], str(x[2]))
+    wanted = [(1, "A", 0.1), (2, "A", 0.6), (3, "A", None), (1, "B", 0.3), (2, "B", 0.5), (2, "B", 0.7), (3, "B", None), (1, "C", 0.8), (2, "C", 0.6), (3, "C", None)]
+    wanted += [(1, t, 0.4) for t in ("D", None)] + [(2, t, 0.6) for t in ("D", None)] + [(3, t, None) for t in ("D", None)]
+    got = clean.impute_by_sector(returns, sectors)
+    near = lambda rows: sorted(((d, t, r and round(r, 12)) for d, t, r in rows), key=key)
+    assert near(got.collect()) == near(wanted)
+    assert not re.search(r"hashpartitioning\(date#\d+, ticker#", got._jdf.queryExecution().executedPlan().toString())
+    assert near(clean.impute_by_sector(returns, sectors, only).collect()) == near([x for x in wanted if x[1] in ("A", "C")])
