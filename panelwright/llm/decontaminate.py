@@ -1,10 +1,14 @@
-"""Benchmark decontamination: pieces that edits must leave whole, and exact edit distance.
+"""Benchmark decontamination: random-walk embedding and LSH, then an exact check of the rest.
 
-An item is cut into blocks and these into pieces, so many that a copy within the edit limit has
-one piece unchanged in a block within the block's share of the edits. Documents are searched for
-grams of the pieces at every character, the block about a gram is compared by bit-parallel edit
-distance, and whatever is left is verified by edit distance over the whole item. No step loses a
-copy, so recall does not hang on the length of an item or on blanks in a text.
+Windows of an item begin with an anchor gram. Wherever a document holds an anchor, the window from
+there is embedded by the CGK walk, which turns edits into few differing places, and keys of sampled
+places find the item's windows that it is close to. Edit distance over the whole item decides.
+
+What the keys may miss is searched for exactly: an item is cut into blocks and these into pieces, so
+many that a copy within the edit limit has one piece unchanged in a block within the block's share
+of the edits. Grams of the pieces are looked up at every character, the block about a gram is
+compared by bit-parallel edit distance, and whatever is left is verified as before. No copy is lost,
+so recall does not hang on the length of an item or on blanks in a text.
 """
 
 from __future__ import annotations
@@ -33,11 +37,15 @@ STEP = 1 << 16  # places that are hashed at a time
 PAIRS = 1 << 18  # pairs of a place and a piece at a time
 LANES = 1 << 14  # blocks that are compared at a time
 ITEM_CHARS = 512  # longer items in the mean make an index of fewer
+WINDOW = 24  # characters that are embedded; shorter items have the exact check only
+ANCHOR = 8  # characters at the beginning of a window that a copy must hold unchanged
+STRIDE = 8  # characters between the windows of an item at most
+FEW = 10  # windows of which one makes an item a candidate; of more, a sixteenth and at least two, as common phrases are alike
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """The search uses ``max_edits`` and ``block_items``, the rest is the embedding's.
+    """``target_recall`` is that of the keys of one window, of whose places ``agreement`` are as in the copy.
 
     ``block_items`` bounds the index that is sent to the executors; more items go in more passes.
     """
@@ -82,7 +90,7 @@ def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class Embedding:
-    """The CGK walk; the search goes by pieces and has no use for it. At step ``j`` the byte ``c`` is read, and left behind if ``moves[j, c]`` is set."""
+    """The CGK walk. At step ``j`` the byte ``c`` is read, and left behind if ``moves[j, c]`` is set."""
 
     def __init__(self, window: int, config: LeakConfig):
         rng = np.random.default_rng([config.seed, window])
@@ -102,8 +110,9 @@ class Embedding:
                 use[int(j)].append(r)
         for j in range(max(use) + 1):
             byte = np.where(at < stop, buf[np.minimum(at, len(buf) - 1)], 0)
+            wide = byte.astype(np.uint64)
             for r in use.get(j, ()):
-                x = (out[r] ^ byte.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                x = (out[r] ^ wide) * np.uint64(0x9E3779B97F4A7C15)
                 out[r] = x ^ (x >> np.uint64(29))
             at += self.moves[j][byte]
         return out
@@ -146,8 +155,38 @@ def _n_blocks(size: int, limit: int) -> int:
     return max(range(least, max(least, 2 * size // WORD) + 1), key=lambda j: (min(GRAM, size // j // (limit // j + 1)), -j))
 
 
+def _bytes(codes: np.ndarray) -> np.ndarray:
+    """A byte per character, for the walk."""
+    return (codes ^ (codes >> np.uint32(8))).astype(np.uint8)
+
+
+class Lookup:
+    """Rows by hash; a bitmap of the hashes' upper bits tells most of those that are not held."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, first = np.unique(hashes[order], return_index=True)
+        self.edges, self.rows = np.append(first, len(rows)), rows[order]
+        self.shift = np.uint64(64 - min(24, max(16, len(self.hashes).bit_length() + 5)))
+        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bitmap[self.hashes >> self.shift] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are held, and their numbers."""
+        hit = np.flatnonzero(self.bitmap[h >> self.shift])
+        k = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
+        same = self.hashes[k] == h[hit]
+        return hit[same], k[same]
+
+    def parts(self, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of the numbers ``k`` and which of ``k`` each is of, about PAIRS at a time."""
+        many = self.edges[k + 1] - self.edges[k]
+        for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1):
+            yield np.repeat(part, many[part]), self.rows[_ranges(self.edges[k[part]], many[part])]
+
+
 class LeakIndex:
-    """Items of one part of the benchmark: their blocks, and the grams of the pieces of these.
+    """Items of one part of the benchmark: keys of their windows, their blocks, and the grams of the pieces of these.
 
     Of ``j`` blocks of an item one has at most ``limit // j`` edits, and of one piece more than that
     one has none: every copy within the limit holds a gram of the index as it stands.
@@ -186,17 +225,29 @@ class LeakIndex:
             edges = _cut(len(text), k + 1)
             q = min(GRAM, *np.diff(edges).tolist()) if k else min(GRAM, len(text))
             grams[q] += [(h, b, o) for h, o in zip(_hashes(codes, q)[edges[:-1]].tolist(), edges)]
-        self.grams = {q: self._lookup(rows) for q, rows in grams.items()}
-
-    @staticmethod
-    def _lookup(rows: list[tuple[int, int, int]]) -> tuple:
-        """Sorted hashes, edges of their rows, the rows, and a bitmap of the hashes' upper bits."""
-        rows = sorted(rows)
-        hashes, first = np.unique(np.array([h for h, _, _ in rows], np.uint64), return_index=True)
-        shift = np.uint64(64 - min(24, max(16, len(hashes).bit_length() + 5)))
-        bitmap = np.zeros(1 << (64 - int(shift)), bool)
-        bitmap[hashes >> shift] = True
-        return hashes, np.append(first, len(rows)), np.array([(b, o) for _, b, o in rows], np.int64), bitmap, shift
+        self.grams = {q: Lookup(np.array([h for h, _, _ in rows], np.uint64), np.array([(b, o) for _, b, o in rows], np.int64)) for q, rows in grams.items()}
+        self._embed(config)
+
+    def _embed(self, config: LeakConfig) -> None:
+        """LSH keys of the items' windows; of equal windows of an item the first."""
+        self.embedding = Embedding(WINDOW, config)
+        windows: dict[tuple[int, str], int] = {}
+        for n, text in enumerate(self.items):
+            spare = len(text) - WINDOW
+            for o in range(0, spare + 1, max(1, min(STRIDE, spare // STRIDE))):
+                windows.setdefault((n, text[o: o + WINDOW]), o)
+        if not windows:
+            self.anchors = self.windows = None
+            return
+        codes = _codes("".join(x for _, x in windows))
+        start = np.arange(len(windows)) * WINDOW
+        word = _hashes(codes, ANCHOR)[start]
+        many = np.bincount([n for n, _ in windows], minlength=len(self.items))
+        self.needed = np.where(many > FEW, np.maximum(2, many // 16), 1)
+        rows = np.array([(n, o) for (n, _), o in windows.items()], np.int64)
+        keys = self.embedding.keys(_bytes(codes), start, start + WINDOW, word)
+        self.anchors = Lookup(word, rows)
+        self.windows = Lookup(keys.reshape(-1), np.tile(rows, (len(keys), 1)))
 
     def _near(self, codes: np.ndarray, block: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether a block lies within its edits about ``start``, in the text from ``low`` to ``high`` (bit-parallel, all at once)."""
@@ -222,27 +273,47 @@ class LeakIndex:
             np.minimum(best, score, out=best)
         return best <= edits
 
+    def embedded(self, texts: list[str]) -> dict[tuple[int, int], set[int]]:
+        """(text, distinct item) to where the item may begin, in steps of its limit, by the keys of embedded windows. ``texts`` are normalized."""
+        out: dict[tuple[int, int], set[int]] = defaultdict(set)
+        if self.anchors is None:
+            return out
+        found_windows: dict[tuple[int, int], set[int]] = defaultdict(set)
+        codes = _codes("".join(texts))
+        stops, buf = np.cumsum([len(x) for x in texts]), _bytes(codes)
+        for begin in range(0, len(codes) - ANCHOR + 1, STEP):
+            h = _hashes(codes[begin: begin + STEP + ANCHOR - 1], ANCHOR)
+            hit, _ = self.anchors.find(h)
+            for a in range(0, len(hit), LANES):
+                word, at = h[hit[a: a + LANES]], hit[a: a + LANES] + begin
+                text = np.searchsorted(stops, at, side="right")
+                found, k = self.windows.find(self.embedding.keys(buf, at, np.minimum(at + WINDOW, stops[text]), word).reshape(-1))
+                for which, rows in self.windows.parts(k):
+                    lane = found[which] % len(at)
+                    self._collect(out, text[lane], rows[:, 0], (at - np.append(0, stops)[text])[lane] - rows[:, 1])
+                    for t, n, o in np.unique(np.stack([text[lane], *rows.T], axis=1), axis=0).tolist():
+                        found_windows[t, n].add(o)
+        return defaultdict(set, {pair: places for pair, places in out.items() if len(found_windows[pair]) >= self.needed[pair[1]]})
+
     def candidates(self, texts: list[str]) -> dict[tuple[int, int], set[int]]:
-        """(text, distinct item) to where the item may begin, in steps of its limit. ``texts`` are normalized."""
+        """As ``embedded``, but by pieces and without a loss."""
         codes = _codes("".join(texts))
         stops = np.cumsum([len(x) for x in texts])
         out: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for q, (hashes, edges, rows, bitmap, shift) in self.grams.items():
+        for q, known in self.grams.items():
             for begin in range(0, len(codes) - q + 1, STEP):
-                h = _hashes(codes[begin: begin + STEP + q - 1], q)
-                hit = np.flatnonzero(bitmap[h >> shift])
-                k = np.minimum(np.searchsorted(hashes, h[hit]), len(hashes) - 1)
-                same = hashes[k] == h[hit]
-                hit, k = hit[same] + begin, k[same]
-                many = edges[k + 1] - edges[k]
-                for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(many) // PAIRS)) + 1):
-                    self._add(out, codes, stops, hit[part], edges[k[part]], many[part], rows)
+                hit, k = known.find(_hashes(codes[begin: begin + STEP + q - 1], q))
+                for which, rows in known.parts(k):
+                    self._add(out, codes, stops, hit[which] + begin, *rows.T)
         return out
 
-    def _add(self, out: dict, codes: np.ndarray, stops: np.ndarray, hit: np.ndarray, first: np.ndarray, many: np.ndarray, rows: np.ndarray) -> None:
-        """Candidates of the grams found at ``hit``, of which each has ``many`` rows from ``first`` on."""
-        block, offset = rows[_ranges(first, many)].T
-        at = np.repeat(hit, many)
+    def _collect(self, out: dict, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> None:
+        step = self.limits[item] + 1
+        for t, n, o in np.unique(np.stack([text, item, start // step * step], axis=1), axis=0).tolist():
+            out[t, n].add(o)
+
+    def _add(self, out: dict, codes: np.ndarray, stops: np.ndarray, at: np.ndarray, block: np.ndarray, offset: np.ndarray) -> None:
+        """Candidates of the blocks that have a gram at ``offset`` and lie near ``at``."""
         text = np.searchsorted(stops, at, side="right")
         low = np.append(0, stops)[text]
         for a in range(0, len(at), LANES):
@@ -250,34 +321,50 @@ class LeakIndex:
             near = a + np.flatnonzero(self._near(codes, block[x], at[x] - offset[x], low[x], stops[text[x]]))
             b, many_owners = block[near], self.owner_edges[block[near] + 1] - self.owner_edges[block[near]]
             item, within = self.owners[_ranges(self.owner_edges[b], many_owners)].T
-            start = np.repeat((at - offset - low)[near], many_owners) - within
-            step = self.limits[item] + 1
-            for t, n, o in np.unique(np.stack([np.repeat(text[near], many_owners), item, start // step * step], axis=1), axis=0).tolist():
-                out[t, n].add(o)
+            self._collect(out, np.repeat(text[near], many_owners), item, np.repeat((at - offset - low)[near], many_owners) - within)
+
+    def _closest(self, text: str, n: int, offsets: set[int]) -> tuple[int, int]:
+        """Edits and end of the closest match of an item about ``offsets``; edits beyond the limit without one."""
+        item, limit = self.items[n], int(self.limits[n])
+        stretches: list[list[int]] = []
+        for o in sorted(offsets):
+            low, high = max(0, o - limit), o + len(item) + 2 * limit
+            if stretches and low <= stretches[-1][1]:
+                stretches[-1][1] = high
+            else:
+                stretches.append([low, high])
+        best = (limit + 1, 0)
+        for low, high in stretches:
+            edits, end = edit_distance_within(item, text[low:high])
+            best = min(best, (edits, low + end))
+            if not best[0]:
+                break
+        return best
 
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end): the closest match of every item that a text holds within the limit; ``end`` in characters."""
         clean = normalize(texts).to_pylist()
+        places = self.embedded(clean)
+        for pair, offsets in self.candidates(clean).items():
+            places[pair] |= offsets
         out = []
-        for (t, n), offsets in sorted(self.candidates(clean).items()):
-            text, item, limit = clean[t], self.items[n], int(self.limits[n])
-            stretches: list[list[int]] = []
-            for o in sorted(offsets):
-                low, high = max(0, o - limit), o + len(item) + 2 * limit
-                if stretches and low <= stretches[-1][1]:
-                    stretches[-1][1] = high
-                else:
-                    stretches.append([low, high])
-            best = (limit + 1, 0)
-            for low, high in stretches:
-                edits, end = edit_distance_within(item, text[low:high])
-                best = min(best, (edits, low + end))
-                if not best[0]:
-                    break
-            if best[0] <= limit:
+        for (t, n), offsets in sorted(places.items()):
+            best = self._closest(clean[t], n, offsets)
+            if best[0] <= self.limits[n]:
                 out += [(t, k, *best) for k in self.numbers[n]]
         return out
 
+    def leaked(self, texts: pa.Array) -> np.ndarray:
+        """Whether a text holds an item: by the keys, and what they leave by the exact check."""
+        clean = normalize(texts).to_pylist()
+        out = np.zeros(len(clean), bool)
+        for search in (self.embedded, self.candidates):
+            rest = np.flatnonzero(~out).tolist()
+            for (t, n), offsets in search([clean[t] for t in rest]).items():
+                if not out[rest[t]]:
+                    out[rest[t]] = self._closest(clean[rest[t]], n, offsets)[0] <= self.limits[n]
+        return out
+
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, config: LeakConfig) -> list:
     """Broadcast indexes of the benchmark, a block of bounded size each."""
@@ -326,9 +413,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = Leak
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, SLICE):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[t for t, *_ in index.value.leaks(part.column("text"))]] = False
-                    yield part.filter(pa.array(clean))
+                    yield part.filter(pa.array(~index.value.leaked(part.column("text"))))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

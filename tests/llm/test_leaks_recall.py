@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from test_leaks_toxicity import edit, items_table, semi_global, words
 
-from panelwright.llm.decontaminate import LeakConfig, drop_leaked, edit_distance_within, find_leaks, normalize
+from panelwright.llm.decontaminate import LeakConfig, LeakIndex, drop_leaked, edit_distance_within, find_leaks, normalize
 
 
 @pytest.mark.parametrize("size", [1_000, 2_000, 4_000])
@@ -50,3 +50,26 @@ def test_awkward_documents_against_the_table_of_distances(spark, make_docs, awkw
     assert sorted((r.doc_id, r.n_edits) for r in got.collect()) == [(-3, 0), (5, 0), (11, 1), (12, 0)]
     assert find_leaks(make_docs(awkward), items_table(spark, [])).count() == 0
     assert find_leaks(make_docs([]), items_table(spark, [(1, "one two three")])).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 60, 200, 1_000, 4_000])
+def test_recall_of_the_embedding_without_the_exact_check(size, monkeypatch):
+    rng = random.Random(size)
+    items = [(i, words(rng, size)[:size].strip()) for i in range(40)]
+    pairs = [f"{words(rng, 60)} {edit(rng, t, int(0.09 * len(t)))} {words(rng, 20)}" for _, t in items] + [words(rng, 300) for _ in range(40)]
+    index, texts = LeakIndex(items, LeakConfig()), pa.array([*pairs, None, ""])
+    exact = index.leaked(texts)
+    assert exact.tolist() == [True] * 40 + [False] * 42 and {t for t, *_ in index.leaks(texts)} == set(range(40))
+    monkeypatch.setattr(index, "candidates", lambda texts: {})
+    by_keys = index.leaked(texts)
+    assert by_keys.sum() >= LeakConfig().target_recall * exact.sum() and not (by_keys & ~exact).any()
+
+
+def test_the_exact_check_gets_what_the_embedding_leaves(monkeypatch):
+    rng = random.Random(3)
+    items = [(1, words(rng, 30)), (2, "zq vx wj")]  # the second is shorter than a window
+    texts = [f"{words(rng, 9)} {items[0][1]}", f"{words(rng, 9)} zq vxwj", words(rng, 50), items[0][1]]
+    index, searched = LeakIndex(items, LeakConfig(max_edits=0.13)), []
+    exactly = index.candidates
+    monkeypatch.setattr(index, "candidates", lambda texts: searched.append(texts) or exactly(texts))
+    assert index.leaked(pa.array(texts)).tolist() == [True, True, False, True] and searched == [texts[1:3]]
