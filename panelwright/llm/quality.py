@@ -21,7 +21,7 @@ from panelwright.llm.registry import query, slices, table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers are reused, and one keeps what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text, a longer text by itself: bounds what a worker holds."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -36,4 +47,4 @@ def slices(batch: pa.RecordBatch, most: int, text: str = "text") -> Iterator[pa.
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()

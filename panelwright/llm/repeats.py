@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import suffix
-from panelwright.llm.registry import query, slices, table
+from panelwright.llm.registry import give_back, query, slices, table
 from panelwright.session import cut
 
 GRAM = 32
@@ -248,6 +248,8 @@ def _factor_rows(length: int, block: int = 1 << 18):
                 size += len(x[4])
         if held:
             yield solve(held)
+        held = []
+        give_back()
 
     return rows
 

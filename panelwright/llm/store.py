@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.session import fresh_path
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
@@ -17,14 +17,14 @@ def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFram
     ``batch_rows`` bounds the rows of an Arrow batch meanwhile, for functions over wide rows.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(_BATCH, None)
+    path, before = fresh_path(spark, label), spark.conf.get(BATCH_ROWS, None)
     if batch_rows:
-        spark.conf.set(_BATCH, str(batch_rows))
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
     try:
         df.write.parquet(path)
     finally:
         if batch_rows:
-            spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+            spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
     return spark.read.parquet(path)
 
 

@@ -2,12 +2,13 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import connect, spark_rows, sql_rows
-from panelwright.llm import catalog
+from panelwright.llm import catalog, registry
 
 FOLDER = "/root/testdata/sf0.01"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,6 +50,23 @@ def test_run_packs_what_is_left(spark, corpus):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_stages_send_small_batches(spark, make_docs):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    docs = make_docs([(d, "text") for d in range(2500)], partitions=1)
+    sent = [r.n for r in corpus_pipeline.documents(spark, docs).mapInArrow(sizes, "n long").collect()]
+    assert sum(sent) == 2500 and max(sent) <= 1000
+
+
+def test_free_memory_goes_back(spark, monkeypatch):
+    trimmed = []
+    monkeypatch.setattr(registry, "_trim", trimmed.append)
+    batch = pa.RecordBatch.from_arrays([pa.array(["some text"] * 9)], names=["text"])
+    assert sum(part.num_rows for part in registry.slices(batch, 20)) == 9 and trimmed == [0]
+
+
 def test_stages_of_an_empty_table(spark, make_docs, corpus):
     docs = make_docs([])
     for _, stage in corpus_pipeline.STAGES:
