@@ -24,6 +24,7 @@ from panelwright.session import cut
 
 BLOCK = 256
 CHUNK = 1024
+STRIP = 64  # partners of an asset whose pairs stand together where both orders of a pair are returned
 CELLS = 1 << 20  # observed cells of a block of ``pair_tasks``, in the mean
 SPREAD = 24  # blocks that larger panels have at least; ``pair_tasks`` copies each once per block
 LINES = 57  # blocks, and lines, that larger panels have at least
@@ -170,28 +171,51 @@ def _total(kernel: Kernel, x1, m1, x2, m2, chunk: int | None) -> dict[str, np.nd
     return total
 
 
-def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: str = "r", chunk: int | None = CHUNK) -> DataFrame:
+def _ordered(i: np.ndarray, j: np.ndarray, n: int, diagonal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs of a tile of ``n`` assets by others stand, in both orders, and the first asset of each.
+
+    Pair k is number k and, in the other order, len(i) + k; the tile's other assets count from ``n`` on. An asset's
+    pairs with STRIP partners are followed by the partners' pairs with it: the values come twice in the same order
+    and a name stands in a run, which columnar files store in little room.
+    """
+    other = np.flatnonzero(i != j) if diagonal else np.arange(len(i))
+    strip = j // STRIP * n + i
+    order = np.argsort(np.concatenate([strip, strip[other]]).astype(np.min_scalar_type(BLOCK * BLOCK // STRIP)), kind="stable")
+    return np.concatenate([np.arange(len(i)), len(i) + other])[order], np.concatenate([i, n + j[other]])[order]
+
+
+def blocked_pairs(cells: DataFrame, kernel: Kernel, outputs: list[str], value: str = "r", chunk: int | None = CHUNK, swapped: dict[str, str] | None = None) -> DataFrame:
     """Run ``kernel(x_i, m_i, x_j, m_j)`` on tiles of asset pairs and add its matrices over the chunks.
 
     Returns (asset_i, asset_j, *outputs) for asset_i <= asset_j. ``chunk=None``
     hands whole series to the kernel, for measures that do not add up over dates.
+    With ``swapped`` it returns both orders of a pair; it names the outputs that another one replaces in the second.
     """
     schema = "asset_i string, asset_j string, " + ", ".join(f"{o} double" for o in outputs)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for names1, x1, m1, names2, x2, m2, same in chain.from_iterable(map(_met, frame.itertuples(index=False))):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names1, x1, m1, names2, x2, m2, same in chain.from_iterable(map(_met, batch.to_pandas().itertuples(index=False))):
                 for a, b, diagonal in tiles(len(names1), len(names2), same):
                     got = _total(kernel, x1[a], m1[a], x2[b], m2[b], chunk)
                     keep = (m1[a] @ m2[b].T) > 0
                     if diagonal:
                         keep &= np.triu(np.ones(keep.shape, dtype=bool))
                     i, j = np.nonzero(keep)
-                    yield pd.DataFrame(
-                        {"asset_i": names1[a][i], "asset_j": names2[b][j], **{o: got[o][i, j] for o in outputs}}
+                    one, two = names1[a], names2[b]
+                    columns = [got[o][i, j] for o in outputs]
+                    first, second = i, len(one) + j
+                    if swapped is not None:
+                        at, first = _ordered(i, j, len(one), diagonal)
+                        columns = [np.concatenate([v, got[swapped.get(o, o)][i, j]])[at] for o, v in zip(outputs, columns)]
+                        second = np.concatenate([len(one) + j, i])[at]
+                    names = pa.array(np.concatenate([one, two]), pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(first)), names.take(pa.array(second)), *(pa.array(v, pa.float64(), from_pandas=True) for v in columns)],
+                        names=["asset_i", "asset_j", *outputs],
                     )
 
-    return line_tasks(cells, value).mapInPandas(run, schema)
+    return line_tasks(cells, value).mapInArrow(run, schema)
 
 
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
@@ -212,9 +236,10 @@ def _sum_kernel(x1, m1, x2, m2):
     }
 
 
-def pair_sums(cells: DataFrame, value: str = "r") -> DataFrame:
-    """Counts, sums and product sums over the dates both assets have, i <= j."""
-    return blocked_pairs(cells, _sum_kernel, SUMS, value)
+def pair_sums(cells: DataFrame, value: str = "r", both: bool = False) -> DataFrame:
+    """Counts, sums and product sums over the dates both assets have, i <= j or ``both`` orders."""
+    swapped = {"sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"} if both else None
+    return blocked_pairs(cells, _sum_kernel, SUMS, value, swapped=swapped)
 
 
 def _product_kernel(x1, m1, x2, m2):

@@ -22,7 +22,7 @@ def mean(returns: DataFrame) -> DataFrame:
 
 def covariance(returns: DataFrame) -> DataFrame:
     """Sample covariance (T-1) and correlation over the dates both assets have."""
-    return mirrored(with_moments(pair_sums(returns)))
+    return with_moments(pair_sums(returns, both=True))
 
 
 def equal_weights(assets: DataFrame) -> DataFrame:

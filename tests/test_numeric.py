@@ -6,12 +6,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from panels import long
 from panelwright.functions import dist, pairs
 from panelwright.functions.stats import normal_quantile, t_two_sided
+from panelwright.operators import moments
 
 
 def test_normal_quantile(spark):
@@ -148,6 +150,29 @@ def test_pair_moments_over_blocks_and_gaps(spark, wide_returns, monkeypatch):
     assert np.allclose(corr, gaps.corr(), atol=1e-9)
 
 
+def test_covariance_of_all_pairs_takes_little_room(spark, tmp_path):
+    """Names stand in runs that the files hold in next to no room."""
+    rng = np.random.default_rng(9)
+    wide = pd.DataFrame(rng.normal(0, 0.1, (30, 300)), index=pd.bdate_range("2021-06-01", periods=30), columns=[f"S{i}" for i in range(300)])
+    wide = wide.mask(rng.random(wide.shape) < 0.1)
+    wide.iloc[:15, 7] = wide.iloc[15:, 200] = np.nan  # these never meet
+    got = moments.covariance(spark.createDataFrame(long(wide), "date date, ticker string, r double")).select("asset_i", "asset_j", "n", "cov")
+    got.coalesce(1).write.parquet(f"{tmp_path}/cov")
+    file = pq.ParquetFile(next(tmp_path.glob("cov/*.parquet")))
+    rows = file.read().to_pandas().set_index(["asset_i", "asset_j"])
+    seen = wide.notna().astype(int)
+    n = (seen.T @ seen).stack()
+    n = n[n > 0]
+    assert rows.index.is_unique and len(rows) == len(n) == 300 * 300 - 2 and (rows["n"] == n.loc[rows.index]).all()
+    assert np.allclose(rows["cov"], wide.cov().stack(future_stack=True).loc[rows.index], atol=1e-12)
+    assert (rows["cov"].to_numpy() == rows["cov"].loc[[(j, i) for i, j in rows.index]].to_numpy()).all()
+    room = {}
+    for g in range(file.metadata.num_row_groups):
+        for c in map(file.metadata.row_group(g).column, range(4)):
+            room[c.path_in_schema] = room.get(c.path_in_schema, 0) + c.total_compressed_size / len(rows)
+    assert room["asset_i"] + room["asset_j"] < 0.5 and sum(room.values()) < 7
+
+
 def test_mirrored_keeps_diagonal_once(spark):
     df = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 2.0)], "asset_i string, asset_j string, v double")
     assert sorted(map(tuple, pairs.mirrored(df).collect())) == [("a", "a", 1.0), ("a", "b", 2.0), ("b", "a", 2.0)]
